@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dates import month_diff
 from plumbline.functions.stats import safe_div
+from plumbline.session import materialize_small
 
 
 def c_cohort(df: DataFrame, entry: str, key: str, as_of: dt.date) -> DataFrame:
@@ -127,6 +128,7 @@ def c_decompose_frame(df: DataFrame, period: Column, p0, p1, stratum: Column,
     g = df.where(period.isin(p0, p1)).groupBy(stratum.alias("stratum")).agg(
         F.count_if(period == p0).alias("n0"), F.count_if((period == p0) & event).alias("e0"),
         F.count_if(period == p1).alias("n1"), F.count_if((period == p1) & event).alias("e1"))
+    g = materialize_small(g)  # one row per stratum; the totals below read it
     t0 = g.select(F.sum("n0")).scalar()
     t1 = g.select(F.sum("n1")).scalar()
     return g.select("stratum", "n0", "e0", "n1", "e1",

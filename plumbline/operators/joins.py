@@ -8,15 +8,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+_BOUND_PROOFS: dict[tuple, bool] = {}
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The proof is a bounded count (``limit(max_rows + 1)``), which never reads
     more than max_rows + 1 rows. Beyond the bound the frame is returned as is
     and Spark plans a shuffle join (AQE may still convert it at run time from
-    measured sizes)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    measured sizes). Proofs for file-backed frames are remembered per
+    canonical plan and input file list (inputs are read-only tables)."""
+    files = tuple(sorted(df.inputFiles()))
+    key = (df.semanticHash(), files, max_rows) if files else None
+    ok = _BOUND_PROOFS.get(key) if key else None
+    if ok is None:
+        ok = df.limit(max_rows + 1).count() <= max_rows
+        if key:
+            _BOUND_PROOFS[key] = ok
+    return F.broadcast(df) if ok else df
 
 
 def _keys(on: str | Sequence[str]) -> list[str]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import safe_div
 from plumbline.operators.population import Population
+from plumbline.session import materialize_small
 
 
 def m_headcount(df: DataFrame, pop: Population, by: Sequence[str] = (),
@@ -238,8 +239,9 @@ def m_representativeness(sample: DataFrame, population: DataFrame, dim: str) ->
     s = sample.groupBy(dim).agg(F.count("*").alias("n_sample"))
     p = population.groupBy(dim).agg(F.count("*").alias("n_population"))
     j = p.join(s, on=dim, how="full_outer").fillna(0, ["n_sample", "n_population"])
-    ss = safe_div(F.col("n_sample"), sample.select(F.count("*")).scalar())
-    ps = safe_div(F.col("n_population"), population.select(F.count("*")).scalar())
+    j = materialize_small(j)  # one row per category
+    ss = safe_div(F.col("n_sample"), j.select(F.sum("n_sample")).scalar())
+    ps = safe_div(F.col("n_population"), j.select(F.sum("n_population")).scalar())
     return j.select(dim, "n_sample", "n_population",
                     F.round(ss * 100, 6).alias("sample_share_pct"),
                     F.round(ps * 100, 6).alias("population_share_pct"),

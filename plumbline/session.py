@@ -56,3 +56,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint (never localCheckpoint): survives executor loss."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize_small(df: DataFrame) -> DataFrame:
+    """Materialise a small derived frame (one row per group, per horizon, per
+    stratum) once, so the several totals and windows computed from it do not
+    each re-run the large scan that produced it. Reliable checkpoint."""
+    return cut_lineage(df, eager=True)
