@@ -122,13 +122,15 @@ def c_km(people: DataFrame, entry: str, exit_: str, as_of: dt.date,
 
 def c_decompose_frame(df: DataFrame, period: Column, p0, p1, stratum: Column,
                       event: Column) -> DataFrame:
-    """Per-stratum n, events, share and rate in both periods, from one scan
-    with conditional aggregation (no self-join of a CTE). Strata present in
-    one period only are kept with n = 0 on the other side."""
+    """Per-stratum n, outcome total, share and rate (or mean) in both periods,
+    from one scan with conditional aggregation (no self-join of a CTE).
+    ``event`` is a boolean (rates) or a numeric outcome (means). Strata
+    present in one period only are kept with n = 0 on the other side."""
+    v = event.cast("int") if isinstance(event, Column) and _is_bool(df, event) else event
     g = df.where(period.isin(p0, p1)).groupBy(stratum.alias("stratum")).agg(
-        F.count_if(period == p0).alias("n0"), F.count_if((period == p0) & event).alias("e0"),
-        F.count_if(period == p1).alias("n1"), F.count_if((period == p1) & event).alias("e1"))
-    g = materialize_small(g)  # one row per stratum; the totals below read it
+        F.count_if(period == p0).alias("n0"), F.sum(F.when(period == p0, v)).alias("e0"),
+        F.count_if(period == p1).alias("n1"), F.sum(F.when(period == p1, v)).alias("e1"))
+    g = materialize_small(g.fillna(0, ["e0", "e1"]))  # one row per stratum
     t0 = g.select(F.sum("n0")).scalar()
     t1 = g.select(F.sum("n1")).scalar()
     return g.select("stratum", "n0", "e0", "n1", "e1",
@@ -136,14 +138,19 @@ def c_decompose_frame(df: DataFrame, period: Column, p0, p1, stratum: Column,
                     safe_div("e0", "n0").alias("r0"), safe_div("e1", "n1").alias("r1"))
 
 
+def _is_bool(df: DataFrame, c: Column) -> bool:
+    return dict(df.select(c.alias("__x")).dtypes)["__x"] == "boolean"
+
+
 def c_decompose(df: DataFrame, period: Column, p0, p1, stratum: Column, event: Column,
-                dp: int = 6) -> DataFrame:
-    """Overall rate change = rate effect + mix effect + interaction (points).
+                dp: int = 6, scale: float = 100.0) -> DataFrame:
+    """Overall change = rate effect + mix effect + interaction.
 
     base = sum s0 r0, actual = sum s1 r1, rate = sum s0 (r1 - r0),
-    mix = sum (s1 - s0) r0, interaction = sum (s1 - s0)(r1 - r0). A stratum
-    missing from a period contributes rate 0 there and is counted in
-    ``strata_one_period_only`` so it never vanishes silently."""
+    mix = sum (s1 - s0) r0, interaction = sum (s1 - s0)(r1 - r0); reported in
+    points (``scale`` = 100 for rates, 1 for means). A stratum missing from a
+    period contributes 0 there and is counted in ``strata_one_period_only``
+    so it never vanishes silently."""
     f = c_decompose_frame(df, period, p0, p1, stratum, event)
     r0, r1 = F.coalesce("r0", F.lit(0.0)), F.coalesce("r1", F.lit(0.0))
     s0, s1 = F.col("s0"), F.col("s1")
@@ -151,12 +158,13 @@ def c_decompose(df: DataFrame, period: Column, p0, p1, stratum: Column, event: C
                 F.sum(s0 * (r1 - r0)).alias("re"), F.sum((s1 - s0) * r0).alias("me"),
                 F.sum((s1 - s0) * (r1 - r0)).alias("ie"), F.count("*").alias("strata"),
                 F.count_if((F.col("n0") == 0) | (F.col("n1") == 0)).alias("strata_one_period_only"))
-    return agg.select(F.round(F.col("b") * 100, dp).alias("base_pct"),
-                      F.round(F.col("a") * 100, dp).alias("actual_pct"),
-                      F.round((F.col("a") - F.col("b")) * 100, dp).alias("change_pts"),
-                      F.round(F.col("re") * 100, dp).alias("rate_effect"),
-                      F.round(F.col("me") * 100, dp).alias("mix_effect"),
-                      F.round(F.col("ie") * 100, dp).alias("interaction"),
+    sc = F.lit(scale)
+    return agg.select(F.round(F.col("b") * sc, dp).alias("base_pct"),
+                      F.round(F.col("a") * sc, dp).alias("actual_pct"),
+                      F.round((F.col("a") - F.col("b")) * sc, dp).alias("change_pts"),
+                      F.round(F.col("re") * sc, dp).alias("rate_effect"),
+                      F.round(F.col("me") * sc, dp).alias("mix_effect"),
+                      F.round(F.col("ie") * sc, dp).alias("interaction"),
                       "strata", "strata_one_period_only")
 
 
