@@ -429,3 +429,13 @@ def a_footer(spark, sf):
     supp = res.select(F.count_if(F.col("n").isNull())).scalar()
     return P.a_footer(label, "spells(customer, orders, nation, region)", conf, "not reviewed", fresh,
                       "rehearsal owner", FOOTER_POP, "none", supp, res)
+
+
+@query("a_fresh_stream", """
+SELECT CAST(ts AS DATE) AS day, count(*) AS n, max(ts) AS latest FROM events GROUP BY 1""")
+def a_fresh_stream(spark, sf):
+    """Freshness as a Structured Streaming job over arriving events: daily
+    arrivals and latest event time, 1-day watermark, exact final windows."""
+    from plumbline.streaming import run_freshness_stream
+    t = Tables(spark, sf)
+    return run_freshness_stream(spark, f"{sf.rstrip('/')}/events.parquet", t.events.schema, "ts")

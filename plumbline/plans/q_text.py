@@ -147,3 +147,24 @@ def t_corrections(spark, sf):
     c = Tables(spark, sf).conversations
     hits = X.t_corrections(c, "conv_id", "turn", "role", "text", lexicon_frame(spark, FUNCTION_WORDS))
     return X.t_corrections_summary(hits, "conv_id")
+
+
+@query("t_corrections_stream", "WITH " + LEX_SQL + f""",
+d AS (SELECT conv_id, {TOKENS_SQL} AS t FROM conversations WHERE role = 'user'),
+u AS (SELECT conv_id, unnest(t) AS term, 1 AS n_words FROM d),
+b AS (SELECT conv_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term,
+             2 AS n_words FROM d),
+hits AS (SELECT * FROM (SELECT * FROM u UNION ALL SELECT * FROM b) x JOIN lex USING (term, n_words))
+SELECT category AS signal, term, count(*) AS n_hits, count(DISTINCT conv_id) AS n_conversations
+FROM hits GROUP BY category, term""")
+def t_corrections_stream(spark, sf):
+    """The correction scan as a Structured Streaming job over arriving
+    conversation turns (stateless hits appended to a sink), summarised in
+    batch over the sink."""
+    from plumbline.streaming import run_term_hits_stream
+    t = Tables(spark, sf)
+    hits = run_term_hits_stream(spark, f"{sf.rstrip('/')}/conversations.parquet", t.conversations.schema,
+                                "conv_id", "text", lexicon_frame(spark, FUNCTION_WORDS),
+                                where=F.col("role") == "user")
+    return hits.groupBy(F.col("category").alias("signal"), "term").agg(
+        F.count("*").alias("n_hits"), F.count_distinct("conv_id").alias("n_conversations"))
