@@ -218,7 +218,8 @@ def e_orphan_figure(texts: DataFrame, id_col: str, figures: Column, known: DataF
     k1 = known.select(F.round(F.col(value).cast("double"), 1).alias("f"))
     k2 = known.select(F.col(value).cast("double").alias("f")).where(F.col("f") == F.floor("f"))
     ks = k1.unionByName(k2).distinct()
-    q = texts.select(id_col, F.explode(figures).alias("figure"))
+    from plumbline.session import spread_small_scan
+    q = spread_small_scan(texts).select(id_col, F.explode(figures).alias("figure"))
     return q.join(ks, F.round(q["figure"], 1) == ks["f"], "left_anti")
 
 

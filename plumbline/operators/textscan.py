@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.compare import lexicon_frame, term_hits
 from plumbline.operators.joins import broadcast_bounded
+from plumbline.session import spread_small_scan
 
 # First words that mark a clause fragment rather than a query.
 FRAGMENT_WORDS = ["WHERE", "GROUP", "ORDER", "HAVING", "AND", "OR", "JOIN", "FROM"]
@@ -49,7 +50,7 @@ def t_sql_blocks(docs: DataFrame, id_col: str, text: str, open_re: str, close_re
     illustrative (comment-only), placeholder/elided, clause fragment or
     executable, with its line count."""
     pat = f"(?s){open_re}(.*?){close_re}"
-    blocks = docs.select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(pat), 1)).alias("block_no", "block"))
+    blocks = spread_small_scan(docs).select(id_col, F.posexplode(F.regexp_extract_all(text, F.lit(pat), 1)).alias("block_no", "block"))
     kept = F.filter(F.split("block", "\n"), lambda l: ~_strip(l).startswith(comment_prefix))
     stripped = _strip(F.array_join(kept, "\n"))
     first = F.upper(F.split(stripped, r"\s+")[0])
@@ -68,6 +69,7 @@ def t_sql_lint(queries: DataFrame, id_col: str, text: str, deprecated: DataFrame
     """Regex features of each query text: SELECT DISTINCT, a join with no
     as-of predicate, a percentage with no denominator column, deprecated
     identifiers and tables missing from the documented list."""
+    queries = spread_small_scan(queries)
     t = F.col(text)
     distinct = t.rlike(r"(?i)(?:^|[^A-Za-z0-9_])select\s+distinct(?:$|[^A-Za-z0-9_])")
     join_no_asof = t.rlike(r"(?i)(?:^|[^A-Za-z0-9_])join(?:$|[^A-Za-z0-9_])") & \
@@ -118,6 +120,7 @@ def t_doc_check(docs: DataFrame, id_col: str, text: str, as_of, max_age_days: in
                 sections: Sequence[str] = DOC_SECTIONS) -> DataFrame:
     """Reference-doc hygiene: a named owner, last_verified age, required
     sections present, TODO count."""
+    docs = spread_small_scan(docs)
     t = F.col(text)
     owner = _strip(F.regexp_extract(t, r"(?m)^owner:[ \t]*(.*)$", 1))
     has_owner = (owner != "") & ~owner.startswith("<!--")
@@ -134,7 +137,7 @@ def t_doc_check(docs: DataFrame, id_col: str, text: str, as_of, max_age_days: in
 def t_doc_refs(docs: DataFrame, id_col: str, text: str, catalog: DataFrame) -> DataFrame:
     """Backtick-quoted `table` or `table.column` names in docs that the
     catalog (table_name, column_name) does not know."""
-    refs = docs.select(id_col, F.explode(F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), 1))
+    refs = spread_small_scan(docs).select(id_col, F.explode(F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), 1))
                        .alias("ref"))
     parts = F.split("ref", r"\.")
     tabs = catalog.select(F.lower("table_name").alias("t")).distinct()

@@ -83,7 +83,8 @@ SELECT doc_id, CAST(replace(f, ',', '') AS DOUBLE) AS figure
 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{Tx.FIGURE_PATTERN}', 1)) AS f FROM documents) x""")
 def fn_regex_numbers(spark, sf):
     """Every figure quoted in every whole document, commas stripped."""
-    d = Tables(spark, sf).documents
+    from plumbline.session import spread_small_scan
+    d = spread_small_scan(Tables(spark, sf).documents)
     return d.select("doc_id", F.explode(Tx.number_figures("text")).alias("figure"))
 
 

@@ -63,3 +63,14 @@ def materialize_small(df: DataFrame) -> DataFrame:
     stratum) once, so the several totals and windows computed from it do not
     each re-run the large scan that produced it. Reliable checkpoint."""
     return cut_lineage(df, eager=True)
+
+
+def spread_small_scan(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy per-row work (whole-text regex, tokenising) all cores
+    when the input arrived in fewer partitions than the default parallelism
+    (e.g. a file stored as one row group). Large inputs, which already have
+    many splits, are left untouched: no shuffle of a big table."""
+    if df.isStreaming:
+        return df
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
