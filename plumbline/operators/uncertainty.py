@@ -25,12 +25,13 @@ def u_stability(n: str | Column, k: int = 5, unstable: int = 30) -> Column:
 
 def u_suppress(df: DataFrame, n: str, hide: Sequence[str] = (), k: int = 5) -> DataFrame:
     """Null the count and every derived column of cells with n < k, keep the
-    row, and label it; nothing that reveals the count survives."""
-    small = F.col(n) < k
-    out = df
+    row, and label it; nothing that reveals the count survives. The flag is
+    computed before any column is nulled."""
+    out = df.withColumn("__small", F.col(n) < k)
     for c in [n, *hide]:
-        out = out.withColumn(c, F.when(~small, F.col(c)))
-    return out.withColumn("disclosure", F.when(small, SUPPRESSED.format(k=k)).otherwise("shown"))
+        out = out.withColumn(c, F.when(~F.col("__small"), F.col(c)))
+    return out.withColumn("disclosure", F.when(F.col("__small"), SUPPRESSED.format(k=k)).otherwise("shown")) \
+        .drop("__small")
 
 
 def u_small_cells(df: DataFrame, dims: Sequence[str], key: str, k: int = 5) -> DataFrame:
