@@ -155,10 +155,11 @@ def a_effective(df: DataFrame, key: str, start: str, end: str, current: str,
                 order: Sequence[str] = ()) -> DataFrame:
     """Effective-dated integrity: end before start, overlaps with and gaps
     after the previous row of the same key, keys with several or no current
-    rows. Per-key ordering window; summary in one aggregate."""
-    w = Window.partitionBy(key).orderBy(F.col(start), *[F.col(o) for o in order])
-    prev_end = F.lag(end).over(w)
-    x = df.select(key, start, end, current,
+    rows. Skew-safe per-key ordering; summary in one aggregate."""
+    from plumbline.operators.sequence import keyed_window
+    x0 = keyed_window(df.select(key, start, end, current, *order), key, [start, *order], lag=[end])
+    prev_end = F.col(f"prev_{end}")
+    x = x0.select(key, start, end, current,
                   (F.col(end) < F.col(start)).alias("bad"),
                   (F.col(start) <= prev_end).alias("ov"),
                   (F.col(start) > F.date_add(prev_end, 1)).alias("gap"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.dates import month_end_spine
+from plumbline.operators.sequence import keyed_window
 
 OPEN_END = dt.date(9999, 12, 31)
 
@@ -34,14 +35,14 @@ def etl_history(changes: DataFrame, key: str, start: str, tiebreak: str,
     end = next start - 1 day (9999-12-31 when open), ``is_current`` on the open
     row, change reason 'Hire' on the first row of each key. Ties on the start
     date are ordered by ``tiebreak``; a later same-day change closes the earlier
-    one on the day before (a zero-length row, which a_effective reports)."""
-    w = Window.partitionBy(key).orderBy(F.col(start), F.col(tiebreak))
-    nxt = F.lead(start).over(w)
-    return (changes
-            .withColumn("effective_end", F.coalesce(F.date_sub(nxt, 1), F.lit(OPEN_END)))
+    one on the day before (a zero-length row, which a_effective reports).
+    The per-key ordering is skew-safe (:func:`keyed_window`)."""
+    h = keyed_window(changes, key, [start, tiebreak], lead=[start], row_number="entry_no")
+    nxt = F.col(f"next_{start}")
+    return (h.withColumn("effective_end", F.coalesce(F.date_sub(nxt, 1), F.lit(OPEN_END)))
             .withColumn("is_current", nxt.isNull())
-            .withColumn("change_reason", F.when(F.row_number().over(w) == 1, reason_first)
-                        .otherwise(reason_other)))
+            .withColumn("change_reason", F.when(F.col("entry_no") == 1, reason_first).otherwise(reason_other))
+            .drop(f"next_{start}", "entry_no"))
 
 
 def etl_status(df: DataFrame, exit_: str, leave: Column, as_of: dt.date,
@@ -57,15 +58,16 @@ def etl_status(df: DataFrame, exit_: str, leave: Column, as_of: dt.date,
 def etl_person_link(events: DataFrame, person: str, start: str, tiebreak: str,
                     gap_days: int) -> DataFrame:
     """Group one person's dated rows into spells: a gap of more than
-    ``gap_days`` starts a new spell. Adds spell_no, gap_days, returner flag."""
-    w = Window.partitionBy(person).orderBy(F.col(start), F.col(tiebreak))
-    prev = F.lag(start).over(w)
-    gap = F.datediff(F.col(start), prev)
-    return (events.withColumn("gap_days", gap)
-            .withColumn("__new", F.when(gap.isNull() | (gap > gap_days), 1).otherwise(0))
-            .withColumn("spell_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("returner", F.col("spell_no") > 1)
-            .drop("__new"))
+    ``gap_days`` starts a new spell. Adds spell_no, gap_days, returner flag.
+    Two skew-safe ordered passes: the previous date, then a running count of
+    spell starts."""
+    x = keyed_window(events, person, [start, tiebreak], lag=[start])
+    gap = F.datediff(F.col(start), F.col(f"prev_{start}"))
+    x = x.withColumn("gap_days", gap) \
+        .withColumn("new_spell", F.when(gap.isNull() | (gap > gap_days), 1).otherwise(0)) \
+        .drop(f"prev_{start}")
+    x = keyed_window(x, person, [start, tiebreak], running_sum={"spell_no": "new_spell"})
+    return x.withColumn("returner", F.col("spell_no") > 1).drop("new_spell")
 
 
 def etl_eligibility(spells: DataFrame, entry: str, exit_: str, days: int,

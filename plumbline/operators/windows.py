@@ -15,10 +15,10 @@ def win_share(df: DataFrame, n: str, period: Sequence[str], name: str = "share")
 
 def win_first_spell(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """Rank of each entry within its key; the first is flagged, later ones
-    are the re-entries (window per key, ties broken by ``order``)."""
-    w = Window.partitionBy(key).orderBy(*[F.col(c) for c in order])
-    rn = F.row_number().over(w)
-    return df.withColumn("entry_no", rn.cast("long")).withColumn("is_first", rn == 1)
+    are the re-entries (skew-safe ordered window, ties broken by ``order``)."""
+    from plumbline.operators.sequence import keyed_window
+    out = keyed_window(df, key, list(order), row_number="entry_no")
+    return out.withColumn("entry_no", F.col("entry_no").cast("long")).withColumn("is_first", F.col("entry_no") == 1)
 
 
 def quantile_cuts(df: DataFrame, value: str, probs: Sequence[float]) -> Column:
