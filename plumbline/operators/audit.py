@@ -112,28 +112,27 @@ def a_fresh(tables: dict[str, tuple[DataFrame, str]], max_lag_days: int,
 def a_value_set(df: DataFrame, filters: dict[str, tuple[str, Sequence]]) -> DataFrame:
     """For each filter (column IN values): the values the column takes with
     counts and whether they pass, plus rows passing all filters and rows
-    passing when that one filter is left out -- all in one aggregate pass."""
+    passing when that one filter is left out. One scan: the input is grouped
+    by the combination of filter columns (bounded by their value domains),
+    and everything is derived from that small frame."""
+    cols = list(dict.fromkeys(c for c, _ in filters.values()))
+    combos = materialize_small(df.groupBy(*cols).agg(F.count("*").alias("__n")))
     conds = {n: F.col(c).isin(list(v)) for n, (c, v) in filters.items()}
-    allc = F.lit(True)
-    for c in conds.values():
-        allc = allc & c
-    loo = {}
-    for n in conds:
+
+    def all_but(skip):
         c = F.lit(True)
         for m, cm in conds.items():
-            if m != n:
+            if m != skip:
                 c = c & cm
-        loo[n] = c
-    summary = df.agg(F.count_if(allc).alias("n_all_filters"),
-                     *[F.count_if(loo[n]).alias(f"loo__{n}") for n in conds])
-    summary = materialize_small(summary)
+        return c
+    n_all = combos.select(F.sum(F.when(all_but(None), F.col("__n")).otherwise(0))).scalar()
     out = None
     for n, (c, vals) in filters.items():
-        v = df.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")) \
-            .select(F.lit(n).alias("filter"), "value", "n", F.col("value").isin([str(x) for x in vals])
-                    .alias("passes"),
-                    summary.select("n_all_filters").scalar().alias("n_all_filters"),
-                    summary.select(f"loo__{n}").scalar().alias("n_without_this_filter"))
+        loo = combos.select(F.sum(F.when(all_but(n), F.col("__n")).otherwise(0))).scalar()
+        v = combos.groupBy(F.col(c).cast("string").alias("value")).agg(F.sum("__n").alias("n")) \
+            .select(F.lit(n).alias("filter"), "value", F.col("n").cast("long").alias("n"),
+                    F.col("value").isin([str(x) for x in vals]).alias("passes"),
+                    n_all.cast("long").alias("n_all_filters"), loo.cast("long").alias("n_without_this_filter"))
         out = v if out is None else out.unionByName(v)
     return out
 

@@ -62,24 +62,22 @@ def m_headcount_trend(snapshot: DataFrame, date: str, key: str) -> DataFrame:
     return snapshot.groupBy(date).agg(F.count_distinct(key).alias("headcount"))
 
 
-def m_attrition(events: DataFrame, event_date: str, begin_pop: DataFrame, end_pop: DataFrame,
-                key: str, period: tuple, event_pop: Column | None = None) -> DataFrame:
-    """Separations in [period) divided by beginning, average and ending counts.
-
-    ``event_pop`` filters the numerator; pass the denominator's population so
-    both sides count the same people (the default mode), or ``None`` to replay
-    a numerator that counts every worker type. The three key sets are tagged
-    and unioned so one aggregate computes all counts (no joins)."""
+def m_attrition(df: DataFrame, key: str, event_date: str, period: tuple, begin: Column, end: Column,
+                event_pop: Column | None = None) -> DataFrame:
+    """Separations in [period) divided by beginning, average and ending counts,
+    all from ONE pass over ``df`` (conditional distinct counts).
+
+    ``begin`` / ``end`` select the denominator population at the two dates.
+    ``event_pop`` restricts the numerator; pass the denominator's population
+    so both sides count the same people (the default mode), or ``None`` to
+    replay a numerator that counts every worker type."""
     lo, hi = period
-    ev = events.where((F.col(event_date) >= F.lit(lo)) & (F.col(event_date) < F.lit(hi)))
+    ev = (F.col(event_date) >= F.lit(lo)) & (F.col(event_date) < F.lit(hi))
     if event_pop is not None:
-        ev = ev.where(event_pop)
-    tagged = (ev.select(F.col(key).alias("__k"), F.lit(0).alias("__t"))
-              .unionByName(begin_pop.select(F.col(key).alias("__k"), F.lit(1).alias("__t")))
-              .unionByName(end_pop.select(F.col(key).alias("__k"), F.lit(2).alias("__t"))))
-    out = tagged.agg(*[F.count_distinct(F.when(F.col("__t") == i, F.col("__k"))).alias(n)
-                       for i, n in enumerate(("separations", "beginning_headcount",
-                                              "ending_headcount"))])
+        ev = ev & event_pop
+    out = df.agg(F.count_distinct(F.when(ev, F.col(key))).alias("separations"),
+                 F.count_distinct(F.when(begin, F.col(key))).alias("beginning_headcount"),
+                 F.count_distinct(F.when(end, F.col(key))).alias("ending_headcount"))
     avg = (F.col("beginning_headcount") + F.col("ending_headcount")) / 2.0
     return out.select(
         "separations", "beginning_headcount", "ending_headcount",
@@ -109,19 +107,20 @@ def m_source_panel(candidates, canonical: str) -> DataFrame:
 
 
 def m_attrition_defs(df: DataFrame, event_date: str, definitions: dict[str, Column],
-                     period: tuple, begin_pop: DataFrame, end_pop: DataFrame) -> DataFrame:
+                     period: tuple, begin: Column, end: Column) -> DataFrame:
     """Separations under several definitions over one named denominator (the
-    average of beginning and ending counts), as period and annualised rates."""
+    average of the beginning and ending counts), as period and annualised
+    rates -- one aggregate pass over ``df``."""
     lo, hi = period
     days = (hi - lo).days
     in_p = (F.col(event_date) >= F.lit(lo)) & (F.col(event_date) < F.lit(hi))
-    wide = df.agg(*[F.count_if(in_p & c).alias(f"d__{n}") for n, c in definitions.items()])
-    long = wide.select(F.explode(F.array(*[
+    wide = df.agg(F.count_if(begin).alias("__b"), F.count_if(end).alias("__e"),
+                  *[F.count_if(in_p & c).alias(f"d__{n}") for n, c in definitions.items()])
+    long = wide.select(((F.col("__b") + F.col("__e")) / 2.0).alias("average_headcount"), F.explode(F.array(*[
         F.struct(F.lit(n).alias("definition"), F.col(f"d__{n}").cast("long").alias("separations"))
-        for n in definitions])).alias("r")).select("r.*")
-    avg = (begin_pop.select(F.count("*")).scalar() + end_pop.select(F.count("*")).scalar()) / 2.0
+        for n in definitions])).alias("r")).select("r.*", "average_headcount")
     rate = safe_div(F.col("separations") * 100, F.col("average_headcount"))
-    return long.select("definition", "separations", avg.alias("average_headcount"),
+    return long.select("definition", "separations", "average_headcount",
                        F.lit(days).cast("long").alias("period_days")) \
         .withColumn("period_rate_pct", F.round(rate, 6)) \
         .withColumn("annualised_rate_pct", F.round(rate * 365.0 / days, 6))

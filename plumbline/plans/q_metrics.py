@@ -15,6 +15,7 @@ from plumbline.plans.rehearsal import (AS_OF, SPELL_SQL, SURVEY_SQL, alive_at, a
                                        job_changes, snapshot, snapshot_sql, spells,
                                        status_at, status_sql, survey, with_sql)
 from plumbline.plans.registry import query
+from plumbline.session import materialize_small
 from plumbline.sources.tables import Tables
 
 D = dt.date(2000, 12, 31)
@@ -126,17 +127,20 @@ SELECT source, value, (SELECT v FROM c) AS canonical_value,
   SELECT 'job_rows', (SELECT count(*) FROM orders WHERE o_orderdate <= TIMESTAMP '2000-12-31'),
          'change records, not persons') x""")
 def m_source_panel(spark, sf):
+    """The same concept from four sources: three read the spell view, so they
+    are computed in one conditional aggregate (materialised once, then each
+    candidate is a projection of it); the change-record count scans orders."""
     t = Tables(spark, sf)
     s = spells(t)
-    canon = Population(alive_at(D) & (F.col("wtype") == "BUILDING")
-                       & status_at(D).isin("Active", "On Leave"), "k", "")
+    canon = alive_at(D) & (F.col("wtype") == "BUILDING") & status_at(D).isin("Active", "On Leave")
+    one = materialize_small(s.agg(F.count_distinct(F.when(canon, F.col("k"))).alias("canonical"),
+                                  F.count_if(alive_at(D)).alias("all_types"),
+                                  F.count_if(alive_at(STALE)).alias("stale_rollup")))
     cands = [
-        ("canonical", canon.apply(s).select(F.count_distinct("k")),
+        ("canonical", one.select("canonical"),
          "distinct persons, BUILDING, Active or On Leave, alive at 2000-12-31"),
-        ("all_types", s.where(alive_at(D)).select(F.count("*")),
-         "every segment counted, not only BUILDING"),
-        ("stale_rollup", s.where(alive_at(STALE)).select(F.count("*")),
-         "rollup last refreshed 2000-06-30"),
+        ("all_types", one.select("all_types"), "every segment counted, not only BUILDING"),
+        ("stale_rollup", one.select("stale_rollup"), "rollup last refreshed 2000-06-30"),
         ("job_rows", t.orders.where(F.col("o_orderdate") <= F.lit(dt.datetime(2000, 12, 31)))
          .select(F.count("*")), "change records, not persons"),
     ]
@@ -159,10 +163,8 @@ SELECT count(DISTINCT CASE WHEN sep >= DATE '1999-01-01' AND sep < DATE '2000-01
 FROM spell""")
 def m_attrition(spark, sf):
     s = spells(Tables(spark, sf))
-    return M.m_attrition(s.where(F.col("sep").isNotNull()), "sep",
-                         s.where(alive_at(dt.date(1998, 12, 31))),
-                         s.where(alive_at(dt.date(1999, 12, 31))), "k",
-                         (dt.date(1999, 1, 1), dt.date(2000, 1, 1)))
+    return M.m_attrition(s, "k", "sep", (dt.date(1999, 1, 1), dt.date(2000, 1, 1)),
+                         alive_at(dt.date(1998, 12, 31)), alive_at(dt.date(1999, 12, 31)))
 
 
 def _sep_type():
@@ -194,8 +196,7 @@ def m_attrition_defs(spark, sf):
                    "involuntary": F.col("sep_type") == "Involuntary",
                    "regrettable": (F.col("sep_type") == "Voluntary") & (F.col("tier") >= 3)},
         (dt.date(2000, 1, 1), dt.date(2000, 7, 1)),
-        begin_pop=s.where(alive_at(dt.date(1999, 12, 31))),
-        end_pop=s.where(alive_at(dt.date(2000, 6, 30))))
+        begin=alive_at(dt.date(1999, 12, 31)), end=alive_at(dt.date(2000, 6, 30)))
 
 
 @query("m_attrition_month", with_sql(SPELL_SQL, snapshot_sql("1995-01-01", "2000-06-01")) + """
