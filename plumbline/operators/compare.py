@@ -133,9 +133,9 @@ def k_reg_to_mean(pairs: DataFrame, x1: str, x2: str, cuts: Sequence[float] = (1
     """Change by baseline group vs the change regression to the mean alone
     predicts, (1 - r)(mean1 - group mean1), r = corr(x1, x2). Baseline groups
     come from exact quantile cut points of x1 (frequency pre-aggregate)."""
+    from plumbline.operators.quantiles import exact_quantiles
     p = pairs.where(F.col(x1).isNotNull() & F.col(x2).isNotNull())
-    freq = p.groupBy(x1).agg(F.count("*").alias("__f"))
-    qs = freq.select(F.percentile(x1, F.array(*[F.lit(c) for c in cuts]), F.col("__f"))).scalar()
+    qs = exact_quantiles(p, x1, [], list(cuts)).select("__q").scalar()
     r = p.select(F.corr(x1, x2)).scalar()
     m1 = p.select(F.avg(x1)).scalar()
     grp = None

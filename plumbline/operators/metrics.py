@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import safe_div
 from plumbline.operators.population import Population
+from plumbline.operators.quantiles import exact_quantiles
 from plumbline.session import materialize_small
 
 
@@ -162,13 +163,11 @@ def m_dist(df: DataFrame, value: str, by: Sequence[str] = (), min_n: int = 5,
            dp: int = 6) -> DataFrame:
     """n, mean, median, p25, p75, sd per group; quantiles suppressed when n < min_n.
 
-    Exact quantiles run on a ``(group, value) -> frequency`` pre-aggregate, so a
-    hot group is first reduced map-side to its distinct values instead of
-    buffering every row in one task."""
+    Exact quantiles come from :func:`exact_quantiles` (frequency pre-aggregate,
+    or rank-band refinement for groups with very many distinct values), so no
+    task ever buffers a hot group's raw values."""
     keys = list(by)
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__f"))
-    q = freq.groupBy(*keys).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("__f")).alias("__q"))
+    q = exact_quantiles(df, value, keys, [0.25, 0.5, 0.75])
     mom = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"),
                                 F.stddev_samp(value).alias("sd"))
     if keys:
@@ -251,9 +250,7 @@ def m_outliers(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5
     """Tukey fences per group (exact quartiles on a frequency pre-aggregate),
     with the mean including and excluding values outside the fences."""
     keys = list(by)
-    freq = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__f"))
-    q = freq.groupBy(*keys).agg(
-        F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)), F.col("__f")).alias("__q"))
+    q = exact_quantiles(df, value, keys, [0.25, 0.75])
     iqr = F.col("__q")[1] - F.col("__q")[0]
     fences = q.select(*keys, (F.col("__q")[0] - k * iqr).alias("lo_fence"),
                       (F.col("__q")[1] + k * iqr).alias("hi_fence"))

@@ -151,9 +151,9 @@ def e_paired(sa: DataFrame, sb: DataFrame, z: float = Z95, dp: int = 6) -> DataF
     """Per-eval delta (treated - baseline pass %): mean, exact median, sd, a
     normal-quantile 95% interval for the mean, up/down/flat and the sign test
     (one- and two-sided, labelled)."""
+    from plumbline.operators.quantiles import exact_quantiles
     d = _deltas(sa, sb)
-    freq = d.groupBy("d").agg(F.count("*").alias("__f"))
-    med = freq.select(F.percentile("d", F.lit(0.5), F.col("__f"))).scalar()
+    med = exact_quantiles(d, "d", [], [0.5]).select(F.col("__q")[0]).scalar()
     g = d.agg(F.count("*").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"),
               F.count_if(F.col("d") > 0).alias("up"), F.count_if(F.col("d") < 0).alias("down"),
               F.count_if(F.col("d") == 0).alias("flat"))

@@ -22,10 +22,10 @@ def win_first_spell(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def quantile_cuts(df: DataFrame, value: str, probs: Sequence[float]) -> Column:
-    """Exact cut points as one scalar subquery (array), computed on a
-    value -> frequency pre-aggregate."""
-    freq = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__f"))
-    return freq.select(F.percentile(value, F.array(*[F.lit(p) for p in probs]), F.col("__f"))).scalar()
+    """Exact cut points as one scalar subquery (array) from
+    :func:`exact_quantiles` (skew-safe)."""
+    from plumbline.operators.quantiles import exact_quantiles
+    return exact_quantiles(df, value, [], list(probs)).select("__q").scalar()
 
 
 def win_quantile_bin(df: DataFrame, value: str, probs: Sequence[float] = (0.15, 0.5, 0.85),
