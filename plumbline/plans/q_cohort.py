@@ -93,7 +93,7 @@ def c_km(spark, sf):
 
 def _orders_9899(spark, sf):
     o = Tables(spark, sf).orders
-    o = o.where(in_range("o_orderdate", dt.datetime(1998, 1, 1), dt.datetime(2000, 1, 1)))
+    o = o.where(in_range("o_orderdate", dt.date(1998, 1, 1), dt.date(2000, 1, 1)))
     return o, F.year("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderstatus") == "F"
 
 

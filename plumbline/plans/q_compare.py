@@ -224,8 +224,8 @@ FROM m""")
 def k_composition(spark, sf):
     """Mean order value 1998 -> 1999 decomposed into within-priority change
     and priority-mix change (c_decompose on a mean, scale 1)."""
-    o = Tables(spark, sf).orders.where(in_range("o_orderdate", dt.datetime(1998, 1, 1),
-                                                dt.datetime(2000, 1, 1)))
+    o = Tables(spark, sf).orders.where(in_range("o_orderdate", dt.date(1998, 1, 1),
+                                                dt.date(2000, 1, 1)))
     return c_decompose(o, F.year("o_orderdate"), 1998, 1999, F.col("o_orderpriority"),
                        F.col("o_totalprice"), scale=1.0)
 

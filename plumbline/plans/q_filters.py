@@ -58,7 +58,7 @@ def flt_year(spark, sf):
 SELECT l_linestatus, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1997-12-31' GROUP BY 1""")
 def flt_range_scan(spark, sf):
     li = Tables(spark, sf).lineitem
-    return li.where(F.col("l_shipdate") <= F.lit(dt.datetime(1997, 12, 31))) \
+    return li.where(F.col("l_shipdate") <= F.lit(dt.date(1997, 12, 31))) \
         .groupBy("l_linestatus").agg(F.count("*").alias("n"))
 
 

@@ -75,8 +75,8 @@ def join_self_period(spark, sf):
     """Period 0 paired with period 1 by conditional aggregation in one scan
     (the full-outer-with-zero-fill result without a self-join); strata seen
     in one period only are kept and flagged."""
-    o = Tables(spark, sf).orders.where((F.col("o_orderdate") >= F.lit(dt.datetime(1998, 1, 1)))
-                                       & (F.col("o_orderdate") < F.lit(dt.datetime(2000, 1, 1))))
+    o = Tables(spark, sf).orders.where((F.col("o_orderdate") >= F.lit(dt.date(1998, 1, 1)))
+                                       & (F.col("o_orderdate") < F.lit(dt.date(2000, 1, 1))))
     y = F.year("o_orderdate")
     g = o.groupBy(F.col("o_orderpriority").alias("band")).agg(
         F.count_if(y == 1998).alias("n0"), F.count_if(y == 1999).alias("n1"))

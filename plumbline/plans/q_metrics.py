@@ -141,7 +141,7 @@ def m_source_panel(spark, sf):
          "distinct persons, BUILDING, Active or On Leave, alive at 2000-12-31"),
         ("all_types", one.select("all_types"), "every segment counted, not only BUILDING"),
         ("stale_rollup", one.select("stale_rollup"), "rollup last refreshed 2000-06-30"),
-        ("job_rows", t.orders.where(F.col("o_orderdate") <= F.lit(dt.datetime(2000, 12, 31)))
+        ("job_rows", t.orders.where(F.col("o_orderdate") <= F.lit(dt.date(2000, 12, 31)))
          .select(F.count("*")), "change records, not persons"),
     ]
     return M.m_source_panel(cands, "canonical")
@@ -326,8 +326,8 @@ def m_response_rate(spark, sf):
     t = Tables(spark, sf)
     resp = survey(t)
     users = t.events.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-    waves = [("W1", dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 16)),
-             ("W2", dt.datetime(2024, 1, 16), dt.datetime(2024, 2, 1))]
+    waves = [("W1", dt.date(2024, 1, 1), dt.date(2024, 1, 16)),
+             ("W2", dt.date(2024, 1, 16), dt.date(2024, 2, 1))]
     arr = F.array(*[F.struct(F.lit(w).alias("wave"), F.lit(lo).alias("w_lo"), F.lit(hi).alias("w_hi"))
                     for w, lo, hi in waves])
     elig = (users.withColumn("__w", F.explode(arr)).select("user_id", "__w.*")

@@ -33,7 +33,7 @@ def spells(t: Tables) -> DataFrame:
     Orders are aggregated to the customer grain *before* the customer join, so
     the large side is reduced map-side (partial aggregation) and the join runs
     at customer grain; nation/region are broadcast behind a row-count check."""
-    o = (t.orders.where(F.col("o_orderdate") <= F.lit(dt.datetime(2001, 6, 30)))
+    o = (t.orders.where(F.col("o_orderdate") <= F.lit(dt.date(2001, 6, 30)))
          .select("o_custkey", "o_orderkey", "o_orderpriority",
                  F.col("o_orderdate").cast("date").alias("d")))
     per_cust = o.groupBy("o_custkey").agg(
@@ -116,7 +116,7 @@ def with_sql(*ctes: str) -> str:
 
 # The survey rehearsal switches from a 5-point to a 7-point scale
 # on 2024-01-16; the response is 1 + (k mod scale) with k from the event props.
-SCALE_BREAK = dt.datetime(2024, 1, 16)
+SCALE_BREAK = dt.date(2024, 1, 16)
 
 
 def survey(t: Tables) -> DataFrame:
