@@ -20,6 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.joins import broadcast_bounded
 from plumbline.session import materialize_small
 
 
@@ -29,7 +30,8 @@ def _freq(d: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    max_band: int = 1_000_000, grid: int = 100, max_rounds: int = 12) -> DataFrame:
+                    max_band: int = 1_000_000, grid: int = 100, max_rounds: int = 12,
+                    max_big_groups: int = 10_000) -> DataFrame:
     """(by..., __q: array of quantiles in ``probs`` order) per group. With no
     grouping columns the single group is keyed by a constant internally."""
     if not by:
@@ -41,11 +43,14 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
     stats = materialize_small(d.groupBy(*keys).agg(F.count("*").alias("__n"),
                                                    F.approx_count_distinct("__v").alias("__nd")))
     big = stats.where(F.col("__nd") > max_band)
-    if big.isEmpty():
+    n_big = big.limit(max_big_groups + 1).count()
+    if n_big == 0:
         return _freq(d, keys, probs)
-    small = _freq(d.join(F.broadcast(stats.where(F.col("__nd") <= max_band).select(*keys)), keys, "left_semi"),
-                  keys, probs)
-    bigk = big.select(*keys, "__n")
+    if n_big > max_big_groups:  # each has > max_band distinct values, so this is rare
+        raise ValueError(f"more than {max_big_groups} groups exceed {max_band} distinct values; "
+                         "raise max_band or use percentile_approx")
+    bigk = F.broadcast(big.select(*keys, "__n"))  # proven: at most max_big_groups rows
+    small = _freq(d.join(bigk.select(*keys), keys, "left_anti"), keys, probs)
     # targets: the two ranks bracketing p * (n - 1) for every p
     tg = bigk.select(*keys, "__n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("__pi", "__p")) \
         .withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
@@ -56,7 +61,7 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
         *keys, "__r", F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
         F.lit(0).cast("long").alias("__below"), F.col("__r").alias("__r0")).join(bigk, keys)
         .withColumnRenamed("__n", "__in"))
-    dk = d.join(F.broadcast(bigk.select(*keys)), keys, "left_semi")
+    dk = d.join(bigk.select(*keys), keys, "left_semi")
     gp = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
     acc = max(10_000, grid * 100)
     for _ in range(max_rounds):
@@ -66,15 +71,17 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
         inb = _in_band(dk, live, keys)
         g = materialize_small(inb.groupBy(*keys, "__r").agg(F.percentile_approx("__v", gp, acc).alias("__g")))
         cell = F.size(F.filter("__g", lambda x: x < F.col("__v")))
-        cnt = inb.join(F.broadcast(g), [*keys, "__r"]).groupBy(*keys, "__r", cell.alias("__c")) \
+        gb = broadcast_bounded(g, 100_000)  # targets x grid points
+        cnt = inb.join(gb, [*keys, "__r"]).groupBy(*keys, "__r", cell.alias("__c")) \
             .agg(F.count("*").alias("__k"))
         w = Window.partitionBy(*keys, "__r").orderBy("__c")  # at most grid + 2 rows per target
         cnt = cnt.withColumn("__cum", F.coalesce(F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, -1)),
                                                  F.lit(0)))
         rel = F.col("__r") - F.col("__below")
-        hit = cnt.join(F.broadcast(live.select(*keys, "__r", "__below", "__lo", "__hi")), [*keys, "__r"]) \
+        hit = cnt.join(broadcast_bounded(live.select(*keys, "__r", "__below", "__lo", "__hi"), 100_000),
+                       [*keys, "__r"]) \
             .where((rel >= F.col("__cum")) & (rel < F.col("__cum") + F.col("__k"))) \
-            .join(F.broadcast(g), [*keys, "__r"])
+            .join(gb, [*keys, "__r"])
         lo_new = F.when(F.col("__c") > 0, F.element_at("__g", F.col("__c"))).otherwise(F.col("__lo"))
         hi_new = F.when(F.col("__c") <= grid, F.element_at("__g", F.col("__c") + 1)).otherwise(F.col("__hi"))
         moved = hit.select(*keys, "__r", lo_new.alias("__lo"), hi_new.alias("__hi"),
@@ -83,7 +90,7 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
         state = materialize_small(done.unionByName(moved))
     # final: sort each band (<= max_band values) and read the order statistics
     fin = _in_band(dk, state, keys).groupBy(*keys, "__r").agg(F.array_sort(F.collect_list("__v")).alias("__s"))
-    vals = fin.join(F.broadcast(state.select(*keys, "__r", "__below")), [*keys, "__r"]) \
+    vals = fin.join(broadcast_bounded(state.select(*keys, "__r", "__below"), 100_000), [*keys, "__r"]) \
         .select(*keys, "__r", F.element_at("__s", (F.col("__r") - F.col("__below") + 1).cast("int")).alias("__x"))
     vf = vals.withColumnRenamed("__r", "__rf").withColumnRenamed("__x", "__xf")
     vc = vals.withColumnRenamed("__r", "__rc").withColumnRenamed("__x", "__xc")
@@ -98,6 +105,6 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
 
 def _in_band(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of each target's band: lo < v <= hi (null bounds are open)."""
-    st = F.broadcast(state.select(*keys, "__r", "__lo", "__hi"))  # 2 x len(probs) rows per group
+    st = broadcast_bounded(state.select(*keys, "__r", "__lo", "__hi"), 100_000)  # 2 x len(probs) per group
     return d.join(st, keys).where((F.col("__lo").isNull() | (F.col("__v") > F.col("__lo")))
                    & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))

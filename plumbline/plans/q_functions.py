@@ -84,8 +84,8 @@ FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{Tx.FIGURE_PATTERN}', 1))
 def fn_regex_numbers(spark, sf):
     """Every figure quoted in every whole document, commas stripped."""
     from plumbline.session import spread_small_scan
-    d = spread_small_scan(Tables(spark, sf).documents)
-    return d.select("doc_id", F.explode(Tx.number_figures("text")).alias("figure"))
+    d = Tables(spark, sf).documents.where(Tx.may_hold_figures("text"))
+    return spread_small_scan(d).select("doc_id", F.explode(Tx.number_figures("text")).alias("figure"))
 
 
 @query("fn_flatten_path", """

@@ -210,8 +210,10 @@ k AS (SELECT DISTINCT round(o_totalprice, 1) AS v FROM orders
 SELECT doc_id, figure FROM f WHERE round(figure, 1) NOT IN (SELECT v FROM k)""")
 def e_orphan_figure(spark, sf):
     """Figures quoted in documents that match no pinned value (order totals)."""
+    from plumbline.functions.text import may_hold_figures
     t = Tables(spark, sf)
-    return E.e_orphan_figure(t.documents, "doc_id", number_figures("text"), t.orders, "o_totalprice")
+    docs = t.documents.where(may_hold_figures("text"))
+    return E.e_orphan_figure(docs, "doc_id", number_figures("text"), t.orders, "o_totalprice")
 
 
 @query("e_trend", sql("""

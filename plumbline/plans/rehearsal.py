@@ -48,7 +48,7 @@ def spells(t: Tables) -> DataFrame:
     c = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("wtype"),
                           "c_nationkey", F.col("c_acctbal").alias("bal"))
     return (c.join(per_cust, c.k == per_cust.o_custkey)
-            .join(F.broadcast(geo), F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(broadcast_bounded(geo, 10_000), F.col("c_nationkey") == F.col("n_nationkey"))
             .select("k", "wtype", "unit", "loc", "hire", "last",
                     F.when(F.col("last") < F.lit(SEP_CUT), F.col("last")).alias("sep"),
                     "prio", "treated", "bal",
