@@ -83,19 +83,37 @@ def join_full_drift(a: DataFrame, b: DataFrame, key: str | Sequence[str], value:
 
 
 def join_asof_dim(fact: DataFrame, dim: DataFrame, keys, fact_date: str, start: str,
-                  end: str, attrs: Sequence[str]) -> DataFrame:
-    """Attach the dimension row in force on ``fact_date`` (start <= d <= end).
-
-    An equi join on the entity key plus a range predicate: Spark evaluates the
-    range as a join condition on each key's partition, so no theta/cross join
-    is planned."""
+                  end: str, attrs: Sequence[str], hot_rows: int = 2_000_000) -> DataFrame:
+    """Attach the dimension row in force on ``fact_date`` (start <= d <= end),
+    for a dimension whose rows do not overlap within a key.
+
+    A sort-based as-of join, not a range-filtered equi join (which compares
+    every fact row with every dimension row of the same key -- quadratic for
+    a hot key): dimension and fact rows are unioned, ordered per key by date
+    (a dimension row starting that day sorts first), the latest dimension row
+    is carried forward (``last(ignorenulls)``), and kept when the fact date
+    is within its end. The ordered pass is :func:`keyed_window`, so hot keys
+    are split into sub-ranges. Fact rows with no row in force keep null attrs."""
+    from plumbline.operators.sequence import keyed_window
     keys = _keys(keys)
-    d = dim.select(*[F.col(k).alias(f"__d_{k}") for k in keys], F.col(start).alias("__s"),
-                   F.col(end).alias("__e"), *attrs)
-    cond = [fact[k] == d[f"__d_{k}"] for k in keys]
-    cond.append((F.col(fact_date) >= F.col("__s")) & (F.col(fact_date) <= F.col("__e")))
-    cols = [c for c in d.columns if c.startswith("__")]
-    return fact.join(d, on=cond, how="left").drop(*cols)
+    kc = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0])
+    payload = F.struct(F.col(end).alias("__end"), *[F.col(a).alias(a) for a in attrs])
+    fcols = fact.columns
+    d = dim.select(kc.alias("__key"), F.col(start).alias("__t"), F.lit(0).alias("__kind"),
+                   F.col(end).alias("__e"), payload.alias("__dim"),
+                   F.lit(None).cast(fact.select(F.struct(*fcols)).schema[0].dataType).alias("__fact"))
+    f = fact.select(kc.alias("__key"), F.col(fact_date).alias("__t"), F.lit(1).alias("__kind"),
+                    F.lit(None).cast(dim.select(F.col(end)).schema[0].dataType).alias("__e"),
+                    F.lit(None).cast(dim.select(payload).schema[0].dataType).alias("__dim"),
+                    F.struct(*fcols).alias("__fact"))
+    u = d.unionByName(f)
+    # same start day: dimension rows first, shortest first (a zero-length row
+    # left by a same-day change never shadows the row in force); the order
+    # among fact rows of one day is irrelevant to a forward fill
+    filled = keyed_window(u, "__key", ["__t", "__kind", "__e"], ffill=["__dim"], hot_rows=hot_rows)
+    r = filled.where(F.col("__kind") == 1)
+    inforce = F.col("filled___dim").isNotNull() & (F.col("__t") <= F.col("filled___dim.__end"))
+    return r.select("__fact.*", *[F.when(inforce, F.col(f"filled___dim.{a}")).alias(a) for a in attrs])
 
 
 def explode_list(df: DataFrame, name: str, values: Sequence) -> DataFrame:

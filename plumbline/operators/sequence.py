@@ -29,9 +29,13 @@ from plumbline.operators.joins import broadcast_bounded
 from plumbline.session import materialize_small
 
 
-def _plain(base: DataFrame, key: str, order: Sequence[str], lead, lag, row_number, running_sum) -> DataFrame:
+def _plain(base: DataFrame, key: str, order: Sequence[str], lead, lag, row_number, running_sum,
+           ffill=(), keep=frozenset()) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*[F.col(c) for c in order])
     out = base
+    for c in ffill:
+        out = out.withColumn(f"filled_{c}", F.last(c, ignorenulls=True).over(
+            w.rowsBetween(Window.unboundedPreceding, 0)))
     for c in lead:
         out = out.withColumn(f"next_{c}", F.lead(c).over(w))
     for c in lag:
@@ -40,16 +44,17 @@ def _plain(base: DataFrame, key: str, order: Sequence[str], lead, lag, row_numbe
         out = out.withColumn(row_number, F.row_number().over(w))
     for name in running_sum:
         out = out.withColumn(name, F.sum(f"__rs_in_{name}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])
 
 
 def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[str] = (),
                  lag: Sequence[str] = (), row_number: str | None = None,
-                 running_sum: dict[str, str | Column] | None = None,
+                 running_sum: dict[str, str | Column] | None = None, ffill: Sequence[str] = (),
                  hot_rows: int = 2_000_000, max_splits: int = 4096,
                  max_hot_keys: int = 100_000) -> DataFrame:
     """Adds ``next_<c>`` for c in lead, ``prev_<c>`` for c in lag, the row
-    number (1-based) and running sums (name -> column), per key in ``order``.
+    number (1-based), running sums (name -> column) and ``filled_<c>`` (the
+    last non-null value of c so far, i.e. a forward fill), per key in ``order``.
 
     Sub-ranges per hot key are sized from the largest hot key so each holds
     about ``hot_rows`` rows (at most ``max_splits + 1`` sub-ranges)."""
@@ -64,7 +69,7 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
     hot = materialize_small(counts.where(F.col("__n") > hot_rows))
     stats = hot.agg(F.count("*").alias("k"), F.max("__n").alias("m")).first()  # two scalars
     if not stats["k"]:
-        return _plain(base, key, order, lead, lag, row_number, running_sum)
+        return _plain(base, key, order, lead, lag, row_number, running_sum, ffill, frozenset(df.columns))
     if stats["k"] > max_hot_keys:
         raise ValueError(f"more than {max_hot_keys} keys exceed {hot_rows} rows; raise hot_rows")
     splits = max(1, min(max_splits, math.ceil(stats["m"] / hot_rows) - 1))
@@ -89,13 +94,17 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
         local = local.withColumn("__rn", F.row_number().over(w))
     for name in running_sum:
         local = local.withColumn(f"__rs_{name}", F.sum(f"__rs_in_{name}").over(wr))
+    for c in ffill:
+        local = local.withColumn(f"__ff_{c}", F.last(c, ignorenulls=True).over(wr))
 
     # 3. per (key, sub-range) summary -> cross-boundary values and offsets
     firsts = [F.min_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__first_{c}") for c in lead]
     lasts = [F.max_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__last_{c}") for c in lag]
     sums = [F.sum(f"__rs_in_{n}").alias(f"__tot_{n}") for n in running_sum]
+    lastnn = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order])))
+              .alias(f"__lnn_{c}") for c in ffill]
     part = (with_sub.join(F.broadcast(bounds.select(key)), key, "left_semi").groupBy(key, "__sub")
-            .agg(F.count("*").alias("__cnt"), *firsts, *lasts, *sums))
+            .agg(F.count("*").alias("__cnt"), *firsts, *lasts, *sums, *lastnn))
     ws = Window.partitionBy(key).orderBy("__sub")  # one row per (hot key, sub-range)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
     fix = part.select(key, "__sub",
@@ -103,7 +112,8 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
                       *[F.lag(f"__last_{c}").over(ws).alias(f"__fx_lg_{c}") for c in lag],
                       F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
                       *[F.coalesce(F.sum(f"__tot_{n}").over(before), F.lit(0)).alias(f"__fx_rs_{n}")
-                        for n in running_sum])
+                        for n in running_sum],
+                      *[F.last(f"__lnn_{c}", ignorenulls=True).over(before).alias(f"__fx_ff_{c}") for c in ffill])
     fix = materialize_small(fix)  # at most hot keys x (splits + 1) rows
     out = local.join(broadcast_bounded(fix, 5_000_000), [key, "__sub"], "left")
 
@@ -116,4 +126,6 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
         out = out.withColumn(row_number, F.col("__rn") + F.coalesce("__off", F.lit(0)))
     for name in running_sum:
         out = out.withColumn(name, F.col(f"__rs_{name}") + F.coalesce(F.col(f"__fx_rs_{name}"), F.lit(0)))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    for c in ffill:
+        out = out.withColumn(f"filled_{c}", F.coalesce(F.col(f"__ff_{c}"), F.col(f"__fx_ff_{c}")))
+    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in df.columns])

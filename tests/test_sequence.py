@@ -28,3 +28,23 @@ def test_keyed_window_without_hot_keys_is_plain(spark):
     df = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "k int, t int")
     r = sorted(tuple(x) for x in keyed_window(df, "k", ["t"], lead=["t"], row_number="rn").collect())
     assert r == [(1, 1, 2, 1), (1, 2, None, 2), (2, 1, None, 1)]
+
+
+def test_asof_join_matches_range_join_with_hot_key(spark):
+    from plumbline.operators.etl import etl_history
+    from plumbline.operators.joins import join_asof_dim
+    o = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    hot = F.when(F.col("o_orderkey") % 3 == 0, F.lit(7)).otherwise(F.col("o_custkey"))
+    ch = o.select(hot.alias("k"), F.col("o_orderdate").cast("date").alias("start"), F.col("o_orderkey").alias("ref"),
+                  F.col("o_orderpriority").alias("unit_code"))
+    h = etl_history(ch, "k", "start", "ref")
+    f = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        hot.alias("k"), F.col("l_shipdate").cast("date").alias("ship"), "l_orderkey", "l_linenumber")
+    got = join_asof_dim(f, h, "k", "ship", "start", "effective_end", ["unit_code"], hot_rows=40)
+    d = h.select(F.col("k").alias("dk"), "start", "effective_end", "unit_code")
+    want = f.join(d, (f.k == d.dk) & (f.ship >= d.start) & (f.ship <= d.effective_end), "left") \
+        .select("k", "ship", "l_orderkey", "l_linenumber", "unit_code")
+    cols = ["k", "ship", "l_orderkey", "l_linenumber", "unit_code"]
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0
+    assert want.select(*cols).exceptAll(got.select(*cols)).count() == 0
