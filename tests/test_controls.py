@@ -133,3 +133,26 @@ def test_flatten_nested_json(spark):
     out = flatten_json(df, "id", "j", "a struct<b: int, c: array<int>>, d string")
     assert sorted((r.path, r.value) for r in out.collect()) == [
         ("a.b", "1"), ("a.c[0]", "10"), ("a.c[1]", "20"), ("d", "x")]
+
+
+def test_read_docs_and_classify_blocks(spark, tmp_path):
+    from plumbline.sources.tables import read_docs
+    (tmp_path / "a.md").write_text(MD)
+    (tmp_path / "b.md").write_text("no code here\n")
+    docs = read_docs(spark, str(tmp_path / "*.md"))
+    assert docs.count() == 2
+    out = X.t_sql_blocks(docs, "path", "text", "```sql\n", "```")
+    assert out.count() == 4 and out.where(F.col("classification") == "executable").count() == 1
+
+
+def test_correction_signals_lexicon(spark):
+    from plumbline.operators.compare import lexicon_frame
+    turns = spark.createDataFrame([
+        (1, 0, "user", "How many people left last year?"),
+        (1, 1, "assistant", "Attrition was 12%."),
+        (1, 2, "user", "That doesn't match the dashboard, and you need to exclude the contingent workers."),
+        (2, 0, "user", "We renamed that field last quarter.")], "conv int, turn int, role string, text string")
+    hits = X.t_corrections(turns, "conv", "turn", "role", "text", lexicon_frame(spark, X.CORRECTION_SIGNALS))
+    got = sorted((r.conv, r.turn, r.signal, r.after_assistant) for r in hits.collect())
+    assert got == [(1, 2, "missing filter", True), (1, 2, "reconciliation failure", True),
+                   (2, 0, "stale knowledge", False)]
