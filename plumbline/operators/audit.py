@@ -225,15 +225,23 @@ def a_trend_break(series: DataFrame, time: str, value: str, break_at, dp: int =
 
 
 def a_missing_by_group(df: DataFrame, cols: Sequence[str], group: str, dp: int = 6) -> DataFrame:
-    """Null rate of each column by group with a Wilson range: is missingness
-    related to the group?"""
+    """Is missingness related to the group? Null rate of each column by group
+    with a Wilson range, and the difference from the rest of the data (all
+    other groups) with a Newcombe interval."""
+    from plumbline.operators.uncertainty import u_diff_ci
     wide = df.groupBy(group).agg(F.count("*").alias("n"),
                                  *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
     long = wide.unpivot([group, "n"], list(cols), "column", "n_null")
+    tot = long.groupBy("column").agg(F.sum("n").alias("__tn"), F.sum("n_null").alias("__tx"))
+    j = long.join(F.broadcast(tot), "column")  # one row per audited column (a parameter list)
     lo, hi = wilson_bounds("n_null", "n")
-    return long.select(group, "column", "n", "n_null",
-                       F.round(safe_div(F.col("n_null") * 100, "n"), dp).alias("null_rate_pct"),
-                       F.round(lo * 100, dp).alias("lower_pct"), F.round(hi * 100, dp).alias("upper_pct"))
+    d, dlo, dhi = u_diff_ci(F.col("n_null"), F.col("n"), F.col("__tx") - F.col("n_null"),
+                            F.col("__tn") - F.col("n"))
+    return j.select(group, "column", "n", "n_null",
+                    F.round(safe_div(F.col("n_null") * 100, "n"), dp).alias("null_rate_pct"),
+                    F.round(lo * 100, dp).alias("lower_pct"), F.round(hi * 100, dp).alias("upper_pct"),
+                    F.round(d * 100, dp).alias("diff_vs_rest_pts"), F.round(dlo * 100, dp).alias("diff_lower_pts"),
+                    F.round(dhi * 100, dp).alias("diff_upper_pts"))
 
 
 def a_units(df: DataFrame, unit: str, by: Sequence[str]) -> DataFrame:

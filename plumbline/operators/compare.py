@@ -85,9 +85,13 @@ def k_standardised(units: DataFrame, treated, outcome, stratum: str,
                     F.coalesce(F.col("__lost"), F.lit(0.0)).cast("long").alias("n_excluded"))
 
 
-def k_assignment(units: DataFrame, treated, covariates: Sequence[str], dp: int = 6) -> DataFrame:
-    """Covariate balance by arm: means and the standardised mean difference
-    (m1 - m0) / sqrt((v1 + v0) / 2), one aggregate pass, returned long."""
+def k_assignment(units: DataFrame, treated, covariates: Sequence[str], categorical: Sequence[str] = (),
+                 dp: int = 6) -> DataFrame:
+    """How the arms differ before any outcome: for numeric covariates the
+    means by arm and the standardised mean difference (m1 - m0) /
+    sqrt((v1 + v0) / 2); for categorical ones the share of each level by arm
+    and the standardised difference of proportions. Returned long, one row
+    per covariate (or covariate=level)."""
     t = _c(treated).cast("boolean")
     aggs = []
     for c in covariates:
@@ -101,8 +105,21 @@ def k_assignment(units: DataFrame, treated, covariates: Sequence[str], dp: int =
                      F.round(safe_div(F.col(f"{c}__m1") - F.col(f"{c}__m0"),
                                       F.sqrt((F.col(f"{c}__v1") + F.col(f"{c}__v0")) / 2)), dp).alias("smd"))
             for c in covariates]
-    return wide.select("n_treated", "n_control", F.explode(F.array(*rows)).alias("r")) \
+    out = wide.select("n_treated", "n_control", F.explode(F.array(*rows)).alias("r")) \
         .select("r.covariate", "n_treated", "n_control", "r.mean_treated", "r.mean_control", "r.smd")
+    if categorical:
+        n1 = wide.select("n_treated").scalar()
+        n0 = wide.select("n_control").scalar()
+        for c in categorical:
+            lv = units.groupBy(F.col(c).cast("string").alias("__lv")).agg(
+                F.count_if(t).alias("__k1"), F.count_if(~t).alias("__k0"))
+            p1, p0 = safe_div("__k1", n1), safe_div("__k0", n0)
+            sd = F.sqrt((p1 * (1 - p1) + p0 * (1 - p0)) / 2)
+            out = out.unionByName(lv.select(
+                F.concat(F.lit(f"{c}="), F.coalesce("__lv", F.lit("<null>"))).alias("covariate"),
+                n1.alias("n_treated"), n0.alias("n_control"), F.round(p1, dp).alias("mean_treated"),
+                F.round(p0, dp).alias("mean_control"), F.round(safe_div(p1 - p0, sd), dp).alias("smd")))
+    return out
 
 
 def k_landmark(units: DataFrame, entry: str, exit_: str, award_date: str, landmark,

@@ -235,13 +235,20 @@ def a_trend_break(spark, sf):
 
 
 _mlo, _mhi = wilson_sql("n_null", "n")
+_rlo, _rhi = wilson_sql("(tx - n_null)", "(tn - n)")
 
 
 @query("a_missing_by_group", with_sql(DL_SQL) + f"""
 , w AS (SELECT lang, count(*) AS n, count(*) - count(quality) AS nq, count(*) - count(toxic) AS nt FROM dl GROUP BY lang),
-l AS (SELECT lang, 'quality' AS "column", n, nq AS n_null FROM w UNION ALL SELECT lang, 'toxic', n, nt FROM w)
+l AS (SELECT lang, 'quality' AS "column", n, nq AS n_null FROM w UNION ALL SELECT lang, 'toxic', n, nt FROM w),
+t AS (SELECT "column", sum(n) AS tn, sum(n_null) AS tx FROM l GROUP BY 1),
+j AS (SELECT l.*, tn, tx, n_null / NULLIF(n, 0) AS p1, (tx - n_null) / NULLIF(tn - n, 0) AS p0 FROM l JOIN t USING ("column"))
 SELECT lang, "column", n, n_null, round(100.0 * n_null / n, 6) AS null_rate_pct,
-       round({_mlo} * 100, 6) AS lower_pct, round({_mhi} * 100, 6) AS upper_pct FROM l""")
+       round({_mlo} * 100, 6) AS lower_pct, round({_mhi} * 100, 6) AS upper_pct,
+       round((p1 - p0) * 100, 6) AS diff_vs_rest_pts,
+       round((p1 - p0 - sqrt(pow(p1 - {_mlo}, 2) + pow({_rhi} - p0, 2))) * 100, 6) AS diff_lower_pts,
+       round((p1 - p0 + sqrt(pow({_mhi} - p1, 2) + pow(p0 - {_rlo}, 2))) * 100, 6) AS diff_upper_pts
+FROM j""")
 def a_missing_by_group(spark, sf):
     return A.a_missing_by_group(_dl(Tables(spark, sf)), ["quality", "toxic"], "lang")
 

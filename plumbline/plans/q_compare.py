@@ -102,10 +102,18 @@ SELECT 'bal' AS covariate, n_treated, n_control, round(b1, 6) AS mean_treated, r
        round((b1 - b0) / NULLIF(sqrt((bv1 + bv0) / 2), 0), 6) AS smd FROM w
 UNION ALL
 SELECT 'tenure_days', n_treated, n_control, round(d1, 6), round(d0, 6),
-       round((d1 - d0) / NULLIF(sqrt((dv1 + dv0) / 2), 0), 6) FROM w""")
+       round((d1 - d0) / NULLIF(sqrt((dv1 + dv0) / 2), 0), 6) FROM w
+UNION ALL
+SELECT 'wtype=' || coalesce(wtype, '<null>'), (SELECT n_treated FROM w), (SELECT n_control FROM w),
+       round(k1 / (SELECT n_treated FROM w), 6), round(k0 / (SELECT n_control FROM w), 6),
+       round((k1 / (SELECT n_treated FROM w) - k0 / (SELECT n_control FROM w))
+             / NULLIF(sqrt((k1 / (SELECT n_treated FROM w) * (1 - k1 / (SELECT n_treated FROM w))
+                            + k0 / (SELECT n_control FROM w) * (1 - k0 / (SELECT n_control FROM w))) / 2), 0), 6)
+FROM (SELECT wtype, count(CASE WHEN treated = 1 THEN 1 END) AS k1, count(CASE WHEN treated = 0 THEN 1 END) AS k0
+      FROM spell GROUP BY wtype) lv""")
 def k_assignment(spark, sf):
     s = _sp(spark, sf).withColumn("tenure_days", F.datediff(F.lit(AS_OF), "hire").cast("double"))
-    return K.k_assignment(s, F.col("treated") == 1, ["bal", "tenure_days"])
+    return K.k_assignment(s, F.col("treated") == 1, ["bal", "tenure_days"], categorical=["wtype"])
 
 
 AWARD_DAYS = 1095
