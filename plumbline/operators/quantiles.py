@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import broadcast_bounded
-from plumbline.session import materialize_small
+from plumbline.session import cut_lineage, materialize_small
 
 
 def _freq(d: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
@@ -87,7 +87,7 @@ def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequenc
         moved = hit.select(*keys, "__r", lo_new.alias("__lo"), hi_new.alias("__hi"),
                            (F.col("__below") + F.col("__cum")).alias("__below"), F.col("__k").alias("__in"))
         done = state.where(F.col("__in") <= max_band).select(*keys, "__r", "__lo", "__hi", "__below", "__in")
-        state = materialize_small(done.unionByName(moved))
+        state = cut_lineage(done.unionByName(moved))  # iterative: cut lineage each round
     # final: sort each band (<= max_band values) and read the order statistics
     fin = _in_band(dk, state, keys).groupBy(*keys, "__r").agg(F.array_sort(F.collect_list("__v")).alias("__s"))
     vals = fin.join(broadcast_bounded(state.select(*keys, "__r", "__below"), 100_000), [*keys, "__r"]) \

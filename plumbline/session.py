@@ -59,10 +59,13 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 
 
 def materialize_small(df: DataFrame) -> DataFrame:
-    """Materialise a small derived frame (one row per group, per horizon, per
-    stratum) once, so the several totals and windows computed from it do not
-    each re-run the large scan that produced it. Reliable checkpoint."""
-    return cut_lineage(df, eager=True)
+    """Compute a small derived frame (one row per group, per horizon, per
+    stratum) once and reuse it, so the several totals and windows computed
+    from it do not each re-run the large scan that produced it. A lazy cache:
+    the first job that needs it fills it (concurrent readers of a block wait
+    for it), and lost blocks are recomputed from lineage. Iterative loops cut
+    lineage with :func:`cut_lineage` instead."""
+    return df.cache()
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:
