@@ -58,14 +58,24 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+_SMALL_CACHE: list[DataFrame] = []
+MAX_SMALL_CACHED = 64
+
+
 def materialize_small(df: DataFrame) -> DataFrame:
     """Compute a small derived frame (one row per group, per horizon, per
     stratum) once and reuse it, so the several totals and windows computed
     from it do not each re-run the large scan that produced it. A lazy cache:
     the first job that needs it fills it (concurrent readers of a block wait
     for it), and lost blocks are recomputed from lineage. Iterative loops cut
-    lineage with :func:`cut_lineage` instead."""
-    return df.cache()
+    lineage with :func:`cut_lineage` instead. At most ``MAX_SMALL_CACHED``
+    such frames stay cached per process; evicting an older one only means it
+    is recomputed if still needed, never a different result."""
+    out = df.cache()
+    _SMALL_CACHE.append(out)
+    while len(_SMALL_CACHE) > MAX_SMALL_CACHED:
+        _SMALL_CACHE.pop(0).unpersist(blocking=False)
+    return out
 
 
 def spread_small_scan(df: DataFrame) -> DataFrame:

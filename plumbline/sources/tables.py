@@ -3,6 +3,8 @@ snk_json, src_docs)."""
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,9 +14,26 @@ TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "benchmark", "labels", "conversations")
 
 
+_HANDLES: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """src_table: read-only scan of one named Parquet table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """src_table: read-only scan of one named Parquet table.
+
+    The scan handle (a logical plan: file listing and footer schema, no data)
+    is reused per session and path; for local files the key includes the
+    modification time, so a rewritten table is listed again."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    try:
+        stamp = os.path.getmtime(path)
+    except OSError:
+        stamp = None
+    key = (id(spark), path, stamp)
+    df = _HANDLES.get(key)
+    if df is None:
+        df = spark.read.parquet(path)
+        _HANDLES[key] = df
+    return df
 
 
 class Tables:
