@@ -42,10 +42,38 @@ def u_suppress(spark, sf):
     return U.u_suppress(g, "n", ["separated", "rate_pct"], 5)
 
 
-@query("u_complementary")
+def _complementary_sql(rounds: int = 8) -> str:
+    """The same fixpoint unrolled for a fixed number of rounds; once stable a
+    round changes nothing, so it equals the Spark loop whenever that
+    converges within ``rounds`` (and would show a mismatch otherwise)."""
+    parts = ["c0 AS (SELECT unit, wtype, GROUPING(unit, wtype) AS gid, count(DISTINCT k) AS n "
+             "FROM live GROUP BY CUBE (unit, wtype))",
+             "s0 AS (SELECT unit, wtype, gid, n, n < 5 AS hidden, CASE WHEN n < 5 THEN 'primary' END AS reason, "
+             "CAST(gid AS VARCHAR) || chr(1) || coalesce(unit, '') || chr(1) || coalesce(wtype, '') AS cell_id "
+             "FROM c0)"]
+    for i in range(1, rounds + 1):
+        prev = f"s{i - 1}"
+        parts.append(f"m{i} AS (SELECT cell_id, n, hidden, unnest(CASE gid WHEN 0 THEN ['r:' || unit, 'c:' || wtype] "
+                     f"WHEN 1 THEN ['r:' || unit, 'R'] WHEN 2 THEN ['c:' || wtype, 'C'] ELSE ['R', 'C'] END) AS line "
+                     f"FROM {prev})")
+        parts.append(f"p{i} AS (SELECT line, sum(CASE WHEN hidden THEN 1 ELSE 0 END) AS h, "
+                     f"arg_min(cell_id, (n, cell_id)) FILTER (WHERE NOT hidden) AS pick FROM m{i} GROUP BY line)")
+        parts.append(f"k{i} AS (SELECT DISTINCT pick AS cell_id FROM p{i} WHERE h = 1 AND pick IS NOT NULL)")
+        parts.append(f"s{i} AS (SELECT x.unit, x.wtype, x.gid, x.n, x.cell_id, "
+                     f"x.hidden OR k.cell_id IS NOT NULL AS hidden, "
+                     f"CASE WHEN k.cell_id IS NOT NULL AND NOT x.hidden THEN 'complementary' ELSE x.reason END AS reason "
+                     f"FROM {prev} x LEFT JOIN k{i} k ON k.cell_id = x.cell_id)")
+    return (LIVE_SQL + ", " + ",\n".join(parts) + f"""
+SELECT unit, wtype, CASE gid WHEN 0 THEN 'cell' WHEN 1 THEN 'row_total' WHEN 2 THEN 'column_total'
+                             ELSE 'grand_total' END AS level,
+       n AS n_true, CASE WHEN NOT hidden THEN n END AS n_shown, hidden, coalesce(reason, 'shown') AS reason
+FROM s{rounds}""")
+
+
+@query("u_complementary", _complementary_sql())
 def u_complementary(spark, sf):
-    """Primary + complementary suppression of live spells by unit x segment.
-    Iterative fixpoint: checked against a brute-force fixture in tests."""
+    """Primary + complementary suppression of live spells by unit x segment
+    (an iterative fixpoint over the cube of cells and margins)."""
     live = spells(Tables(spark, sf)).where(alive_at(AS_OF))
     return U.u_complementary(live, "unit", "wtype", "k", 5)
 
