@@ -159,8 +159,10 @@ def t_corrections(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     """Correction signals in user turns: one row per hit with its signal
     category, the turn position and whether it answers an assistant turn
     (``lag`` within the conversation)."""
-    w = Window.partitionBy(conv).orderBy(turn)
-    t = turns.withColumn("after_assistant", F.coalesce(F.lag(role).over(w) == "assistant", F.lit(False)))
+    from plumbline.operators.sequence import keyed_window
+    t = keyed_window(turns, conv, [turn], lag=[role])  # skew-safe per conversation
+    t = t.withColumn("after_assistant", F.coalesce(F.col(f"prev_{role}") == "assistant", F.lit(False))) \
+        .drop(f"prev_{role}")
     u = t.where(F.col(role) == user_role)
     mw = lexicon.select(F.max("n_words")).first()[0] or 1
     return term_hits(u, conv, text, lexicon, max_words=int(mw), extra=[turn, "after_assistant"]) \
