@@ -370,6 +370,7 @@ def term_hits(docs: DataFrame, id_col: str, text: str, lexicon: DataFrame,
             parts = p if parts is None else parts.unionByName(p)
         hits = parts
     else:
+        # a parameter proven above to hold at most SMALL_LEXICON terms
         terms = [(r["term"], int(r["n_words"])) for r in lex.select("term", "n_words").distinct().collect()]
         singles = sorted(x for x, n in terms if n == 1)
         found = []
