@@ -23,7 +23,11 @@ def etl_snapshot(spells: DataFrame, key: str, entry: str, exit_: str, first: dt.
     planned. Live at m: entry <= m and not exit <= m."""
     lo = F.greatest(F.col(entry), F.lit(first))
     hi = F.least(F.coalesce(F.date_sub(F.col(exit_), 1), F.lit(last)), F.lit(last))
-    return (spells.withColumn(name, F.explode(month_end_spine(lo, hi)))
+    f, l_ = F.trunc(lo, "MM"), F.trunc(hi, "MM")
+    starts = F.when(l_ >= f, F.sequence(f, l_, F.expr("interval 1 month"))) \
+        .otherwise(F.array().cast("array<date>"))
+    # explode month starts, then last_day as a plain (codegen'd) expression
+    return (spells.withColumn("__m0", F.explode(starts)).withColumn(name, F.last_day("__m0")).drop("__m0")
             .where((F.col(name) >= F.col(entry)) & (F.col(name) <= hi)
                    & (F.col(name) >= F.lit(first))))
 
