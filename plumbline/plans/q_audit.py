@@ -298,7 +298,7 @@ _FAM_SQL = """CASE WHEN regexp_matches(upper({c}), '^(TINYINT|SMALLINT|INT|INTEG
 act AS (SELECT table_name, column_name, data_type FROM information_schema.columns
         WHERE table_name IN ('orders', 'lineitem')),
 j AS (SELECT coalesce(d.table_name, a.table_name) AS table_name, coalesce(d.column_name, a.column_name) AS column_name,
-             """ + _FAM_SQL.format(c="d.data_type").replace("END", "END", 1) + """ AS documented_type0,
+             """ + _FAM_SQL.format(c="d.data_type") + """ AS documented_type0,
              d.data_type IS NULL AS dnull,
              """ + _FAM_SQL.format(c="a.data_type") + """ AS actual_type0, a.data_type IS NULL AS anull
       FROM doc d FULL OUTER JOIN act a ON d.table_name = a.table_name AND d.column_name = a.column_name),

@@ -138,7 +138,6 @@ def u_stability(spark, sf):
 
 
 _za, _zb = U.z_values()
-_MDE_K = _za + _zb
 
 
 @query("u_rate_block", with_sql(SPELL_SQL) + f"""
@@ -152,8 +151,7 @@ SELECT loc, n, separated, 'separation rate' AS metric,
        'Wilson score, 95%' AS method,
        CASE WHEN n < 5 THEN 'suppressed' WHEN n < 30 THEN 'unstable' ELSE 'stable' END AS stability,
        k AS comparisons, 'exploratory' AS analysis,
-       round({f(_za)} + {f(_zb)} * 0 + {f(_zb)}, 6) * 0
-         + round(({f(_za)} + {f(_zb)}) * sqrt((tx / tn) * (1 - tx / tn) * (1 / n + 1 / (tn - n))) * 100, 6)
+       round(({f(_za)} + {f(_zb)}) * sqrt((tx / tn) * (1 - tx / tn) * (1 / n + 1 / (tn - n))) * 100, 6)
          AS detectable_pts
 FROM g, t""")
 def u_rate_block(spark, sf):
