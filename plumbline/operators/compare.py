@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.stats import safe_div, wilson_bounds
 from plumbline.functions.text import tokens
-from plumbline.operators.joins import broadcast_bounded
 from plumbline.session import materialize_small
 
 

@@ -14,7 +14,6 @@ statistic. No group ever sends more than ``max_band`` raw values to a task.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.dates import in_year, month_diff
 from plumbline.operators import population as P
 from plumbline.operators.etl import etl_history
-from plumbline.plans.q_metrics import CURRENCY_SQL, currency_of
+from plumbline.plans.q_metrics import CURRENCY_SQL
 from plumbline.plans.rehearsal import (AS_OF, JOB_SQL, SPELL_SQL, alive_at, alive_sql, job_changes,
                                        spells, status_at, status_sql, with_sql)
 from plumbline.plans.registry import query
