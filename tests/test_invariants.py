@@ -77,3 +77,22 @@ def test_standardised_equals_naive_when_mix_shared(spark):
 def test_headcount_matches_alive_spells(spark, q):
     n = spells(Tables(spark, SF_SMALL)).where(alive_at(AS_OF.replace(year=2000, month=12, day=31))).count()
     assert q["m_headcount"](spark, SF_SMALL).first().headcount == n
+
+
+def test_multiplicity_adjustments_ordered(spark, q):
+    r = sorted(q["u_multiplicity"](spark, SF_SMALL).collect(), key=lambda x: (x.p_value, x.unit))
+    for x in r:
+        assert x.p_value - 1e-9 <= x.p_bh <= x.p_bonferroni + 1e-9
+        assert x.comparisons == len(r)
+    assert all(a.p_bh <= b.p_bh + 1e-9 for a, b in zip(r, r[1:]))
+
+
+def test_shrinkage_pulls_toward_overall(spark, q):
+    for x in q["u_shrink"](spark, SF_SMALL).collect():
+        lo, hi = sorted([x.raw_pct, x.overall_pct])
+        assert lo - 1e-6 <= x.shrunk_pct <= hi + 1e-6
+
+
+def test_poisson_interval_contains_count(spark, q):
+    for x in q["u_poisson"](spark, SF_SMALL).collect():
+        assert x.count_lower <= x.events <= x.count_upper
