@@ -184,6 +184,18 @@ def m_dist(df: DataFrame, value: str, by: Sequence[str] = (), min_n: int = 5,
         F.round(F.col("mean") - F.col("__q")[1], dp).alias("mean_minus_median"))
 
 
+def convert_currency(df: DataFrame, value: str, currency: str, rates: DataFrame, rate_col: str,
+                     out: str = "value_base") -> DataFrame:
+    """Optional rate-table join for pay in several currencies: ``out`` =
+    value x rate of its currency (rates: currency -> rate, a small,
+    size-checked frame). A currency missing from the table gives null, so
+    the row is kept and cannot be pooled silently."""
+    from plumbline.operators.joins import broadcast_bounded
+    r = rates.select(F.col(rates.columns[0]).alias("__cur"), F.col(rate_col).alias("__rate"))
+    j = df.join(broadcast_bounded(r, 100_000), F.col(currency) == F.col("__cur"), "left")
+    return j.withColumn(out, F.col(value) * F.col("__rate")).drop("__cur", "__rate")
+
+
 def m_share(df: DataFrame, flag_col: Column | str, by: Sequence[str] = ()) -> DataFrame:
     f = F.col(flag_col) if isinstance(flag_col, str) else flag_col
     return df.groupBy(*by).agg(F.sum(f.cast("long")).alias("num"), F.count("*").alias("den")) \

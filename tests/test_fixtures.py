@@ -146,3 +146,13 @@ def test_gt_drift(spark):
     changed = spark.createDataFrame([("a.b", "1"), ("a.c", "3")], "path string, value string")
     assert A.a_gt_drift(pinned, same).count() == 0
     assert [tuple(r) for r in A.a_gt_drift(pinned, changed).collect()] == [("a.c", "2", "3")]
+
+
+def test_convert_currency_keeps_unknown(spark):
+    from plumbline.operators.metrics import convert_currency, m_dist
+    pay = spark.createDataFrame([(1, 100.0, "EUR"), (2, 200.0, "USD"), (3, 50.0, "XXX")],
+                                "id int, amount double, cur string")
+    rates = spark.createDataFrame([("EUR", 1.1), ("USD", 1.0)], "cur string, rate double")
+    out = {r.id: r.value_base for r in convert_currency(pay, "amount", "cur", rates, "rate").collect()}
+    assert out == {1: 110.00000000000001, 2: 200.0, 3: None}
+    assert m_dist(pay, "amount", ["cur"]).count() == 3  # never pooled across currencies
