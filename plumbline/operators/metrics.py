@@ -17,8 +17,16 @@ from plumbline.session import materialize_small
 
 
 def m_headcount(df: DataFrame, pop: Population, by: Sequence[str] = (),
-                weight: str | None = None) -> DataFrame:
-    """Distinct units in the population, optionally by dimensions / weighted."""
+                weight: str | None = None, approx_rsd: float | None = None) -> DataFrame:
+    """Distinct units in the population, optionally by dimensions / weighted.
+
+    ``approx_rsd`` opts into ``approx_count_distinct`` (HyperLogLog++, fixed
+    memory per group) and states its relative standard deviation in the
+    output; the default is the exact count."""
+    if approx_rsd is not None:
+        aggs = [F.approx_count_distinct(pop.key, approx_rsd).alias("headcount")]
+        out = pop.apply(df).groupBy(*by).agg(*aggs, *([F.sum(weight).alias("weighted_headcount")] if weight else []))
+        return out.withColumn("population", F.lit(pop.text)).withColumn("approx_rsd", F.lit(approx_rsd))
     aggs = [F.count_distinct(pop.key).alias("headcount")]
     if weight:
         aggs.append(F.sum(weight).alias("weighted_headcount"))

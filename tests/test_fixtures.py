@@ -156,3 +156,12 @@ def test_convert_currency_keeps_unknown(spark):
     out = {r.id: r.value_base for r in convert_currency(pay, "amount", "cur", rates, "rate").collect()}
     assert out == {1: 110.00000000000001, 2: 200.0, 3: None}
     assert m_dist(pay, "amount", ["cur"]).count() == 3  # never pooled across currencies
+
+
+def test_headcount_approx_opt_in(spark):
+    from plumbline.operators.metrics import m_headcount
+    from plumbline.operators.population import Population
+    df = spark.range(20000).select((F.col("id") % 5000).alias("k"))
+    exact = m_headcount(df, Population(None, "k", "all")).first().headcount
+    approx = m_headcount(df, Population(None, "k", "all"), approx_rsd=0.02).first()
+    assert exact == 5000 and abs(approx.headcount - 5000) < 5000 * 0.08 and approx.approx_rsd == 0.02
