@@ -165,3 +165,16 @@ def test_headcount_approx_opt_in(spark):
     exact = m_headcount(df, Population(None, "k", "all")).first().headcount
     approx = m_headcount(df, Population(None, "k", "all"), approx_rsd=0.02).first()
     assert exact == 5000 and abs(approx.headcount - 5000) < 5000 * 0.08 and approx.approx_rsd == 0.02
+
+
+def test_kaplan_meier_hand_values(spark):
+    people = spark.createDataFrame([
+        (dt.date(2020, 1, 10), dt.date(2020, 3, 5)),    # event at month 2
+        (dt.date(2020, 1, 10), None),                   # censored at month 3 (as-of)
+        (dt.date(2019, 10, 10), dt.date(2020, 3, 1))],  # event at month 5
+        "entry date, exit date")
+    r = {x.months: (x.n_at_risk, x.events, x.survival)
+         for x in C.c_km(people, "entry", "exit", dt.date(2020, 4, 30)).collect()}
+    assert r[2] == (3, 1, round(2 / 3, 6))
+    assert r[3] == (2, 0, round(2 / 3, 6))
+    assert r[5] == (1, 1, 0.0)
