@@ -178,3 +178,20 @@ def test_kaplan_meier_hand_values(spark):
     assert r[2] == (3, 1, round(2 / 3, 6))
     assert r[3] == (2, 0, round(2 / 3, 6))
     assert r[5] == (1, 1, 0.0)
+
+
+def test_funnel_order_skip_and_reentry(spark):
+    t = lambda d: dt.datetime(2024, 1, d)
+    ev = spark.createDataFrame([
+        ("u1", t(1), "view"), ("u1", t(2), "click"), ("u1", t(3), "signup"), ("u1", t(4), "purchase"),
+        ("u2", t(1), "click"), ("u2", t(2), "view"), ("u2", t(3), "click"),   # click before view, then again
+        ("u3", t(1), "view"), ("u3", t(2), "signup"),                         # skips click
+        ("u4", t(1), "purchase")],                                            # never entered
+        "u string, ts timestamp, stage string")
+    stages = ["view", "click", "signup", "purchase"]
+    f = {r.stage: (r.entered, r.cumulative_pct) for r in C.c_funnel(ev, "u", "ts", "stage", stages).collect()}
+    assert f == {"view": (3, 100.0), "click": (2, round(200 / 3, 6)), "signup": (1, round(100 / 3, 6)),
+                 "purchase": (1, round(100 / 3, 6))}
+    chk = {r.stage: (r.with_event, r.out_of_order, r.monotone)
+           for r in C.c_funnel_checks(ev, "u", "ts", "stage", stages).collect()}
+    assert chk == {"view": (3, 0, True), "click": (2, 0, True), "signup": (2, 1, True), "purchase": (2, 1, True)}
