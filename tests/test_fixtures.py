@@ -195,3 +195,13 @@ def test_funnel_order_skip_and_reentry(spark):
     chk = {r.stage: (r.with_event, r.out_of_order, r.monotone)
            for r in C.c_funnel_checks(ev, "u", "ts", "stage", stages).collect()}
     assert chk == {"view": (3, 0, True), "click": (2, 0, True), "signup": (2, 1, True), "purchase": (2, 1, True)}
+
+
+def test_recoverable_by_subtraction(spark):
+    # published 1x3 table with margins; only the n=3 cell and its column total hidden
+    pub = spark.createDataFrame([
+        ("r", "a", None), ("r", "b", 20), ("r", "c", 30), ("r", None, 53),
+        (None, "a", None), (None, "b", 20), (None, "c", 30), (None, None, 53)],
+        "d1 string, d2 string, n_shown long")
+    got = sorted((r.level, r.recoverable) for r in U.u_recoverable(pub, "d1", "d2", "n_shown").collect())
+    assert got == [("cell", True), ("column_total", True)]
