@@ -4,6 +4,7 @@ shared checkpoint folder for lineage cuts."""
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,12 +35,15 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be shared storage. Only
-    when it is unset (tests, local runs) do we create a private folder."""
+    On a cluster this is set by the deployment and must be shared storage; an
+    unset folder is an error there. Only in a single-process local session
+    (tests, bench) do we create a private folder. The caller owns clean-up."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="plumbline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
