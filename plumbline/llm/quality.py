@@ -53,10 +53,6 @@ RULES = (
 FEW = 32
 
 
-def _ratio(part: str, whole: str) -> Column:
-    return F.try_divide(F.col(part).cast("double"), F.col(whole).cast("double"))
-
-
 def _marks(marked: Column) -> Column:
     """Words under the 3-word windows at the given ascending positions."""
     return let(marked, lambda a: F.aggregate(
@@ -98,19 +94,18 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) > 3, let(hashes, again)).otherwise(F.lit(0).cast("long"))
 
 
-def measured(df: DataFrame, text_col: str, words: str, lines: str) -> DataFrame:
-    """Add the words and the lines that hold a word."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def words_of(text: Column) -> Column:
     body = F.btrim(text, F.lit(SPACES))
-    return df.withColumns({
-        words: F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, WORD_GAP)),
-        lines: F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
-    })
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, WORD_GAP))
+
 
+def lines_of(text: Column) -> Column:
+    """The lines that hold a word."""
+    return F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
 
-def counts(text_col: str, words: str, lines: str) -> dict[str, Column]:
-    """What is counted in one text."""
-    text, w, ln = F.coalesce(F.col(text_col), F.lit("")), F.col(words), F.col(lines)
+
+def counts(text: Column, w: Column, ln: Column) -> dict[str, Column]:
+    """What is counted in a text with the words ``w`` and the lines ``ln``."""
     number = lambda xs, test: F.size(F.filter(xs, test)).cast("long")
     without = lambda p: (F.length(text) - F.length(F.regexp_replace(text, p, ""))).cast("long")
     stop = [x for s in STOP_WORDS for x in (s, s.capitalize())]
@@ -138,42 +133,49 @@ RATIOS = {
     "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"),
     "bullet_line_ratio": ("n_bullet_lines", "n_lines"),
 }
+COUNTED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines",
+           "n_stop_words", "n_upper", "n_ellipsis_lines", "n_bullet_lines")
 
 
-def base_failed(min_words: int = 50, repeat_pct: int = 50) -> Column:
-    return (F.col("n_words") < min_words) | \
-        (100 * F.col("n_repeat_words") > repeat_pct * F.col("n_words"))
+def ratio(m: Column, name: str) -> Column:
+    part, whole = RATIOS[name]
+    return F.try_divide(m[part].cast("double"), m[whole].cast("double"))
 
 
-def passes(rules: tuple[Rule, ...]) -> Column:
-    """The threshold table as one boolean expression."""
+def passes(m: Column, rules: tuple[Rule, ...]) -> Column:
+    """The threshold table as one boolean expression over the counts ``m``."""
     ok = F.lit(True)
     for r in rules:
-        m = F.col(r.measure)
-        for limit in ([] if r.low is None else [m >= r.low]) + ([] if r.high is None else [m <= r.high]):
+        x = ratio(m, r.measure)
+        for limit in ([] if r.low is None else [x >= r.low]) + ([] if r.high is None else [x <= r.high]):
             ok = ok & F.coalesce(limit, F.lit(True))
     return ok
 
 
-def _judged(df: DataFrame, carried: list[Column], text: str, rules: tuple[Rule, ...]) -> DataFrame:
-    arrays = measured(df, text, "_words", "_lines")
-    out = arrays.select(*carried, *[c.alias(k) for k, c in counts(text, "_words", "_lines").items()])
-    out = out.withColumns({k: _ratio(*pw) for k, pw in RATIOS.items()})
-    out = out.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & passes(rules))
+def judged(text: Column, rules: tuple[Rule, ...] = RULES, min_words: int = 50, repeat_pct: int = 50) -> Column:
+    """A struct of all measures, ``base_failed`` and ``kept``. Words, lines and
+    counts are each bound once inside the expression, so it may stand in a
+    filter as well as in a projection."""
+    def decided(m: Column) -> Column:
+        failed = (m["n_words"] < min_words) | (100 * m["n_repeat_words"] > repeat_pct * m["n_words"])
+        return F.struct(*[m[k].alias(k) for k in COUNTED], *[ratio(m, k).alias(k) for k in RATIOS],
+                        failed.alias("base_failed"), (~failed & passes(m, rules)).alias("kept"))
+
+    def over(t: Column) -> Column:
+        return let(F.struct(words_of(t).alias("w"), lines_of(t).alias("l")), lambda x: let(
+            F.struct(*[c.alias(k) for k, c in counts(t, x["w"], x["l"]).items()]), decided))
+
+    return let(F.coalesce(text, F.lit("")), over)
 
 
 def score_quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per input row: ``id_col``, all measures, ``base_failed`` and ``kept``."""
-    src = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = _judged(src, [F.col("_id")], "_text", rules)
-    return out.withColumnRenamed("_id", id_col)
+    m = [*COUNTED, *RATIOS, "base_failed", "kept"]
+    out = df.select(F.col(id_col).alias("_id"), judged(F.col(text_col), rules).alias("_m"))
+    return out.select(F.col("_id").alias(id_col), *[F.col("_m")[k].alias(k) for k in m])
 
 
 def keep_good(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``df`` that pass, with ``df``'s own columns, which travel in
-    one struct so that no name of theirs can clash with a measure's."""
-    src = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-                    F.col(f"`{text_col}`").alias("_text"))
-    return _judged(src, [F.col("_row")], "_text", rules).where("kept").select("_row.*")
+    """The rows of ``df`` that pass."""
+    return df.where(judged(F.col(f"`{text_col}`"), rules)["kept"])
