@@ -62,4 +62,15 @@ SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) A
        coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLES = {"op2_quality_rules": OP2, "op5_decontaminate": OP5}
+OP1 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha256(coalesce(html, '')) AS payload_digest,
+         CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest, payload_bytes)
+                     ELSE page_id END AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f"""
+
+ORACLES = {"op1_warc": OP1, "op2_quality_rules": OP2, "op5_decontaminate": OP5}

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import blobscan, bpe, decontam, neardup, quality
+from plumbline.llm import blobscan, bpe, decontam, neardup, quality, warc
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = neardup.near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+@query
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
