@@ -51,8 +51,8 @@ CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart are not confirmed.
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Open pairs per class up to which they are paired directly.
-PAIRS_PER_TEXT = 4
+#: Open pairs per class up to which they are paired directly: no more rows than the index has.
+PAIRS_PER_TEXT = SYMBOLS
 PERCENT = 85
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

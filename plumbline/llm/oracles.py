@@ -73,4 +73,31 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN first <> page_id THEN first END AS refers_to
 FROM f"""
 
-ORACLES = {"op1_warc": OP1, "op2_quality_rules": OP2, "op5_decontaminate": OP5}
+_DAY = "CAST(DATE '2024-01-01' + CAST({} AS INTEGER) AS DATE)"
+
+OP8 = rf"""
+WITH p AS (
+  SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '') AS host,
+         {_DAY.format('page_id * 7919 % 730')} AS fetched
+  FROM pages),
+k AS (
+  SELECT page_id, host, fetched, unnest(list_transform(range(1, greatest(len(l) - 1, 1) + 1),
+         lambda i: array_to_string(l[i:], '.'))) AS key
+  FROM (SELECT *, string_split(host, '.') AS l FROM p WHERE host IS NOT NULL)),
+n AS (SELECT key, CAST(('0x' || substr(md5(key), 1, 4)) AS INTEGER) AS n FROM (SELECT DISTINCT key FROM k)),
+e AS (
+  SELECT key, ['ads', 'adult', 'malware'][n % 3 + 1] AS category, n % 600 AS a, n % 600 + 30 + n % 170 AS b,
+         CASE WHEN n % 2 = 0 THEN n % 600 + 260 + n % 90 END AS c
+  FROM n WHERE n % 3 = 0 OR n % 7 = 0),
+v AS (
+  SELECT key, category, {_DAY.format('a')} AS since, {_DAY.format('b')} AS until FROM e
+  UNION ALL SELECT key, category, {_DAY.format('c')}, DATE '9999-12-31' FROM e WHERE c IS NOT NULL),
+h AS (
+  SELECT page_id, count(*) AS n_entries, array_to_string(list_sort(list(DISTINCT category)), ',') AS categories,
+         max_by(v.key, lpad(CAST(length(v.key) AS VARCHAR), 6, '0') || v.key) AS matched
+  FROM k JOIN v ON k.key = v.key AND since <= fetched AND fetched < until GROUP BY page_id)
+SELECT page_id, host, fetched, h.page_id IS NOT NULL AS blocked, CAST(coalesce(n_entries, 0) AS BIGINT) AS n_entries,
+       coalesce(categories, '') AS categories, matched
+FROM p LEFT JOIN h USING (page_id)"""
+
+ORACLES = {"op8_url_filter": OP8, "op1_warc": OP1, "op2_quality_rules": OP2, "op5_decontaminate": OP5}

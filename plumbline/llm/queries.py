@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import blobscan, bpe, decontam, neardup, quality, warc
+from plumbline.llm import blobscan, bpe, decontam, licenses, neardup, quality, urlfilter, warc
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +60,31 @@ def op7_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word",
+                      F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
+@query
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page fetched on a day given by its id, against a list whose history
+    is derived from the hosts of the pages: a third of the hosts and of their
+    parent domains are listed some time, taken off again, and some listed anew."""
+    pages = table(spark, sf_dir, "pages")
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int"))
+    captures = pages.select("page_id", "url", day(F.pmod(F.col("page_id") * 7919, F.lit(730))).alias("fetched"))
+    keys = pages.select(F.explode(urlfilter.domain_keys(urlfilter.host_of(F.col("url")))).alias("key")).distinct()
+    n = F.conv(F.substring(F.md5("key"), 1, 4), 16, 10).cast("int")
+    category = F.element_at(F.array(*map(F.lit, ("ads", "adult", "malware"))), n % 3 + 1)
+    event = lambda a, d: F.struct(F.lit(a).alias("action"), day(d).alias("day"))
+    dated = F.array(event("add", n % 600), event("remove", n % 600 + 30 + n % 170), event("add", n % 600 + 260 + n % 90))
+    events = keys.withColumns({"n": n, "category": category}).where("n % 3 = 0 or n % 7 = 0")
+    events = events.select("key", "category", F.explode(F.when(F.col("n") % 2 == 0, dated).otherwise(
+        F.slice(dated, 1, 2))).alias("e")).select("key", "category", "e.action", "e.day")
+    out = urlfilter.evaluate(captures, events)
+    return out.withColumn("categories", F.array_join("categories", ","))
