@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import blobscan, bpe, decontam, licenses, neardup, quality, urlfilter, warc
+from plumbline.llm import blobscan, bpe, decontam, licenses, maxent, neardup, quality, surrogates, urlfilter, warc
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.slice(dated, 1, 2))).alias("e")).select("key", "category", "e.action", "e.day")
     out = urlfilter.evaluate(captures, events)
     return out.withColumn("categories", F.array_join("categories", ","))
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents"), key="rehearsal key")
+
+
+@query
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score_texts(table(spark, sf_dir, "documents"))
