@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _or_none(part: Column) -> Column:
+    """A missing array or map has no leaves; it must not void its siblings."""
+    return F.coalesce(part, F.array().cast("array<struct<path:string,value:string>>"))
+
+
 def _leaves(col: Column, dtype: T.DataType, prefix: str) -> list[Column]:
     """Driver-side walk of the *schema* only (never the data): returns an
     array-of-struct(path, value) Column per subtree. Struct fields are static
@@ -26,14 +31,14 @@ def _leaves(col: Column, dtype: T.DataType, prefix: str) -> list[Column]:
                                                        F.when(s["path"] != "", F.concat(F.lit("."), s["path"]))
                                                        .otherwise(F.lit(""))).alias("path"),
                                               s["value"].alias("value"))))
-            return [F.flatten(arr)]
-        return [F.transform(col, lambda x, i: F.struct(
+            return [_or_none(F.flatten(arr))]
+        return [_or_none(F.transform(col, lambda x, i: F.struct(
             F.concat(F.lit(f"{prefix}["), i.cast("string"), F.lit("]")).alias("path"),
-            x.cast("string").alias("value")))]
+            x.cast("string").alias("value"))))]
     if isinstance(dtype, T.MapType):
-        return [F.transform(F.map_entries(col), lambda e: F.struct(
+        return [_or_none(F.transform(F.map_entries(col), lambda e: F.struct(
             (F.concat(F.lit(f"{prefix}."), e["key"]) if prefix else e["key"].cast("string")).alias("path"),
-            e["value"].cast("string").alias("value")))]
+            e["value"].cast("string").alias("value"))))]
     return [F.array(F.struct(F.lit(prefix).alias("path"), col.cast("string").alias("value")))]
 
 

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # Fixed value: figures quoted in prose -- thousands-grouped integers or numbers
-# with one decimal. Boundaries are spelled out instead of \b so that Java and
-# RE2 agree on non-ASCII neighbours.
-FIGURE_PATTERN = r"(?:^|[^0-9A-Za-z_.,])(\d{1,3}(?:,\d{3})+|\d+\.\d)(?:$|[^0-9A-Za-z_])"
+# with one decimal. Look-around takes no separator, so that figures one
+# character apart are all found.
+FIGURE_PATTERN = r"(?<![0-9A-Za-z_.,])(\d{1,3}(?:,\d{3})+|\d+\.\d)(?![0-9A-Za-z_])"
 
 
 def _c(x) -> Column:

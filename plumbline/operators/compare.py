@@ -341,79 +341,27 @@ def ngrams(toks: Column, n: int) -> Column:
     return out
 
 
-SMALL_LEXICON = 256
-
-
 def term_hits(docs: DataFrame, id_col: str, text: str, lexicon: DataFrame,
-              max_words: int = 3, extra: Sequence[str] = (), max_terms: int = 100_000) -> DataFrame:
+              extra: Sequence[str] = ()) -> DataFrame:
     """One row per lexicon hit: (id, position, term, category).
 
-    Each whole text is tokenised once, JVM-side. A small lexicon (a
-    parameter whose size is proven first) is matched inside the row: single
-    words by membership, phrases by comparing consecutive tokens at each
-    position, so only hits are exploded. A large lexicon falls back to
-    exploding n-grams and a broadcast hash join. Categories are attached by
-    a broadcast join on the hit rows. A phrase matches at its first word."""
+    Each whole text is tokenised once, JVM-side. Its tokens meet the first
+    words of the terms in a hash join, and the rest of a term, however long,
+    is compared word by word at that place; a phrase matches at its first
+    word. One path for every lexicon: it is broadcast if its size is proven."""
+    from plumbline.operators.joins import broadcast_bounded
     from plumbline.session import spread_small_scan
-    lex = lexicon.select("term", "n_words", "category")
-    n_terms = lex.limit(max_terms + 1).count()
-    if n_terms > max_terms:
-        raise ValueError(f"lexicon larger than {max_terms} terms")
+    words = F.split("term", " ")
+    lex = lexicon.where("n_words > 0").select("term", "category", words.alias("__w"), F.get(words, F.lit(0)).alias("__first"))
     base = spread_small_scan(docs).select(id_col, *extra, tokens(text).alias("__t"))
-    t = F.col("__t")
-    if n_terms > SMALL_LEXICON:
-        parts = None
-        for n in range(1, max_words + 1):
-            p = base.select(id_col, *extra, F.posexplode(ngrams(t, n)).alias("position", "term")) \
-                .withColumn("n_words", F.lit(n))
-            parts = p if parts is None else parts.unionByName(p)
-        hits = parts
-    else:
-        # a parameter proven above to hold at most SMALL_LEXICON terms
-        terms = [(r["term"], int(r["n_words"])) for r in lex.select("term", "n_words").distinct().collect()]
-        singles = sorted(x for x, n in terms if n == 1)
-        found = []
-        if singles:
-            vocab = F.array(*[F.lit(x) for x in singles])
-            found.append(F.filter(F.transform(t, lambda w, i: F.struct(i.alias("position"), w.alias("term"),
-                                                                        F.lit(1).alias("n_words"))),
-                                  lambda s_: F.array_contains(vocab, s_["term"])))
-        for phrase, n in sorted(x for x in terms if 1 < x[1] <= max_words):
-            words = phrase.split(" ")
-            starts = F.when(F.size(t) >= n, F.sequence(F.lit(0), F.size(t) - n)) \
-                .otherwise(F.array().cast("array<int>"))
-            match = F.filter(starts, _phrase_at(t, words))
-            found.append(F.transform(match, _hit_struct(phrase, n)))
-        if not found:
-            return docs.sparkSession.createDataFrame([], f"{id_col} long, position long, term string, "
-                                                         "category string")
-        allf = F.concat(*found) if len(found) > 1 else found[0]
-        hits = base.select(id_col, *extra, F.explode(allf).alias("h")).select(
-            id_col, *extra, "h.position", "h.term", "h.n_words")
-    return hits.join(F.broadcast(lex), ["term", "n_words"]).select(
-        id_col, *extra, F.col("position").cast("long").alias("position"), "term", "category")
-
-
-def _phrase_at(t: Column, words: Sequence[str]):
-    """Predicate on a start position: the phrase's words follow from there."""
-    def pred(i: Column) -> Column:
-        c = None
-        for j, w in enumerate(words):
-            e = t[i + j] == F.lit(w)
-            c = e if c is None else c & e
-        return c
-    return pred
-
-
-def _hit_struct(phrase: str, n: int):
-    def mk(i: Column) -> Column:
-        return F.struct(i.alias("position"), F.lit(phrase).alias("term"), F.lit(n).alias("n_words"))
-    return mk
+    each = base.select(id_col, *extra, "__t", F.posexplode("__t").alias("__p", "__first"))
+    met = each.join(broadcast_bounded(lex, 100_000), "__first")
+    return met.where(F.slice("__t", F.col("__p") + 1, F.size("__w")) == F.col("__w")).select(
+        id_col, *extra, F.col("__p").cast("long").alias("position"), "term", "category")
 
 
 def k_trigger_scan(docs: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:
-    mw = lexicon.select(F.max("n_words")).first()[0] or 1
-    return term_hits(docs, id_col, text, lexicon, max_words=int(mw))
+    return term_hits(docs, id_col, text, lexicon)
 
 
 def k_licence(findings: DataFrame, key: str, designs: DataFrame, design_col: str,

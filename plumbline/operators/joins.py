@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,10 +97,11 @@ def join_asof_dim(fact: DataFrame, dim: DataFrame, keys, fact_date: str, start:
     are split into sub-ranges. Fact rows with no row in force keep null attrs."""
     from plumbline.operators.sequence import keyed_window
     keys = _keys(keys)
-    kc = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys]) if len(keys) > 1 else F.col(keys[0])
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    kc = F.when(known, F.to_json(F.struct(*keys))) if len(keys) > 1 else F.col(keys[0])
     payload = F.struct(F.col(end).alias("__end"), *[F.col(a).alias(a) for a in attrs])
     fcols = fact.columns
-    d = dim.select(kc.alias("__key"), F.col(start).alias("__t"), F.lit(0).alias("__kind"),
+    d = dim.where(known).select(kc.alias("__key"), F.col(start).alias("__t"), F.lit(0).alias("__kind"),
                    F.col(end).alias("__e"), payload.alias("__dim"),
                    F.lit(None).cast(fact.select(F.struct(*fcols)).schema[0].dataType).alias("__fact"))
     f = fact.select(kc.alias("__key"), F.col(fact_date).alias("__t"), F.lit(1).alias("__kind"),

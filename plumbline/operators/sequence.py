@@ -97,6 +97,8 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
     for c in ffill:
         local = local.withColumn(f"__ff_{c}", F.last(c, ignorenulls=True).over(wr))
 
+    local = local.withColumn("__pos", F.row_number().over(Window.partitionBy(key, "__sub").orderBy(*order)))
+
     # 3. per (key, sub-range) summary -> cross-boundary values and offsets
     firsts = [F.min_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__first_{c}") for c in lead]
     lasts = [F.max_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__last_{c}") for c in lag]
@@ -110,22 +112,26 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
     fix = part.select(key, "__sub",
                       *[F.lead(f"__first_{c}").over(ws).alias(f"__fx_ln_{c}") for c in lead],
                       *[F.lag(f"__last_{c}").over(ws).alias(f"__fx_lg_{c}") for c in lag],
-                      F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
-                      *[F.coalesce(F.sum(f"__tot_{n}").over(before), F.lit(0)).alias(f"__fx_rs_{n}")
-                        for n in running_sum],
+                      F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"), "__cnt",
+                      *[F.sum(f"__tot_{n}").over(before).alias(f"__fx_rs_{n}") for n in running_sum],
                       *[F.last(f"__lnn_{c}", ignorenulls=True).over(before).alias(f"__fx_ff_{c}") for c in ffill])
     fix = materialize_small(fix)  # at most hot keys x (splits + 1) rows
     out = local.join(broadcast_bounded(fix, 5_000_000), [key, "__sub"], "left")
 
     # 4. assemble
     for c in lead:
-        out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"__ln_{c}"), F.col(f"__fx_ln_{c}")))
+        # by position, not by null: a neighbour's own value may be null
+        out = out.withColumn(f"next_{c}", F.when(F.col("__pos") == F.col("__cnt"), F.col(f"__fx_ln_{c}"))
+                             .otherwise(F.col(f"__ln_{c}")))
     for c in lag:
-        out = out.withColumn(f"prev_{c}", F.coalesce(F.col(f"__lg_{c}"), F.col(f"__fx_lg_{c}")))
+        out = out.withColumn(f"prev_{c}", F.when((F.col("__pos") == 1) & F.col("__cnt").isNotNull(), F.col(f"__fx_lg_{c}"))
+                             .otherwise(F.col(f"__lg_{c}")))
     if row_number:
         out = out.withColumn(row_number, F.col("__rn") + F.coalesce("__off", F.lit(0)))
     for name in running_sum:
-        out = out.withColumn(name, F.col(f"__rs_{name}") + F.coalesce(F.col(f"__fx_rs_{name}"), F.lit(0)))
+        # null until the first non-null value of the key, as in the plain window
+        rs, fx = F.col(f"__rs_{name}"), F.col(f"__fx_rs_{name}")
+        out = out.withColumn(name, F.when(rs.isNull(), fx).otherwise(rs + F.coalesce(fx, F.lit(0))))
     for c in ffill:
         out = out.withColumn(f"filled_{c}", F.coalesce(F.col(f"__ff_{c}"), F.col(f"__fx_ff_{c}")))
     return out.drop(*[c for c in out.columns if c.startswith("__") and c not in df.columns])

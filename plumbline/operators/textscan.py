@@ -164,8 +164,7 @@ def t_corrections(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     t = t.withColumn("after_assistant", F.coalesce(F.col(f"prev_{role}") == "assistant", F.lit(False))) \
         .drop(f"prev_{role}")
     u = t.where(F.col(role) == user_role)
-    mw = lexicon.select(F.max("n_words")).first()[0] or 1
-    return term_hits(u, conv, text, lexicon, max_words=int(mw), extra=[turn, "after_assistant"]) \
+    return term_hits(u, conv, text, lexicon, extra=[turn, "after_assistant"]) \
         .withColumnRenamed("category", "signal")
 
 

@@ -42,8 +42,7 @@ def win_quantile_bin(df: DataFrame, value: str, probs: Sequence[float] = (0.15,
 
 def set_sample(df: DataFrame, key: str, fraction: float, salt: str = "") -> DataFrame:
     """Deterministic sample without replacement: keep a row when the first
-    16 bits of md5(salt || key) fall below fraction * 65536. Stable under
-    repartitioning and re-execution (unlike a seeded ``df.sample``)."""
-    thr = int(round(fraction * 65536))
-    h = F.substring(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), 1, 4)
-    return df.where(h < F.lit(f"{thr:04x}")) if thr < 65536 else df
+    60 bits of md5(salt || key), as a number, fall below fraction * 2^60. Stable
+    under repartitioning and re-execution (unlike a seeded ``df.sample``)."""
+    h = F.substring(F.md5(F.concat(F.lit(salt), F.col(key).cast("string"))), 1, 15)
+    return df.where(F.conv(h, 16, 10).cast("long") < F.lit(round(fraction * 2**60)))

@@ -11,9 +11,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import number_figures, FIGURE_PATTERN
+from plumbline.functions.text import number_figures
 from plumbline.operators import telemetry as E
 from plumbline.plans.registry import query
+from plumbline.plans.sqlfrag import FIGURE_RE2, SPLIT_UP
 from plumbline.sources.tables import Tables
 
 
@@ -204,7 +205,7 @@ def e_spec_check(spark, sf):
 
 @query("e_orphan_figure", f"""
 WITH f AS (SELECT doc_id, CAST(replace(x, ',', '') AS DOUBLE) AS figure
-           FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{FIGURE_PATTERN}', 1)) AS x FROM documents) y),
+           FROM (SELECT doc_id, unnest(regexp_extract_all({SPLIT_UP}, '{FIGURE_RE2}', 1)) AS x FROM documents) y),
 k AS (SELECT DISTINCT round(o_totalprice, 1) AS v FROM orders
       UNION SELECT o_totalprice FROM orders WHERE o_totalprice = floor(o_totalprice))
 SELECT doc_id, figure FROM f WHERE round(figure, 1) NOT IN (SELECT v FROM k)""")

@@ -98,7 +98,8 @@ def set_diff(spark, sf):
     return a.join(b, "o_custkey", "left_anti")
 
 
-@query("set_sample", "SELECT c_custkey FROM customer WHERE substr(md5(CAST(c_custkey AS VARCHAR)), 1, 4) < '" +
-       f"{int(round(0.83 * 65536)):04x}" + "'")
+@query("set_sample", f"""
+SELECT c_custkey FROM customer
+WHERE CAST('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 15) AS BIGINT) < {round(0.83 * 2**60)}""")
 def set_sample(spark, sf):
     return W.set_sample(Tables(spark, sf).customer, "c_custkey", 0.83).select("c_custkey")

@@ -38,3 +38,8 @@ def poisson_sql(x: str, z: float = Z95) -> tuple[str, str]:
     lo = f"(CASE WHEN {xd} > 0 THEN {xd} * pow(1 - 1 / (9 * {xd}) - {f(z)} / (3 * sqrt({xd})), 3) ELSE 0.0 END)"
     hi = f"({x1} * pow(1 - 1 / (9 * {x1}) + {f(z)} / (3 * sqrt({x1})), 3))"
     return lo, hi
+
+# Figures in RE2, which has no look-around: separators are doubled, so that each
+# figure can take one on either side.
+SPLIT_UP = r"regexp_replace(text, '([^0-9A-Za-z_.,])', '\1\1', 'g')"
+FIGURE_RE2 = r"(?:^|[^\w.,])([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+[.][0-9])(?:$|\W)"

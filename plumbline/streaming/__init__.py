@@ -1,4 +1,4 @@
 """Structured Streaming re-aims of the scheduled monitors (freshness and
 correction scans) over events-shaped input."""
 from plumbline.streaming.monitors import (  # noqa: F401
-    event_time_utc, run_freshness_stream, run_term_hits_stream)
+    run_freshness_stream, run_term_hits_stream)

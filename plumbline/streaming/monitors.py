@@ -1,10 +1,8 @@
 """Streaming monitors.
 
 ``run_freshness_stream``: per event-time day, how many rows arrived and the
-latest timestamp, with a watermark bounding lateness. Update-mode results go
-through ``foreachBatch`` to a Parquet sink tagged with the batch id; the
-final answer keeps the last version of each window (an upsert without a
-table format). ``run_term_hits_stream``: the lexicon scan over arriving
+latest timestamp, as partial rows per micro-batch that are summed when read.
+``run_term_hits_stream``: the lexicon scan over arriving
 texts, appended to a Parquet sink. Sinks and checkpoints live under the
 shared checkpoint folder; ``availableNow`` processes what is there and stops.
 """
@@ -29,48 +27,33 @@ def _read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files
     return r.parquet(path)
 
 
-def event_time_utc(ts: str) -> Column:
-    """A TIMESTAMP (watermarkable) for a TIMESTAMP_NTZ column, reading its
-    wall clock as UTC without consulting the session time zone."""
-    c = F.col(ts)
-    secs = (F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
-            + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c))
-    return F.timestamp_seconds(secs)
-
-
-def _day_of(window_start: Column) -> Column:
-    return F.date_add(F.lit("1970-01-01").cast("date"),
-                      F.floor(F.unix_seconds(window_start) / 86400).cast("int"))
-
-
 def run_freshness_stream(spark: SparkSession, path: str, schema: T.StructType, ts: str,
-                         watermark: str = "1 day", max_files_per_trigger: int = 1) -> DataFrame:
+                         max_files_per_trigger: int = 1) -> DataFrame:
+    """Rows and latest event time per day. Each batch writes its own partial
+    rows under its batch id (a replayed batch overwrites them), without state
+    and without a watermark, so a late file counts however late it is."""
     src = _read_stream(spark, path, schema, max_files_per_trigger)
-    agg = (src.withColumn("__et", event_time_utc(ts)).withWatermark("__et", watermark)
-           .groupBy(F.window("__et", "1 day").alias("w"))
-           .agg(F.count("*").alias("n"), F.max(ts).alias("latest")))
     out = scratch_path(spark, "freshness_stream")
 
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        batch.select(_day_of(F.col("w.start")).alias("day"), "n", "latest",
-                     F.lit(batch_id).alias("batch_id")).write.mode("append").parquet(f"{out}/sink")
+    def partial(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy(F.col(ts).cast("date").alias("day")).agg(
+            F.count("*").alias("n"), F.max(ts).alias("latest")).write.mode("overwrite").parquet(f"{out}/sink/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("update").foreachBatch(upsert)
+    q = (src.writeStream.foreachBatch(partial)
          .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    sink = spark.read.schema("day date, n long, latest timestamp_ntz, batch_id long").parquet(f"{out}/sink")
-    last = sink.groupBy("day").agg(F.max_by(F.struct("n", "latest"), "batch_id").alias("v"))
-    return last.select("day", "v.n", "v.latest")
+    sink = spark.read.schema("day date, n long, latest timestamp_ntz, batch long").parquet(f"{out}/sink")
+    return sink.groupBy("day").agg(F.sum("n").alias("n"), F.max("latest").alias("latest"))
 
 
 def run_term_hits_stream(spark: SparkSession, path: str, schema: T.StructType, id_col: str,
                          text: str, lexicon: DataFrame, extra=(), where: Column | None = None,
-                         max_words: int = 2, max_files_per_trigger: int = 1) -> DataFrame:
+                         max_files_per_trigger: int = 1) -> DataFrame:
     """Stateless lexicon scan of arriving texts; returns the sink's rows."""
     src = _read_stream(spark, path, schema, max_files_per_trigger)
     if where is not None:
         src = src.where(where)
-    hits = term_hits(src, id_col, text, lexicon, max_words=max_words, extra=list(extra))
+    hits = term_hits(src, id_col, text, lexicon, extra=list(extra))
     out = scratch_path(spark, "term_hits_stream")
     q = (hits.writeStream.outputMode("append").format("parquet").option("path", f"{out}/sink")
          .option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())

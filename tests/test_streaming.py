@@ -21,7 +21,7 @@ def test_freshness_stream_equals_batch(spark, tmp_path):
     os.makedirs(flat)
     for i, f in enumerate(files):
         os.link(f, os.path.join(flat, f"part-{i}.parquet"))
-    got = run_freshness_stream(spark, flat, ev.schema, "ts", watermark="30 days")
+    got = run_freshness_stream(spark, flat, ev.schema, "ts")
     want = ev.groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("n"),
                                                                   F.max("ts").alias("latest"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
