@@ -15,9 +15,9 @@ From keys to components, without all pairs of a group:
    pairs are made distinct, filtered by signature distance and confirmed on full
    sets. Confirmed links are contracted into components.
 3. What is left of a bucket are pairs of members of different components, as
-   copies of one text mostly fall together in the first round. Star rounds go on
-   (each takes one more member out of every open bucket) while the pairs left
-   outnumber PAIRS_PER_TEXT per class, then the rest is paired directly.
+   copies of one text mostly fall together in the first rounds. Star rounds go on
+   (each takes one more member out of every open bucket) while they pay, then
+   the rest is compared directly, in tiles of two parts of a bucket.
 
 No pair that shares a key stays untested unless both ends are already in one
 component, so the components are those of all links.
@@ -36,9 +36,11 @@ its own); other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -51,8 +53,11 @@ CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
 #: Signatures further apart are not confirmed.
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Open pairs per class up to which they are paired directly: no more rows than the index has.
-PAIRS_PER_TEXT = SYMBOLS
+#: Star rounds go on while more than PAIRS_PER_TEXT pairs per class are open and
+#: the last round left at most GAIN of those before it.
+PAIRS_PER_TEXT, GAIN = 1, 0.8
+#: Members of a bucket's part in the direct comparison.
+TILE = 512
 PERCENT = 85
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -240,10 +245,48 @@ def star_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pairs, others.drop("c")
 
 
-def direct_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct (a, b) of one bucket and different components."""
-    x, y = rows.toDF("key", "a", "ra"), rows.toDF("key", "b", "rb")
-    return x.join(y, "key").where("a < b and ra != rb").select("a", "b").distinct()
+def first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of the first key that two signatures share, for rows of ``x``
+    and ``y``; SYMBOLS if they share none."""
+    miss = (x != y).reshape(-1, CHUNKS, WIDTH)
+    errors = miss.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    row = np.arange(chunk.size)
+    number = chunk * WIDTH + np.where(errors[row, chunk] == 1, miss[row, chunk].argmax(axis=1), 0)
+    return np.where(errors[row, chunk] <= 1, number, SYMBOLS)
+
+
+def direct_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct (a, b) of one bucket, different components and near signatures.
+
+    A bucket is cut into parts of about TILE members and every two parts meet in
+    one tile, whose members are compared in numpy; a pair comes out once, under
+    the first key that its signatures share. No pair is a row before it is near."""
+    size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g"), F.count(F.lit(1)).alias("w"))
+    cut = attach(rows, size, "key", "id", "w").join(classes.select("id", "sig"), "id")
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "sig")
+    kind = rows.schema["id"].dataType
+
+    def near(tile: pd.DataFrame) -> pd.DataFrame:
+        lo, hi = tile["lo"].iat[0], tile["hi"].iat[0]
+        number = int(tile["key"].iat[0]) >> 40
+        ids, roots, part = (tile[c].to_numpy() for c in ("id", "root", "mine"))
+        sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(-1, SYMBOLS)
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        out = []
+        for i in left:
+            j = right[roots[right] != roots[i]]
+            if lo == hi:
+                j = j[j > i]
+            j = j[(sig[j] != sig[i]).sum(axis=1) <= MAX_DISTANCE]
+            j = j[first_key(sig[j], np.broadcast_to(sig[i], (j.size, SYMBOLS))) == number]
+            if j.size:
+                out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
+        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+
+    return tiled.groupBy("key", "lo", "hi").applyInPandas(near, f"a {kind.simpleString()}, b {kind.simpleString()}")
 
 
 def open_pairs(rows: DataFrame) -> int:
@@ -266,17 +309,18 @@ def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, p
     many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
     rows, labels = attach(rows, many, "key", "id", "w", keep_unmatched=False).drop("w"), None
     budget = PAIRS_PER_TEXT * classes.count()
+    left = math.inf
     while True:
         pairs, rest = star_pairs(rows)
         links = store(confirmed(store(near_signatures(pairs, classes), "near"), texts, percent), "links")
         labels = components(links, labels)
         plain = rest.select("key", "id")
         rows = store(open_buckets(plain, labels), "open")
-        left = open_pairs(rows)
-        if left <= budget:
+        before, left = left, open_pairs(rows)
+        if left <= budget or left > GAIN * before:
             break
     if left:
-        near = store(near_signatures(direct_pairs(rows), classes), "near")
+        near = store(direct_pairs(rows, classes), "near")
         labels = components(store(confirmed(near, texts, percent), "links"), labels)
     return labels
 
