@@ -58,6 +58,8 @@ MAX_DISTANCE = 2 * CHUNKS - 1
 PAIRS_PER_TEXT, GAIN = 1, 0.8
 #: Members of a bucket's part in the direct comparison.
 TILE = 512
+#: Members of a tile's side whose sets are held together when pairs are confirmed.
+CELL = 128
 PERCENT = 85
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -150,35 +152,53 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
     return classes.select("id", "sig").mapInArrow(run, f"key bigint, id {kind}")
 
 
-def near_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The (a, b) pairs whose signatures differ in at most MAX_DISTANCE symbols."""
+def near_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(cell, a, b) of the pairs whose signatures differ in at most MAX_DISTANCE
+    symbols and whose set sizes allow the similarity; each is a cell of its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for c in (2, 3))
             near = pa.array((x != y).sum(axis=1) <= MAX_DISTANCE)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(near)
 
-    sigs = classes.select("id", "sig")
-    both = pairs.join(sigs.toDF("a", "sa"), "a").join(sigs.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, pairs.schema)
+    sigs = classes.select("id", "sig", "n")
+    both = pairs.join(sigs.toDF("a", "sa", "na"), "a").join(sigs.toDF("b", "sb", "nb"), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+    return both.mapInArrow(run, pairs.schema).select(F.xxhash64("a", "b").alias("cell"), "a", "b")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets have the similarity."""
+    """The (a, b) of (cell, a, b) whose full sets have the similarity.
+
+    A cell's texts come before its pairs, each once, so a set is made once for all
+    pairs of the cell and no text is repeated for each pair. A task holds the sets
+    of one cell: at most 2 * CELL."""
+    ids = pairs.select("a", "b").schema
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[object, np.ndarray] = (None, np.empty(0))
+        now: int | None = None
+        sets: dict[object, np.ndarray] = {}
         for batch in batches:
-            keep = []
-            for a, s, t in zip(*(batch.column(c) for c in ("a", "ta", "tb")), strict=True):
-                if last[0] != a.as_py():
-                    last = (a.as_py(), shingle_set(s.as_py()))
-                x, y = last[1], shingle_set(t.as_py())
+            left, right, text = [], [], batch.column(3)
+            for at, (cell, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                if cell != now:
+                    now, sets = cell, {}
+                if b is None:
+                    sets[a] = shingle_set(text[at].as_py())
+                    continue
+                x, y = sets[a], sets[b]
                 common = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * common >= percent * (x.size + y.size - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                if 100 * common >= percent * (x.size + y.size - common):
+                    left.append(a)
+                    right.append(b)
+            kind = batch.column(1).type
+            yield pa.RecordBatch.from_arrays([pa.array(left, kind), pa.array(right, kind)], ["a", "b"])
 
-    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(run, pairs.schema)
+    ends = pairs.select("cell", F.explode(F.array("a", "b")).alias("id")).distinct()
+    held = ends.join(texts, "id").select("cell", F.col("id").alias("a"), F.lit(None).cast(ids["b"].dataType).alias("b"), "text")
+    asked = pairs.select("cell", "a", "b", F.lit(None).cast("binary").alias("text"))
+    rows = held.union(asked).repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull(), "a")
+    return rows.mapInArrow(run, ids)
 
 
 def components(links: DataFrame, old: DataFrame | None = None) -> DataFrame:
@@ -256,37 +276,46 @@ def first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(errors[row, chunk] <= 1, number, SYMBOLS)
 
 
-def direct_pairs(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct (a, b) of one bucket, different components and near signatures.
+def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Distinct (cell, a, b) of one bucket, different components, near signatures
+    and sizes that allow the similarity.
 
     A bucket is cut into parts of about TILE members and every two parts meet in
     one tile, whose members are compared in numpy; a pair comes out once, under
-    the first key that its signatures share. No pair is a row before it is near."""
+    the first key that its signatures share. No pair is a row before it is near.
+    A cell is CELL by CELL members of a tile."""
     size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g"), F.count(F.lit(1)).alias("w"))
-    cut = attach(rows, size, "key", "id", "w").join(classes.select("id", "sig"), "id")
+    cut = attach(rows, size, "key", "id", "w").join(classes.select("id", "sig", "n"), "id")
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "sig")
-    kind = rows.schema["id"].dataType
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "sig", "n")
+    kind = rows.schema["id"].dataType.simpleString()
 
     def near(tile: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = tile["lo"].iat[0], tile["hi"].iat[0]
-        number = int(tile["key"].iat[0]) >> 40
-        ids, roots, part = (tile[c].to_numpy() for c in ("id", "root", "mine"))
+        lo, hi, key = tile["lo"].iat[0], tile["hi"].iat[0], int(tile["key"].iat[0])
+        number = key >> 40
+        ids, roots, part, n = (tile[c].to_numpy() for c in ("id", "root", "mine", "n"))
         sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(-1, SYMBOLS)
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        place = np.zeros(ids.size, dtype=np.int64)
+        place[right] = np.arange(right.size) // CELL
         out = []
-        for i in left:
+        for p, i in enumerate(left):
             j = right[roots[right] != roots[i]]
             if lo == hi:
                 j = j[j > i]
+            j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             j = j[(sig[j] != sig[i]).sum(axis=1) <= MAX_DISTANCE]
             j = j[first_key(sig[j], np.broadcast_to(sig[i], (j.size, SYMBOLS))) == number]
             if j.size:
-                out.append(pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+                out.append(pd.DataFrame({"key": key, "lo": lo, "hi": hi, "row": p // CELL, "col": place[j],
+                                         "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
+        return pd.concat(out) if out else pd.DataFrame(
+            {"key": [], "lo": [], "hi": [], "row": [], "col": [], "a": ids[:0], "b": ids[:0]})
 
-    return tiled.groupBy("key", "lo", "hi").applyInPandas(near, f"a {kind.simpleString()}, b {kind.simpleString()}")
+    pairs = tiled.groupBy("key", "lo", "hi").applyInPandas(
+        near, f"key bigint, lo int, hi int, row int, col int, a {kind}, b {kind}")
+    return pairs.select(F.xxhash64("key", "lo", "hi", "row", "col").alias("cell"), "a", "b")
 
 
 def open_pairs(rows: DataFrame) -> int:
@@ -312,7 +341,7 @@ def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, p
     left = math.inf
     while True:
         pairs, rest = star_pairs(rows)
-        links = store(confirmed(store(near_signatures(pairs, classes), "near"), texts, percent), "links")
+        links = store(confirmed(store(near_signatures(pairs, classes, percent), "near"), texts, percent), "links")
         labels = components(links, labels)
         plain = rest.select("key", "id")
         rows = store(open_buckets(plain, labels), "open")
@@ -320,7 +349,7 @@ def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, p
         if left <= budget or left > GAIN * before:
             break
     if left:
-        near = store(direct_pairs(rows, classes), "near")
+        near = store(direct_pairs(rows, classes, percent), "near")
         labels = components(store(confirmed(near, texts, percent), "links"), labels)
     return labels
 
@@ -332,7 +361,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = df.where(F.col(id_col).isNotNull())
     docs = store(signed(df, id_col, text_col), "signed")
     classes = store(docs.where("cls is not null").groupBy("cls").agg(
-        F.min("id").alias("id"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("w")), "classes")
+        F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w")), "classes")
     labels = class_links(df, classes, id_col, text_col, percent)
     roots = classes.join(labels, "id", "left").select("cls", F.coalesce("root", "id").alias("root"), "w")
     out = attach(docs.select("id", "n", "cls"), store(roots, "roots"), "cls", "id", "w")
