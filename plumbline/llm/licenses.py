@@ -66,7 +66,9 @@ MAX_TEMPLATE_WORDS = 50_000
 
 
 def _hash(words: Column, at: Column, k: int) -> Column:
-    return F.xxhash64(*[F.get(words, at + j) for j in range(k)])
+    """Hash of the k words from ``at``. Past the end words are null and the hash
+    is of fewer; the comparison of the words themselves rejects such a match."""
+    return F.xxhash64(F.lit(k), *[F.get(words, at + j) for j in range(k)])
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
@@ -83,39 +85,37 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return grams.withColumn("h", by_size)
 
 
-def _rolled(w: Column, k: int) -> Column:
-    """(p, n, g) of every k-gram of the words."""
-    grams = F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.struct(
-        i.alias("p"), F.lit(k).alias("n"), _hash(w, i, k).alias("g")))
-    return F.when(F.size(w) >= k, grams).otherwise(F.array().cast("array<struct<p:int,n:int,g:bigint>>"))
-
-
 def votes(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """(id, th, tpl, p, q) of all matching k-grams of ``texts`` (id, th, w)."""
+    """(id, th, tpl, p, q) of all matching k-grams of ``texts`` (id, th, w).
+
+    The explodes and the join are one code-generated stage: a text's words are
+    held once and no row is made before a hash matches. ``explode_outer`` as
+    ``explode`` adds a filter on the words, which would split every text twice."""
     w = F.col("w")
-    every = F.concat(*[_rolled(w, k) for k in sizes])
-    rolled = texts.select("id", "th", "w", F.explode(every).alias("x"))
-    met = rolled.join(F.broadcast(grams), (F.col("x.g") == F.col("h")) & (F.col("x.n") == F.col("k")))
-    same = F.slice(w, F.col("x.p") + 1, F.col("k")) == F.col("gram")
-    return met.where(same).select("id", "th", "tpl", F.col("x.p").alias("p"), "q")
+    at = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1))
+    rolled = texts.select("id", "th", "w", F.explode_outer(at).alias("p"))
+    rolled = rolled.select("id", "th", "w", "p", F.explode(F.array(*[_hash(w, F.col("p"), k) for k in sizes])).alias("g"))
+    met = rolled.join(F.broadcast(grams), F.col("g") == F.col("h"))
+    return met.where(F.slice(w, F.col("p") + 1, F.col("k")) == F.col("gram")).select("id", "th", "tpl", "p", "q")
 
 
-def places(hits: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(id, th, tpl, diagonal, seen, first, last, whole): votes per diagonal."""
+def places(hits: DataFrame, about: DataFrame) -> DataFrame:
+    """(id, th, label, base, first, end, coverage) of all accepted places.
+
+    Votes are counted per diagonal. A base phrase stands on one diagonal, whole;
+    neighbouring diagonals of another template are merged into one place, which
+    needs COVERAGE of the template's k-grams."""
     each = hits.groupBy("id", "th", "tpl", (F.col("p") - F.col("q")).alias("diagonal")).agg(
         F.count_distinct("q").alias("seen"), F.min("p").alias("first"), F.max("p").alias("last"))
-    return each.join(F.broadcast(sizes), "tpl").withColumn("whole", F.col("seen") == F.col("grams"))
-
-
-def merged(each: DataFrame) -> DataFrame:
-    """Neighbouring diagonals of one text and template, with the share of the
-    template's k-grams that they matched."""
+    each = each.join(F.broadcast(about), "tpl").where("not base or seen = grams")
     w = Window.partitionBy("id", "th", "tpl").orderBy("diagonal")
-    apart = F.col("diagonal") - F.lag("diagonal").over(w) > SLACK
-    run = each.withColumn("run", F.sum(F.when(apart, 1).otherwise(0)).over(w))
-    return run.groupBy("id", "th", "tpl", "run").agg(
-        F.sum("seen").alias("seen"), F.first("grams").alias("grams"), F.min("first").alias("first"),
-        F.max("last").alias("last")).withColumn("coverage", F.least(F.lit(1.0), F.col("seen") / F.col("grams")))
+    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(w) > SLACK)
+    run = each.withColumn("apart", apart).withColumn("run", F.sum(F.when(F.col("apart"), 1).otherwise(0)).over(w))
+    out = run.groupBy("id", "th", "tpl", "run").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.min("first").alias("first"),
+        (F.max("last") + F.first("k")).alias("end"),
+        F.least(F.lit(1.0), F.sum("seen") / F.first("grams")).alias("coverage"))
+    return out.where(F.col("coverage") >= COVERAGE)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -133,15 +133,9 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
                       split_words(ascii_lower(text), ALNUM_GAP).alias("w"))
     sizes = sorted({min(K, len(t.words.split())) for t in templates})
-    each = places(votes(texts, grams, sizes), about)
-    base = each.where("base and whole").select("id", "th", "label", F.col("diagonal").alias("first"),
-                                               (F.col("diagonal") + F.col("k") + F.col("grams") - 1).alias("end"),
-                                               F.lit(1.0).alias("coverage"), F.lit(True).alias("base"))
-    near = merged(each.where("not base")).where(F.col("coverage") >= COVERAGE).join(
-        F.broadcast(about.select("tpl", "label", "k")), "tpl").select(
-        "id", "th", "label", "first", (F.col("last") + F.col("k")).alias("end"), "coverage", F.lit(False).alias("base"))
+    found = places(votes(texts, grams, sizes), about)
     start = F.when(F.col("base"), F.col("first")).cast("long")
-    found = base.union(near).groupBy("id", "th").agg(
+    found = found.groupBy("id", "th").agg(
         F.count(start).alias("n_base"), F.min(start).alias("first_word"), F.max(start).alias("last_word"),
         F.collect_set(F.when(F.col("base"), F.col("label"))).alias("base_labels"),
         F.collect_set("label").alias("labels"), F.max("coverage").alias("score"),
