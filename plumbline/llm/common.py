@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,8 +34,11 @@ def ascii_lower(text: Column) -> Column:
 
 
 def split_words(text: Column, gap: str = WORD_GAP) -> Column:
-    """The maximal runs of non-gap characters; null and blank text give none."""
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{gap}|{gap}$", "")
+    """The maximal runs of non-gap characters; null and blank text give none.
+    The gaps' characters are ASCII. The ends are trimmed by character set: a
+    pattern anchored at the end is tried from every gap of the text."""
+    ends = "".join(c for c in map(chr, range(128)) if re.fullmatch(gap, c))
+    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(ends))
     return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, gap))
 
 
