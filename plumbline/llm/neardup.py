@@ -138,7 +138,7 @@ def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
-    """(key, id) for every class, from buckets of at least two classes."""
+    """(key, id) of every class and each of its keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 2000):
@@ -334,9 +334,7 @@ def class_texts(df: DataFrame, classes: DataFrame, id_col: str, text_col: str) -
 def class_links(df: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame | None:
     """(id, root) of all classes that are linked with others; None if none is."""
     texts = class_texts(df, classes, id_col, text_col)
-    rows = store(bucket_rows(classes), "buckets")
-    many = rows.groupBy("key").agg(F.count(F.lit(1)).alias("w")).where("w > 1")
-    rows, labels = attach(rows, many, "key", "id", "w", keep_unmatched=False).drop("w"), None
+    rows, labels = store(bucket_rows(classes), "buckets"), None
     budget = PAIRS_PER_TEXT * classes.count()
     left = math.inf
     while True:
