@@ -12,8 +12,8 @@ From keys to components, without all pairs of a group:
 
 1. Equal sets are one class; only classes are compared.
 2. Star round: in each bucket one member, the centre, is paired with the others;
-   pairs are made distinct, filtered by signature distance and confirmed on full
-   sets. Confirmed links are contracted into components.
+   pairs are made distinct, filtered by signature distance and by a bound of the
+   intersection (counts of the sets' hashes per bin), and confirmed on full sets. Confirmed links are contracted into components.
 3. What is left of a bucket are pairs of members of different components, as
    copies of one text mostly fall together in the first rounds. Star rounds go on
    (each takes one more member out of every open bucket) while they pay, then
@@ -51,6 +51,8 @@ from plumbline.llm.common import attach, store
 SHINGLE = 5
 CHUNKS, WIDTH = 12, 6
 SYMBOLS = CHUNKS * WIDTH
+#: Cells of a set's count vector, see :func:`counts`.
+BINS = 256
 #: Signatures further apart are not confirmed.
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Star rounds go on while more than PAIRS_PER_TEXT pairs per class are open and
@@ -102,6 +104,20 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (_mix(least) >> np.uint64(40)).astype(np.uint8)
 
 
+def counts(hashes: np.ndarray) -> np.ndarray:
+    """BINS bytes: how many of a set's hashes fall into each bin, 255 at most."""
+    return np.minimum(np.bincount((hashes & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8)
+
+
+def can_link(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes ``nx``, ``ny`` and counts ``x``, ``y`` (rows) may have
+    the similarity. The smaller counts' sum, and what the larger of the two leaves
+    uncounted, bound the intersection from above, so no link is lost."""
+    past = np.minimum(nx - x.sum(axis=1, dtype=np.int64), ny - y.sum(axis=1, dtype=np.int64))
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64) + past
+    return 100 * most >= percent * (nx + ny - most)
+
+
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
     """(texts, SYMBOLS) int64: for every chunk and left-out symbol, the other
     five symbols (40 bits) with the number of the pair (7 bits)."""
@@ -118,23 +134,24 @@ def chunk_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, cls, sig): set size, content hash of the set (null if empty) and signature."""
+    """(id, n, cls, sig, cnt): set size, content hash of the set (null if empty), signature and counts."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, cls, sig = [], [], []
+            n, cls, sig, cnt = [], [], [], []
             for text in batch.column(1):
                 h = shingle_set(text.as_py())
                 n.append(h.size)
                 cls.append(hashlib.sha256(h.tobytes()).digest()[:16] if h.size else None)
                 sig.append(signature(h).tobytes() if h.size else None)
+                cnt.append(counts(h).tobytes() if h.size else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sig, pa.binary())],
-                ["id", "n", "cls", "sig"])
+                [batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (cls, sig, cnt)]],
+                ["id", "n", "cls", "sig", "cnt"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return src.mapInArrow(run, f"id {kind}, n bigint, cls binary, sig binary")
+    return src.mapInArrow(run, f"id {kind}, n bigint, cls binary, sig binary, cnt binary")
 
 
 def bucket_rows(classes: DataFrame) -> DataFrame:
@@ -154,16 +171,20 @@ def bucket_rows(classes: DataFrame) -> DataFrame:
 
 def near_signatures(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(cell, a, b) of the pairs whose signatures differ in at most MAX_DISTANCE
-    symbols and whose set sizes allow the similarity; each is a cell of its own."""
+    symbols and whose set sizes and counts allow the similarity; each is a cell of
+    its own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SYMBOLS) for c in (2, 3))
-            near = pa.array((x != y).sum(axis=1) <= MAX_DISTANCE)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(near)
-
-    sigs = classes.select("id", "sig", "n")
-    both = pairs.join(sigs.toDF("a", "sa", "na"), "a").join(sigs.toDF("b", "sb", "nb"), "b")
-    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
+            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (4, 5))
+            near = ((x != y).sum(axis=1) <= MAX_DISTANCE) & can_link(
+                u, v, batch.column(6).to_numpy(), batch.column(7).to_numpy(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(near))
+
+    sigs = classes.select("id", "sig", "cnt", "n")
+    both = pairs.join(sigs.toDF("a", "sa", "ca", "na"), "a").join(sigs.toDF("b", "sb", "cb", "nb"), "b")
+    both = both.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select(
+        "a", "b", "sa", "sb", "ca", "cb", "na", "nb")
     return both.mapInArrow(run, pairs.schema).select(F.xxhash64("a", "b").alias("cell"), "a", "b")
 
 
@@ -277,18 +298,18 @@ def first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Distinct (cell, a, b) of one bucket, different components, near signatures
-    and sizes that allow the similarity.
+    """Distinct (cell, a, b) of one bucket, different components, near signatures,
+    and sizes and counts that allow the similarity.
 
     A bucket is cut into parts of about TILE members and every two parts meet in
     one tile, whose members are compared in numpy; a pair comes out once, under
     the first key that its signatures share. No pair is a row before it is near.
     A cell is CELL by CELL members of a tile."""
     size = rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("g"), F.count(F.lit(1)).alias("w"))
-    cut = attach(rows, size, "key", "id", "w").join(classes.select("id", "sig", "n"), "id")
+    cut = attach(rows, size, "key", "id", "w").join(classes.select("id", "sig", "cnt", "n"), "id")
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
     tiled = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "sig", "n")
+        "key", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "mine", "id", "root", "sig", "cnt", "n")
     kind = rows.schema["id"].dataType.simpleString()
 
     def near(tile: pd.DataFrame) -> pd.DataFrame:
@@ -296,6 +317,7 @@ def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
         number = key >> 40
         ids, roots, part, n = (tile[c].to_numpy() for c in ("id", "root", "mine", "n"))
         sig = np.frombuffer(b"".join(tile["sig"]), np.uint8).reshape(-1, SYMBOLS)
+        cnt = np.frombuffer(b"".join(tile["cnt"]), np.uint8).reshape(-1, BINS)
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         place = np.zeros(ids.size, dtype=np.int64)
         place[right] = np.arange(right.size) // CELL
@@ -307,6 +329,7 @@ def direct_pairs(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame
             j = j[100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])]
             j = j[(sig[j] != sig[i]).sum(axis=1) <= MAX_DISTANCE]
             j = j[first_key(sig[j], np.broadcast_to(sig[i], (j.size, SYMBOLS))) == number]
+            j = j[can_link(cnt[j], cnt[i:i + 1], n[j], n[i], percent)]
             if j.size:
                 out.append(pd.DataFrame({"key": key, "lo": lo, "hi": hi, "row": p // CELL, "col": place[j],
                                          "a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}))
@@ -359,7 +382,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     df = df.where(F.col(id_col).isNotNull())
     docs = store(signed(df, id_col, text_col), "signed")
     classes = store(docs.where("cls is not null").groupBy("cls").agg(
-        F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("n").alias("n"), F.count(F.lit(1)).alias("w")), "classes")
+        F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("cnt").alias("cnt"), F.first("n").alias("n"),
+        F.count(F.lit(1)).alias("w")), "classes")
     labels = class_links(df, classes, id_col, text_col, percent)
     roots = classes.join(labels, "id", "left").select("cls", F.coalesce("root", "id").alias("root"), "w")
     out = attach(docs.select("id", "n", "cls"), store(roots, "roots"), "cls", "id", "w")

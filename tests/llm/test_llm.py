@@ -187,6 +187,23 @@ def test_near_duplicate_edges(spark, edge):
     assert neardup.near_duplicates(edge.where("false")).count() == 0
 
 
+def test_intersection_bound_loses_no_link():
+    """Counts over 255 in a bin are cut; the bound still holds."""
+    rng = np.random.default_rng(3)
+    for size, left in ((40, 3), (300, 24), (300, 60), (90_000, 9_000)):
+        x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[left:], rng.integers(0, 1 << 63, left, dtype=np.uint64)]))
+        for u, v in ((x, y), (y, x), (x, x)):
+            common = np.intersect1d(u, v).size
+            percent = 100 * common // (u.size + v.size - common)
+            got = neardup.can_link(neardup.counts(u)[None], neardup.counts(v)[None],
+                                   np.array([u.size]), np.array([v.size]), percent)
+            assert got.tolist() == [True]
+    far = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    assert not neardup.can_link(neardup.counts(far)[None], neardup.counts(far[:200])[None],
+                                np.array([300]), np.array([200]), 85)[0]
+
+
 def test_licenses(spark):
     df = spark.createDataFrame([(1, "The MIT License, CC BY; GNU General Public License!"), (2, "mit licensed"),
                                 (3, "You may not use this exact file except in compliance with the License")], "doc_id long, text string")
