@@ -113,7 +113,8 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a value at an attempt."""
     def made(s: Column) -> Column:
         b = lambda i: _byte(s, F.lit(i))
-        head = F.regexp_extract(value, r"^(\+\d+)?", 0)
+        # Only a country code that a separator or bracket ends stays.
+        head = F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ (-]))?", 0)
         number = F.concat(head, filled(F.substring(value, F.length(head) + 1, F.length(value)), s))
         # A number whose format has no free value left grows by digits.
         longer = F.substring(F.regexp_replace(s, "[a-f]", ""), F.lit(1), F.floor(attempt / 16).cast("int"))

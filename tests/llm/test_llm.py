@@ -223,6 +223,19 @@ def test_surrogates(spark):
     assert mail in out[1].text and name in out[1].text
 
 
+def test_unseparated_phones(spark):
+    values = ["+15551234567", "+493012345678", "+4930 1234567", "+49 30 1234567", "+1(555)1234567", "+1-555-123-4567"]
+    df = spark.createDataFrame([(i, f"call {v} now") for i, v in enumerate(values)], "doc_id int, text string")
+    digits = lambda x: re.sub(r"\D", "", x)
+    for r in surrogates.replace_pii(df, "k").collect():
+        v, made = values[r.doc_id], re.fullmatch(r"call (.*) now", r.text)[1]
+        code = re.match(r"\+\d{1,3}(?=[ (-])", v)
+        start = code.end() if code else 1
+        assert made[:start] == v[:start] and re.sub(r"\d", "0", made) == re.sub(r"\d", "0", v)
+        old, new = digits(v[start:]), digits(made[start:])
+        assert not any(old[i:i + 3] in new for i in range(len(old) - 2)), (v, made)
+
+
 def test_language_model_beats_unigrams(spark):
     rows = QUERIES["op10_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").agg(
         F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
