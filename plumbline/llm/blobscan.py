@@ -55,11 +55,17 @@ BASE_RULES = (
     SecretRule("access", r"AKIA[A-Z0-9]+", least=16, cue="AKIA"),
     SecretRule("hex", r"[0-9a-f]{32,}", least=32),
 )
+#: A key block from BEGIN to its END line; if END is missing, to the last base64
+#: line, also where lines are indented, quoted or escaped.
+KEY_BLOCK = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----(?:BEGIN|END) )[\s\S])*+-----END [A-Z ]*PRIVATE KEY-----"
+    r"""|(?:(?:[ \t\r\n>"'+,]|\\[rn])*+(?:(?:Proc-Type|DEK-Info|Comment): [^\r\n\\]*"""
+    r"""|[A-Za-z0-9+/=]{16,}|[A-Za-z0-9+/]+={1,2}|[A-Za-z0-9+/=]+(?=[ \t]*(?:[\r\n"'\\]|\Z))))*+)""")
 #: Further credentials with a recognisable form.
 FORM_RULES = (
-    SecretRule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", cue="PRIVATE KEY-----"),
+    SecretRule("private_key", KEY_BLOCK, version=2, cue="PRIVATE KEY-----"),
     SecretRule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", cue="eyJ"),
-    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]{1,64}:[^\s:/@]{1,64}@", cue="://"),
+    SecretRule("url_login", r"[a-z][a-z0-9+.-]{1,15}://[^\s:/@]++:[^\s:/@]++@", version=2, cue="://"),
     SecretRule("bearer", r"(?ai:\bbearer\x20+([A-Za-z0-9._~+/=-]+))", least=20, group=1),
     SecretRule("prefixed", r"\b(?:ghp|gho|ghs|ghu|xox[abpr]|sk_live|rk_live)[_-][A-Za-z0-9-]{16,}"),
 )
