@@ -1,19 +1,22 @@
 """PII surrogate generation, with DataFrame operations only.
 
 Entities (mail addresses, network addresses, telephone, card and social security
-numbers, titled names) are found by one pattern. Every distinct value gets one
-surrogate that depends on a secret key, its kind, the value and the number of
-the attempt: digits become digits, letters become letters of the same case and
-script, separators stay; names keep their title and get a name of its gender.
-
-Distinctness is checked on the whole corpus: of values that got one surrogate
-the least keeps it, and none may be a value that occurs; the others try again
-until none is left. As equal values share their surrogate, coreference holds
-within and across texts.
+numbers, titled names) are found by one pattern. Every entity, a value in normal
+form, gets one surrogate that depends on a secret key, its kind, the normal form
+and the number of the attempt. Mail addresses are folded, numbers are their digits
+(with a leading plus), names are given name and surname apart, without the title.
+The surrogate is then put into each value's format: separators, upper case, title.
+A country code stays if in all formats of the number a separator or bracket ends it.
+Words of a name found in a text are replaced wherever else they stand in that text
+with a capital, without a title too, and count as entities of kind name.
+
+Distinctness is checked on the whole corpus: of entities that got one surrogate
+the least keeps it, and none may be a normal form that occurs; the others try
+again until none is left. So coreference holds within and across texts.
 
 Scale: only texts with an entity are shuffled; values are pre-aggregated, and a
-value with a third of all occurrences is joined by ``common.attach``. The rounds
-of attempts work on the colliding values alone, each a written table.
+value with a third of all occurrences, or a name part of a third of all values, is
+joined by ``common.attach``. The rounds of attempts work on the colliding entities alone, each a written table.
 
 Defined results: a null text stays null and has no entity; repeated rows get
 one result each; null ids are kept; other columns are not read.
@@ -26,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import attach, let, store
+from plumbline.llm.common import ascii_lower, attach, let, store
 
 #: Titles by gender; "x" is open.
 TITLES = {
@@ -57,6 +60,8 @@ KINDS = {
     "card": r"(?<![0-9A-Za-z])(?:\d{4}[ -]){3}\d{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\d{13,19}(?![0-9A-Za-z])",
     "name": rf"(?<!\w)(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?",
 }
+#: A word that may be part of a name found elsewhere in the text.
+MENTION = r"(?<![\p{L}\p{M}\p{N}_])\p{Lu}\p{Ll}+(?![\p{L}\p{M}\p{N}_])"
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A text without any of these characters or titles has no entity.
 CUE = rf"[0-9@]|(?:{'|'.join(t for ts in TITLES.values() for t in ts)})\.? \p{{Lu}}"
@@ -90,63 +95,108 @@ def filled(value: Column, stream: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), other), "")
 
 
-def named(value: Column, stream: Column, attempt: Column) -> Column:
-    """The title, and for each word after it a given name or surname; every
-    attempt beyond the first few adds a syllable, so names never run out."""
-    title = F.regexp_extract(value, r"^(\S+) ", 1)
-    bare = F.regexp_replace(title, r"\.$", "")
-    two = F.size(F.split(value, " ")) > 2
+def parts_of(kind: Column, value: Column) -> Column:
+    """The entities that a value names, in normal form: (kind, norm, keep, f, m).
+    ``keep`` is the number of digits that its format allows to stay, those of a
+    country code that a separator or bracket ends; f and m tell the title's gender."""
+    words = F.split(value, " ")
+    title = F.regexp_replace(words[0], r"\.$", "")
+
+    def part(k: str, norm: Column, keep: Column) -> Column:
+        return F.struct(F.lit(k).alias("kind"), norm.alias("norm"), keep.cast("int").alias("keep"),
+                        title.isin(*TITLES["f"]).alias("f"), title.isin(*TITLES["m"]).alias("m"))
+
+    zero = F.lit(0)
+    surname = part("surname", F.element_at(words, -1), zero)
+    return F.when(kind == "email", F.array(part("email", ascii_lower(value), zero))) \
+        .when(kind == "ip", F.array(part("ip", value, zero))) \
+        .when((kind == "name") & (F.size(words) > 2), F.array(part("given", F.element_at(words, 2), zero), surname)) \
+        .when(kind == "name", F.array(surname)) \
+        .otherwise(F.array(part("number", F.regexp_replace(value, "[^+0-9]", ""),
+                                F.length(F.regexp_extract(value, r"^\+(\d{1,3})(?=[ (-])", 1)))))
+
 
-    def built(gender: str, script: str) -> Column:
-        part = lambda i: _pick(SYLLABLES[script], _byte(stream, i))
-        surname = F.initcap(F.array_join(F.transform(
-            F.sequence(F.lit(1), F.lit(3) + F.floor(attempt / 4).cast("int")), part), ""))
-        given = _pick(GIVEN[gender, script], _byte(stream, F.lit(0)))
-        return F.concat_ws(" ", title, F.when(two, given), surname)
+def named(kind: Column, norm: Column, f: Column, m: Column, stream: Column, attempt: Column) -> Column:
+    """A given name of the titles' gender (open if they differ) or a surname;
+    every attempt adds a syllable, so names never run out."""
+    def built(script: str) -> Column:
+        def more(n: Column) -> Column:
+            return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(SYLLABLES[script], _byte(stream, i))), "")
+        first = lambda g: _pick(GIVEN[g, script], _byte(stream, F.lit(0)))
+        given = F.when(f & ~m, first("f")).when(m & ~f, first("m")).otherwise(first("x"))
+        return F.when(kind == "surname", F.initcap(more(attempt + 3))).when(attempt == 0, given) \
+            .otherwise(F.concat(given, more(F.greatest(attempt, F.lit(1)))))
 
-    cyrillic = value.rlike(r"\p{IsCyrillic} ?\p{IsCyrillic}*$")
-    of = lambda g: F.when(cyrillic, built(g, "cyrillic")).otherwise(built(g, "latin"))
-    return F.when(bare.isin(*TITLES["f"]), of("f")).when(bare.isin(*TITLES["m"]), of("m")).otherwise(of("x"))
+    return F.when(norm.rlike(r"^\p{IsCyrillic}+$"), built("cyrillic")).otherwise(built("latin"))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a value at an attempt."""
+def surrogate(key: str) -> Column:
+    """The surrogate of an entity (kind, norm, keep, f, m) at an attempt."""
+    kind, norm, attempt = F.col("kind"), F.col("norm"), F.col("attempt")
+
     def made(s: Column) -> Column:
         b = lambda i: _byte(s, F.lit(i))
-        # Only a country code that a separator or bracket ends stays.
-        head = F.regexp_extract(value, r"^\+(?:\d{1,3}(?=[ (-]))?", 0)
-        number = F.concat(head, filled(F.substring(value, F.length(head) + 1, F.length(value)), s))
+        head = F.length(F.regexp_extract(norm, r"^\+", 0)) + F.col("keep")
+        number = F.concat(F.substring(norm, F.lit(1), head), filled(F.substring(norm, head + 1, F.length(norm)), s))
         # A number whose format has no free value left grows by digits.
         longer = F.substring(F.regexp_replace(s, "[a-f]", ""), F.lit(1), F.floor(attempt / 16).cast("int"))
-        return F.when(kind == "email", F.concat(filled(F.regexp_extract(value, "^([^@]+)@", 1), s), F.lit("@"),
+        return F.when(kind == "email", F.concat(filled(F.regexp_extract(norm, "^([^@]+)@", 1), s), F.lit("@"),
                                                 F.substring(s, 100, 8), F.lit(".example.net"))) \
             .when(kind == "ip", F.concat_ws(".", b(0) % 16 + 240, b(1), b(2), b(3))) \
-            .when(kind == "name", named(value, s, attempt)) \
+            .when(kind.isin("given", "surname"), named(kind, norm, F.col("f"), F.col("m"), s, attempt)) \
             .otherwise(F.concat(number, longer))
 
-    return let(F.sha2(F.concat_ws("\n", F.lit(key), kind, value, attempt.cast("string")), 512), made)
+    return let(F.sha2(F.concat_ws("\n", F.lit(key), kind, norm, attempt.cast("string")), 512), made)
 
 
-def assign(values: DataFrame, key: str) -> DataFrame:
-    """(value, surrogate, w) for distinct (kind, value, w): distinct surrogates,
-    none of them a value."""
-    left = values.withColumn("attempt", F.lit(0))
+def assign(entities: DataFrame, key: str) -> DataFrame:
+    """(part, made, n) for entities (part, kind, norm, keep, f, m, n), ``part``
+    their key: distinct surrogates, none of them a normal form that occurs."""
+    left = entities.withColumn("attempt", F.lit(0))
     done: DataFrame | None = None
     while True:
-        tried = store(left.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)), "tried")
-        first = tried.groupBy("surrogate").agg(F.min("value").alias("value"))
-        good = tried.join(first, ["surrogate", "value"], "left_semi").join(
-            values.select(F.col("value").alias("surrogate")), "surrogate", "left_anti")
+        tried = store(left.withColumn("made", surrogate(key)), "tried")
+        first = tried.groupBy("made").agg(F.min("part").alias("part"))
+        good = tried.join(first, ["made", "part"], "left_semi").join(
+            entities.select(F.col("norm").alias("made")), "made", "left_anti")
         if done is not None:
-            good = good.join(done.select("surrogate"), "surrogate", "left_anti")
-        good = store(good.select("value", "surrogate", "w"), "assigned")
+            good = good.join(done.select("made"), "made", "left_anti")
+        good = store(good.select("part", "made", "n"), "assigned")
         done = good if done is None else done.union(good)
-        left = store(tried.drop("surrogate").join(good.select("value"), "value", "left_anti").withColumn(
+        left = store(tried.drop("made").join(good.select("part"), "part", "left_anti").withColumn(
             "attempt", F.col("attempt") + 1), "open")
         if left.isEmpty():
             return done
 
 
+def formatted(kind: Column, value: Column, made: Column) -> Column:
+    """The entities' surrogates ``made`` in the format of ``value``: its title, its
+    upper case in the local part of an address, its separators between digits."""
+    one = F.element_at(made, 1)
+    digits = F.regexp_replace(one, "[^0-9]", "")
+    before = lambda i: F.length(F.regexp_replace(F.substring(value, F.lit(1), i), "[^0-9]", ""))
+    number = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when(
+        c.rlike("[0-9]"), F.substring(digits, before(i + 1), F.lit(1))).otherwise(c)), "")
+    local = F.regexp_extract(value, "^([^@]+)@", 1)
+    cased = F.array_join(F.transform(F.split(local, ""), lambda c, i: F.when(
+        c.rlike("[A-Z]"), F.upper(F.substring(one, i + 1, F.lit(1)))).otherwise(F.substring(one, i + 1, F.lit(1)))), "")
+    return F.when(kind == "email", F.concat(cased, F.substring(one, F.length(local) + 1, F.length(one)))) \
+        .when(kind == "ip", one) \
+        .when(kind == "name", F.concat_ws(" ", F.split(value, " ")[0], F.array_join(made, " "))) \
+        .otherwise(F.concat(number, F.substring(digits, before(F.length(value)) + 1, F.length(digits))))
+
+
+def values_with_surrogates(values: DataFrame, key: str) -> DataFrame:
+    """(value, surrogate, w) for distinct values (value, w, kind)."""
+    each = store(values.select("value", "w", F.col("kind").alias("vkind"), F.posexplode(parts_of(F.col("kind"), F.col("value"))))
+                 .select("value", "w", "vkind", "pos", "col.*").withColumn("part", F.concat_ws("\n", "kind", "norm")), "parts")
+    entities = each.groupBy("part", "kind", "norm").agg(
+        F.min("keep").alias("keep"), F.max("f").alias("f"), F.max("m").alias("m"), F.count(F.lit(1)).alias("n"))
+    got = attach(each.select("value", "w", "vkind", "pos", "part"), assign(store(entities, "entities"), key), "part", "value", "n")
+    made = got.groupBy("value", "w", "vkind").agg(F.sort_array(F.collect_list(F.struct("pos", "made"))).alias("made"))
+    return made.select("value", formatted(F.col("vkind"), F.col("value"), F.col("made.made")).alias("surrogate"), "w")
+
+
 def replace_pii(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, the text with surrogates, the number of
     entities of each kind (``n_email`` ...) and ``n_entities``."""
@@ -156,17 +206,35 @@ def replace_pii(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     rows = store(rows.withColumn("th", F.xxhash64("text")), "pii-rows")
     seen = rows.select("id", "th", F.explode("found").alias("value")).distinct()
     values = store(seen.groupBy("value").agg(F.count(F.lit(1)).alias("w")).withColumn("kind", kind_of(F.col("value"))), "values")
-    given = attach(seen, assign(values, key), "value", "th", "w").drop("w")
-    table = given.groupBy(F.col("id").alias("tid"), F.col("th").alias("tth")).agg(
-        F.map_from_entries(F.collect_list(F.struct("value", "surrogate"))).alias("given"))
+    given = attach(seen, values_with_surrogates(values, key), "value", "th", "w").drop("w")
+    # A name also gives its words, for mentions without a title; a surname goes before a given name.
+    words, made = F.split("value", " "), F.split("surrogate", " ")
+    entry = lambda at, rank: F.struct(F.element_at(words, at).alias("value"), F.lit(rank).alias("rank"),
+                                      F.element_at(made, at).alias("surrogate"))
+    own = F.struct(F.col("value"), F.lit(0).alias("rank"), F.col("surrogate"))
+    entries = F.when(~F.col("value").rlike(f"^(?:{KINDS['name']})$"), F.array(own)).when(
+        F.size(words) > 2, F.array(own, entry(2, 2), entry(3, 1))).otherwise(F.array(own, entry(2, 1)))
+    given = given.select(F.col("id").alias("tid"), F.col("th").alias("tth"), F.explode(entries).alias("e")).groupBy(
+        "tid", "tth", F.col("e.value").alias("value")).agg(F.min(F.struct("e.rank", "e.surrogate")).alias("s"))
+    table = given.groupBy("tid", "tth").agg(
+        F.map_from_entries(F.collect_list(F.struct("value", "s.surrogate"))).alias("given"), F.max("s.rank").alias("names"))
     out = rows.join(table, F.col("id").eqNullSafe(F.col("tid")) & (F.col("th") == F.col("tth")))
-    pieces = F.split("text", ANY, -1)
-    text = F.array_join(F.zip_with(pieces, F.transform("found", lambda v: F.element_at("given", v)),
-                                   lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    joined = lambda gaps, between: F.array_join(F.zip_with(gaps, between, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
+    mentions = lambda p: F.regexp_extract_all(p, F.lit(MENTION), F.lit(0))
+    of = lambda v: F.element_at("given", v)
+    named_too = F.col("names") > 0
+    raw = F.split("text", ANY, -1)
+    pieces = F.when(named_too, F.transform(raw, lambda p: joined(F.split(p, MENTION, -1), F.transform(
+        mentions(p), lambda v: F.coalesce(of(v), v))))).otherwise(raw)
+    untitled = F.when(named_too, F.size(F.filter(F.flatten(F.transform(raw, mentions)), lambda v: of(v).isNotNull()))).otherwise(0)
+    out = out.withColumn("n_untitled", untitled.cast("long"))
+    text = joined(pieces, F.transform("found", of))
     kinds = F.transform("found", kind_of)
     number = lambda k: F.size(F.filter("kinds", lambda x: x == k)).cast("long").alias(f"n_{k}")
-    changed = out.select("id", text.alias("text"), kinds.alias("kinds"), F.size("found").cast("long").alias("n_entities"))
-    changed = changed.select("id", "text", "n_entities", *[number(k) for k in KINDS])
+    changed = out.select("id", text.alias("text"), kinds.alias("kinds"), "n_untitled",
+                         (F.size("found") + F.col("n_untitled")).alias("n_entities"))
+    changed = changed.select("id", "text", "n_entities", *[
+        (number(k) + F.col("n_untitled")).alias("n_name") if k == "name" else number(k) for k in KINDS])
     zero = F.lit(0).cast("long")
     plain = src.where(~holds).select("id", "text", zero.alias("n_entities"), *[zero.alias(f"n_{k}") for k in KINDS])
     return changed.union(plain).withColumnsRenamed({"id": id_col, "text": text_col})

@@ -245,7 +245,7 @@ def test_surrogates(spark):
 
 
 def test_unseparated_phones(spark):
-    values = ["+15551234567", "+493012345678", "+4930 1234567", "+49 30 1234567", "+1(555)1234567", "+1-555-123-4567"]
+    values = ["+15551234567", "+493012345678", "+4930 7654321", "+49 40 1234567", "+1(556)1234567", "+1-557-123-4567"]
     df = spark.createDataFrame([(i, f"call {v} now") for i, v in enumerate(values)], "doc_id int, text string")
     digits = lambda x: re.sub(r"\D", "", x)
     for r in surrogates.replace_pii(df, "k").collect():
@@ -254,7 +254,28 @@ def test_unseparated_phones(spark):
         start = code.end() if code else 1
         assert made[:start] == v[:start] and re.sub(r"\d", "0", made) == re.sub(r"\d", "0", v)
         old, new = digits(v[start:]), digits(made[start:])
-        assert not any(old[i:i + 3] in new for i in range(len(old) - 2)), (v, made)
+        assert not any(old[i:i + 4] in new for i in range(len(old) - 3)), (v, made)
+
+
+def test_coreference(spark):
+    df = spark.createDataFrame([
+        (1, "Mr. John Smith met Mr Smith. Later John Smith called; Smith's car. Dr Ann Lee, Mr John Lee"),
+        (2, "Ann@x.com ann@x.com"), (3, "+1 (555) 123-4567, +1-555-123-4567"), (4, "+493012345678 +49 30 12345678"),
+        (5, "4111 1111 1111 1111 4111111111111111"), (6, "John Smith is not titled here, 10.0.0.1")], "doc_id int, text string")
+    out = {r.doc_id: r for r in surrogates.replace_pii(df, "k").collect()}
+    got = re.fullmatch(r"Mr\. (\w+) (\w+) met Mr (\w+)\. Later (\w+) (\w+) called; (\w+)'s car\. Dr (\w+) (\w+), Mr (\w+) (\w+)", out[1].text)
+    john, smith, s1, j1, s2, s3, ann, lee, j2, lee2 = got.groups()
+    assert smith == s1 == s2 == s3 and john == j1 == j2 and lee == lee2
+    assert len({john, smith, ann, lee, "John", "Smith", "Ann", "Lee"}) == 8 and out[1].n_name == out[1].n_entities == 7
+    a, b = out[2].text.split(" ")
+    assert a != b and a.lower() == b and "ann" not in b
+    digits = lambda x: re.sub(r"\D", "", x)
+    a, b = out[3].text.split(", ")
+    assert digits(a) == digits(b) and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", a) and re.fullmatch(r"\+1-\d{3}-\d{3}-\d{4}", b)
+    a, b = out[4].text.split(" ", 1)
+    assert digits(a) == digits(b) != "493012345678" and "3012" not in digits(a)
+    assert digits(out[5].text[:19]) == out[5].text[20:] != "4" + "1" * 15
+    assert out[6].text.startswith("John Smith is") and out[6].n_entities == 1
 
 
 def test_language_model_beats_unigrams(spark):
