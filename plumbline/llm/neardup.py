@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import attach, store
+from plumbline.llm.graph import components
 
 SHINGLE = 5
 CHUNKS, WIDTH = 12, 6
@@ -222,43 +223,6 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, ids)
 
 
-def components(links: DataFrame, old: DataFrame | None = None) -> DataFrame:
-    """(id, root): the least id of each linked id's component. Each round every
-    vertex moves to its least neighbour and the graph is contracted, so a star
-    is done in one round; ``old`` is a labelling that the links go on from."""
-    labels, edges = old, links
-    if old is not None:
-        for end in ("a", "b"):
-            edges = relabelled(edges, old, end)
-        edges = edges.where("a != b")
-    edges = store(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    while not edges.isEmpty():
-        both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).toDF("id", "near")
-        step = store(both.groupBy("id").agg(F.least("id", F.min("near")).alias("root")), "step")
-        if labels is None:
-            labels = step
-        else:
-            held = labels.groupBy(F.col("root").alias("mid")).agg(F.count(F.lit(1)).alias("w"))
-            to = held.join(step.select(F.col("id").alias("mid"), "root"), "mid")
-            moved = attach(labels.withColumnRenamed("root", "mid"), to, "mid", "id", "w")
-            fresh = step.join(labels.select("id"), "id", "left_anti")
-            labels = moved.select("id", F.coalesce("root", "mid").alias("root")).union(fresh)
-        labels = store(labels, "labels")
-        for end in ("a", "b"):
-            edges = relabelled(edges, step, end)
-        edges = store(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    return labels if labels is not None else links.select(F.col("a").alias("id"), F.col("b").alias("root"))
-
-
-def relabelled(edges: DataFrame, labels: DataFrame, end: str) -> DataFrame:
-    """``edges`` with one end replaced by its root."""
-    other = "b" if end == "a" else "a"
-    weight = edges.groupBy(end).agg(F.count(F.lit(1)).alias("_w"))
-    roots = weight.join(labels.select(F.col("id").alias(end), "root"), end)
-    out = attach(edges, roots, end, other, "_w")
-    return out.select(F.coalesce("root", end).alias(end), other).select("a", "b")
-
-
 def open_buckets(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     """(key, id, root) of the buckets whose members are in several components."""
     if labels is None:

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import blobscan, bpe, decontam, licenses, maxent, neardup, quality, surrogates, urlfilter, warc
+from plumbline.llm import (blobscan, bpe, decontam, hardneg, licenses, maxent, neardup, quality, simhash, spelling, surrogates,
+                           urlfilter, warc)
 from plumbline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +99,20 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", label))
+
+
+@query
+def op13_simhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
