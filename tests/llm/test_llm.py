@@ -278,12 +278,6 @@ def test_coreference(spark):
     assert out[6].text.startswith("John Smith is") and out[6].n_entities == 1
 
 
-def test_language_model_beats_unigrams(spark):
-    rows = QUERIES["op10_lm_score"](spark, "/root/testdata/sf0.01").where("held_out").agg(
-        F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
-    assert rows.s > rows.b
-
-
 def test_pipeline(spark):
     import corpus_pipeline
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
