@@ -1,109 +1,69 @@
 """Exact grouped quantiles (continuous interpolation, like ``quantile_cont``)
 that stay skew-safe.
 
-Groups with at most ``max_band`` distinct values use the frequency method:
-``(group, value) -> count`` pre-aggregated map-side, then
-``percentile(value, p, count)``. Groups with more distinct values (possible
-only for hot groups) are answered by rank-band refinement: for every target
-rank a value band is narrowed round by round -- a ``percentile_approx`` grid
-over the band (a mergeable sketch, partial-aggregated) cuts it into cells,
-per-cell counts locate the cell holding the rank -- until the band holds at
-most ``max_band`` values, which are then sorted to read the exact order
-statistic. No group ever sends more than ``max_band`` raw values to a task.
-"""
+Values are pre-aggregated to (group, value) -> count map-side, so a value that
+holds most of the rows is one row. Groups with at most ``max_band`` distinct
+values use ``percentile(value, p, count)``, whose state is that many pairs.
+Groups with more (only hot groups) are answered by rank selection on the pairs:
+a running sum of the counts in value order, as a prefix scan over ranges
+(:func:`plumbline.operators.sequence.keyed_window`), gives each value the ranks
+that it holds, and each wanted rank is read from the one value that holds it.
+No task and no row ever holds a group, and no number of groups or of equal
+values is refused."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.joins import broadcast_bounded
-from plumbline.session import cut_lineage, materialize_small
+from plumbline.operators.sequence import keyed_window
+from plumbline.session import materialize_small
 
+#: Big groups whose row counts may be broadcast; more are joined by shuffle.
+MAX_BROADCAST = 100_000
 
-def _freq(d: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
-    f = d.groupBy(*keys, "__v").agg(F.count("*").alias("__f"))
-    return f.groupBy(*keys).agg(F.percentile("__v", F.array(*[F.lit(p) for p in probs]), F.col("__f")).alias("__q"))
 
+def _small(pairs: DataFrame, probs: Sequence[float]) -> DataFrame:
+    return pairs.groupBy("__g").agg(F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]), F.col("__f")).alias("__q"))
 
-def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
-                    max_band: int = 1_000_000, grid: int = 100, max_rounds: int = 12,
-                    max_big_groups: int = 10_000) -> DataFrame:
-    """(by..., __q: array of quantiles in ``probs`` order) per group. With no
-    grouping columns the single group is keyed by a constant internally."""
-    if not by:
-        out = exact_quantiles(df.withColumn("__all", F.lit(0)), value, ["__all"], probs, max_band, grid,
-                              max_rounds)
-        return out.drop("__all")
-    keys = list(by)
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    stats = materialize_small(d.groupBy(*keys).agg(F.count("*").alias("__n"),
-                                                   F.approx_count_distinct("__v").alias("__nd")))
-    big = stats.where(F.col("__nd") > max_band)
-    n_big = big.limit(max_big_groups + 1).count()
-    if n_big == 0:
-        return _freq(d, keys, probs)
-    if n_big > max_big_groups:  # each has > max_band distinct values, so this is rare
-        raise ValueError(f"more than {max_big_groups} groups exceed {max_band} distinct values; "
-                         "raise max_band or use percentile_approx")
-    bigk = F.broadcast(big.select(*keys, "__n"))  # proven: at most max_big_groups rows
-    small = _freq(d.join(bigk.select(*keys), keys, "left_anti"), keys, probs)
-    # targets: the two ranks bracketing p * (n - 1) for every p
-    tg = bigk.select(*keys, "__n", F.posexplode(F.array(*[F.lit(p) for p in probs])).alias("__pi", "__p")) \
-        .withColumn("__pos", F.col("__p") * (F.col("__n") - 1))
-    targets = tg.select(*keys, "__pi", "__pos", F.explode(F.array(F.floor("__pos"), F.ceil("__pos"))).alias("__r")) \
-        .distinct()
-    # state per target: band (lo exclusive, hi inclusive; null = unbounded), rows below, rows inside
-    state = materialize_small(targets.select(
-        *keys, "__r", F.lit(None).cast("double").alias("__lo"), F.lit(None).cast("double").alias("__hi"),
-        F.lit(0).cast("long").alias("__below"), F.col("__r").alias("__r0")).join(bigk, keys)
-        .withColumnRenamed("__n", "__in"))
-    dk = d.join(bigk.select(*keys), keys, "left_semi")
-    gp = F.array(*[F.lit(i / grid) for i in range(grid + 1)])
-    acc = max(10_000, grid * 100)
-    for _ in range(max_rounds):
-        live = state.where(F.col("__in") > max_band)
-        if live.isEmpty():
-            break
-        inb = _in_band(dk, live, keys)
-        g = materialize_small(inb.groupBy(*keys, "__r").agg(F.percentile_approx("__v", gp, acc).alias("__g")))
-        cell = F.size(F.filter("__g", lambda x: x < F.col("__v")))
-        gb = broadcast_bounded(g, 100_000)  # targets x grid points
-        cnt = inb.join(gb, [*keys, "__r"]).groupBy(*keys, "__r", cell.alias("__c")) \
-            .agg(F.count("*").alias("__k"))
-        w = Window.partitionBy(*keys, "__r").orderBy("__c")  # at most grid + 2 rows per target
-        cnt = cnt.withColumn("__cum", F.coalesce(F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                                 F.lit(0)))
-        rel = F.col("__r") - F.col("__below")
-        hit = cnt.join(broadcast_bounded(live.select(*keys, "__r", "__below", "__lo", "__hi"), 100_000),
-                       [*keys, "__r"]) \
-            .where((rel >= F.col("__cum")) & (rel < F.col("__cum") + F.col("__k"))) \
-            .join(gb, [*keys, "__r"])
-        lo_new = F.when(F.col("__c") > 0, F.element_at("__g", F.col("__c"))).otherwise(F.col("__lo"))
-        hi_new = F.when(F.col("__c") <= grid, F.element_at("__g", F.col("__c") + 1)).otherwise(F.col("__hi"))
-        moved = hit.select(*keys, "__r", lo_new.alias("__lo"), hi_new.alias("__hi"),
-                           (F.col("__below") + F.col("__cum")).alias("__below"), F.col("__k").alias("__in"))
-        done = state.where(F.col("__in") <= max_band).select(*keys, "__r", "__lo", "__hi", "__below", "__in")
-        state = cut_lineage(done.unionByName(moved))  # iterative: cut lineage each round
-    # final: sort each band (<= max_band values) and read the order statistics
-    fin = _in_band(dk, state, keys).groupBy(*keys, "__r").agg(F.array_sort(F.collect_list("__v")).alias("__s"))
-    vals = fin.join(broadcast_bounded(state.select(*keys, "__r", "__below"), 100_000), [*keys, "__r"]) \
-        .select(*keys, "__r", F.element_at("__s", (F.col("__r") - F.col("__below") + 1).cast("int")).alias("__x"))
-    vf = vals.withColumnRenamed("__r", "__rf").withColumnRenamed("__x", "__xf")
-    vc = vals.withColumnRenamed("__r", "__rc").withColumnRenamed("__x", "__xc")
-    tq = tg.join(vf, [*keys]).where(F.col("__rf") == F.floor("__pos")) \
-        .join(vc, [*keys]).where(F.col("__rc") == F.ceil("__pos"))
-    q = tq.select(*keys, "__pi", (F.col("__xf") + (F.col("__pos") - F.floor("__pos")) * (F.col("__xc") - F.col("__xf")))
-                  .alias("__val"))
-    big_q = q.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__pi", "__val"))).alias("__a")) \
-        .select(*keys, F.transform("__a", lambda s: s["__val"]).alias("__q"))
-    return small.unionByName(big_q)
 
+def rank_selected(pairs: DataFrame, sizes: DataFrame, probs: Sequence[float], hot_rows: int) -> DataFrame:
+    """(__g, __q) of the (__g, __v, __f) pairs, for the groups of ``sizes`` (__k, __n)."""
+    scan = keyed_window(pairs, "__g", ["__v"], running_sum={"__cum": "__f"}, hot_rows=hot_rows)
+    held = scan.join(broadcast_bounded(sizes, MAX_BROADCAST), F.col("__g") == F.col("__k"))
+
+    def at(rank: Column) -> Column:
+        """The value of the 0-based rank: the one whose counts reach past it."""
+        return F.max(F.when((F.col("__cum") - F.col("__f") <= rank) & (rank < F.col("__cum")), F.col("__v")))
+
+    wanted = [F.lit(float(p)) * (F.col("__n") - 1) for p in probs]
+    ends = held.groupBy("__g").agg(
+        F.max("__n").alias("__n"), *[at(F.floor(pos)).alias(f"__lo{i}") for i, pos in enumerate(wanted)],
+        *[at(F.ceil(pos)).alias(f"__hi{i}") for i, pos in enumerate(wanted)])
+    between = [F.col(f"__lo{i}") + (pos - F.floor(pos)) * (F.col(f"__hi{i}") - F.col(f"__lo{i}"))
+               for i, pos in enumerate(wanted)]
+    return ends.select("__g", F.array(*between).alias("__q"))
 
-def _in_band(d: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of each target's band: lo < v <= hi (null bounds are open)."""
-    st = broadcast_bounded(state.select(*keys, "__r", "__lo", "__hi"), 100_000)  # 2 x len(probs) per group
-    return d.join(st, keys).where((F.col("__lo").isNull() | (F.col("__v") > F.col("__lo")))
-                   & (F.col("__hi").isNull() | (F.col("__v") <= F.col("__hi"))))
+
+def exact_quantiles(df: DataFrame, value: str, by: Sequence[str], probs: Sequence[float],
+                    max_band: int = 1_000_000, hot_rows: int = 2_000_000) -> DataFrame:
+    """(by..., __q: array of quantiles in ``probs`` order) per group; null labels
+    are groups of their own. Without grouping columns there is one group. ``max_band``
+    is the number of distinct values that one task may hold of one group."""
+    d = df.where(F.col(value).isNotNull()).select(
+        F.struct(*[F.col(c) for c in by], F.lit(0).alias("__all")).alias("__g"), F.col(value).cast("double").alias("__v"))
+    pairs = d.groupBy("__g", "__v").agg(F.count(F.lit(1)).alias("__f"))
+    sizes = materialize_small(d.groupBy(F.col("__g").alias("__k")).agg(
+        F.count(F.lit(1)).alias("__n"), F.approx_count_distinct("__v").alias("__nd")))
+    big = sizes.where(F.col("__nd") > max_band).select("__k", "__n")
+    if big.isEmpty():
+        out = _small(pairs, probs)
+    else:
+        some = broadcast_bounded(big, MAX_BROADCAST)
+        is_big = F.col("__g") == F.col("__k")
+        small = _small(pairs.join(some.select("__k"), is_big, "left_anti"), probs)
+        out = small.unionByName(rank_selected(pairs.join(some.select("__k"), is_big, "left_semi"), big, probs, hot_rows))
+    return out.select(*[F.col(f"__g.{c}").alias(c) for c in by], "__q")

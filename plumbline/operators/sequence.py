@@ -1,137 +1,140 @@
 """Skew-safe ordered windows per key.
 
 ``keyed_window`` computes, per key in a given order, any of: the next value
-(lead), the previous value (lag), the row number and running sums -- the
-building blocks of effective-dated history, first-spell flags and spell
-linking. A plain ``Window.partitionBy(key)`` sorts every row of a key in one
-task; when one key holds a large share of the table that task is the job.
-
-Here keys with more than ``hot_rows`` rows are cut into up to ``splits + 1``
-ordered sub-ranges at approximate quantiles of the leading order column
-(a mergeable sketch, so computing it is skew-safe). Rows with the same
-leading value always share a sub-range, so the tiebreak order is preserved.
-The window runs per (key, sub-range) -- one shuffle, like the plain window --
-and the few values that cross a sub-range boundary (the first/last row and
-the counts and sums of each sub-range) are fixed up from a small per
-(key, sub-range) summary. Results are exact and identical to the plain
-window."""
+(lead), the previous value (lag), the row number, running sums, running minima
+and forward fills -- the building blocks of effective-dated history, first-spell
+flags, spell linking, ranks and exact quantiles. A plain
+``Window.partitionBy(key)`` sorts every row of a key in one task; when one key
+holds a large share of the table that task is the job.
+
+The input is computed once, into a written table. If no key holds more than
+``hot_rows`` rows the window is the plain one. Otherwise it is a prefix scan
+over ranges: the rows are range-partitioned by the key *and the full order*
+(plus the row's own number, so that ties may be cut anywhere), and a key that
+does not fit one range goes on in the next. The window runs per (key, range),
+and what crosses a range's boundary (first and last values, counts, sums) is
+carried over from a summary of the keys that lie in several ranges: at most two
+rows a range. So no task holds more than one range, whether the hot key is null,
+has one date only, or is one of many; there is no cap on keys or ranges. Results
+are exact and identical to the plain window."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-import math
-
 from plumbline.operators.joins import broadcast_bounded
-from plumbline.session import materialize_small
+from plumbline.session import scratch_path
 
+#: Rows of the carry table that may be broadcast; beyond it is joined by shuffle.
+MAX_CARRY = 100_000
 
-def _plain(base: DataFrame, key: str, order: Sequence[str], lead, lag, row_number, running_sum,
-           ffill=(), keep=frozenset()) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*[F.col(c) for c in order])
-    out = base
-    for c in ffill:
-        out = out.withColumn(f"filled_{c}", F.last(c, ignorenulls=True).over(
-            w.rowsBetween(Window.unboundedPreceding, 0)))
-    for c in lead:
-        out = out.withColumn(f"next_{c}", F.lead(c).over(w))
-    for c in lag:
-        out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
+
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written to the shared scratch folder and read back, with its row
+    count, observed while writing."""
+    rows, path = Observation(), scratch_path(df.sparkSession, name)
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
+
+
+def _over(base: DataFrame, by: Sequence[str], order: list[Column], lead, lag, row_number, running_sum,
+          running_min, ffill) -> DataFrame:
+    """The window results per ``by``, under the names of the result."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    new: dict[str, Column] = {f"filled_{c}": F.last(c, ignorenulls=True).over(so_far) for c in ffill}
+    new |= {f"next_{c}": F.lead(c).over(w) for c in lead}
+    new |= {f"prev_{c}": F.lag(c).over(w) for c in lag}
     if row_number:
-        out = out.withColumn(row_number, F.row_number().over(w))
-    for name in running_sum:
-        out = out.withColumn(name, F.sum(f"__rs_in_{name}").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])
+        new[row_number] = F.row_number().over(w)
+    new |= {name: F.sum(f"__rs_in_{name}").over(so_far) for name in running_sum}
+    new |= {name: F.min(f"__rm_in_{name}").over(so_far) for name in running_min}
+    return base.withColumns(new)
 
 
 def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[str] = (),
                  lag: Sequence[str] = (), row_number: str | None = None,
                  running_sum: dict[str, str | Column] | None = None, ffill: Sequence[str] = (),
-                 hot_rows: int = 2_000_000, max_splits: int = 4096,
-                 max_hot_keys: int = 100_000) -> DataFrame:
+                 running_min: dict[str, str | Column] | None = None, hot_rows: int = 2_000_000) -> DataFrame:
     """Adds ``next_<c>`` for c in lead, ``prev_<c>`` for c in lag, the row
-    number (1-based), running sums (name -> column) and ``filled_<c>`` (the
-    last non-null value of c so far, i.e. a forward fill), per key in ``order``.
-
-    Sub-ranges per hot key are sized from the largest hot key so each holds
-    about ``hot_rows`` rows (at most ``max_splits + 1`` sub-ranges)."""
-    running_sum = running_sum or {}
-    lead_col = order[0]
-    base = df
-    for name, expr in running_sum.items():
-        base = base.withColumn(f"__rs_in_{name}", F.col(expr) if isinstance(expr, str) else expr)
-
-    # 1. hot keys (partial-aggregated counts; at most rows / hot_rows of them)
-    counts = base.groupBy(key).agg(F.count("*").alias("__n"))
-    hot = materialize_small(counts.where(F.col("__n") > hot_rows))
-    stats = hot.agg(F.count("*").alias("k"), F.max("__n").alias("m")).first()  # two scalars
-    if not stats["k"]:
-        return _plain(base, key, order, lead, lag, row_number, running_sum, ffill, frozenset(df.columns))
-    if stats["k"] > max_hot_keys:
-        raise ValueError(f"more than {max_hot_keys} keys exceed {hot_rows} rows; raise hot_rows")
-    splits = max(1, min(max_splits, math.ceil(stats["m"] / hot_rows) - 1))
-    probs = F.array(*[F.lit((i + 1) / (splits + 1)) for i in range(splits)])
-    # sub-range boundaries from a mergeable sketch (skew-safe partial aggregation)
-    bounds = materialize_small(
-        base.join(F.broadcast(hot.select(key)), key, "left_semi")
-        .groupBy(key).agg(F.percentile_approx(lead_col, probs, max(10_000, 100 * splits)).alias("__b")))
-    with_sub = base.join(F.broadcast(bounds), key, "left") \
-        .withColumn("__sub", F.coalesce(F.size(F.filter("__b", lambda b: b < F.col(lead_col))), F.lit(0))) \
-        .drop("__b")
-
-    # 2. local window per (key, sub-range)
-    w = Window.partitionBy(key, "__sub").orderBy(*[F.col(c) for c in order])
-    wr = w.rowsBetween(Window.unboundedPreceding, 0)
-    local = with_sub
-    for c in lead:
-        local = local.withColumn(f"__ln_{c}", F.lead(c).over(w))
-    for c in lag:
-        local = local.withColumn(f"__lg_{c}", F.lag(c).over(w))
-    if row_number:
-        local = local.withColumn("__rn", F.row_number().over(w))
-    for name in running_sum:
-        local = local.withColumn(f"__rs_{name}", F.sum(f"__rs_in_{name}").over(wr))
-    for c in ffill:
-        local = local.withColumn(f"__ff_{c}", F.last(c, ignorenulls=True).over(wr))
-
-    local = local.withColumn("__pos", F.row_number().over(Window.partitionBy(key, "__sub").orderBy(*order)))
-
-    # 3. per (key, sub-range) summary -> cross-boundary values and offsets
-    firsts = [F.min_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__first_{c}") for c in lead]
-    lasts = [F.max_by(F.col(c), F.struct(*[F.col(o) for o in order])).alias(f"__last_{c}") for c in lag]
-    sums = [F.sum(f"__rs_in_{n}").alias(f"__tot_{n}") for n in running_sum]
-    lastnn = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order])))
-              .alias(f"__lnn_{c}") for c in ffill]
-    part = (with_sub.join(F.broadcast(bounds.select(key)), key, "left_semi").groupBy(key, "__sub")
-            .agg(F.count("*").alias("__cnt"), *firsts, *lasts, *sums, *lastnn))
-    ws = Window.partitionBy(key).orderBy("__sub")  # one row per (hot key, sub-range)
+    number (1-based), running sums and minima (name -> column) and ``filled_<c>``
+    (the last non-null value of c so far, i.e. a forward fill), per key in
+    ascending ``order`` (nulls first). Null keys form one key. ``hot_rows`` is
+    the number of rows that one task may be given of one key."""
+    running_sum, running_min = running_sum or {}, running_min or {}
+    col = lambda e: F.col(e) if isinstance(e, str) else e
+    base = df.withColumns({f"__rs_in_{n}": col(e) for n, e in running_sum.items()}
+                          | {f"__rm_in_{n}": col(e) for n, e in running_min.items()})
+    asked = (lead, lag, row_number, running_sum, running_min, ffill)
+    drop = [c for c in base.columns if c not in df.columns]
+    src, rows = _stored(base.withColumn("__u", F.monotonically_increasing_id()), "window-input")
+    by_order = [F.col(c) for c in (*order, "__u")]
+    if rows <= hot_rows or src.groupBy(key).count().where(F.col("count") > hot_rows).isEmpty():
+        return _over(src, [key], by_order, *asked).drop("__u", *drop)
+
+    # 1. ranges of the full order, each of about hot_rows / 2 rows
+    ranges = 2 * math.ceil(rows / hot_rows)
+    parts, _ = _stored(src.repartitionByRange(ranges, F.col(key), *by_order)
+                       .withColumn("__p", F.spark_partition_id()), "window-ranges")
+
+    # 2. keys that lie in several ranges: a range shares its first key and its last
+    spans = parts.groupBy(key).agg(F.min("__p").alias("__a"), F.max("__p").alias("__b")).where("__a < __b")
+    spans = spans.select(F.col(key).alias("__k"), F.explode(F.sequence("__a", "__b")).alias("__kp"))
+    same = F.col(key).eqNullSafe(F.col("__k")) & (F.col("__p") == F.col("__kp"))
+    inside = parts.join(broadcast_bounded(spans, MAX_CARRY), same).drop("__k", "__kp")
+
+    # 3. their summary per range, and what each range takes over from those before
+    # or, for lead, from the one after; a range of a spanning key is never empty
+    place = F.struct(*by_order)
+    summary = inside.groupBy(F.col(key).alias("__k"), F.col("__p").alias("__kp")).agg(
+        F.count(F.lit(1)).alias("__cnt"), F.min("__u").alias("__any"),
+        *[F.min_by(F.col(c), place).alias(f"__first_{c}") for c in lead],
+        *[F.max_by(F.col(c), place).alias(f"__last_{c}") for c in lag],
+        *[F.sum(f"__rs_in_{n}").alias(f"__sum_{n}") for n in running_sum],
+        *[F.min(f"__rm_in_{n}").alias(f"__min_{n}") for n in running_min],
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), place)).alias(f"__fill_{c}") for c in ffill])
+    ws = Window.partitionBy("__k").orderBy("__kp")  # one row per (key, range)
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    fix = part.select(key, "__sub",
-                      *[F.lead(f"__first_{c}").over(ws).alias(f"__fx_ln_{c}") for c in lead],
-                      *[F.lag(f"__last_{c}").over(ws).alias(f"__fx_lg_{c}") for c in lag],
-                      F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"), "__cnt",
-                      *[F.sum(f"__tot_{n}").over(before).alias(f"__fx_rs_{n}") for n in running_sum],
-                      *[F.last(f"__lnn_{c}", ignorenulls=True).over(before).alias(f"__fx_ff_{c}") for c in ffill])
-    fix = materialize_small(fix)  # at most hot keys x (splits + 1) rows
-    out = local.join(broadcast_bounded(fix, 5_000_000), [key, "__sub"], "left")
-
-    # 4. assemble
-    for c in lead:
-        # by position, not by null: a neighbour's own value may be null
-        out = out.withColumn(f"next_{c}", F.when(F.col("__pos") == F.col("__cnt"), F.col(f"__fx_ln_{c}"))
-                             .otherwise(F.col(f"__ln_{c}")))
+    carry = summary.select(
+        "__k", "__kp", "__cnt", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"),
+        *[F.lead(f"__first_{c}").over(ws).alias(f"__c_next_{c}") for c in lead],
+        *[F.lag(f"__last_{c}").over(ws).alias(f"__c_prev_{c}") for c in lag],
+        *[F.sum(f"__sum_{n}").over(before).alias(f"__c_{n}") for n in running_sum],
+        *[F.min(f"__min_{n}").over(before).alias(f"__c_{n}") for n in running_min],
+        *[F.last(f"__fill_{c}", ignorenulls=True).over(before).alias(f"__c_fill_{c}") for c in ffill])
+    carry, n = _stored(carry, "window-carry")
+
+    # 4. the window per (key, range), with the carried values at the boundaries
+    local = _over(parts, [key, "__p"], by_order, lead, lag, "__pos", running_sum, running_min, ffill)
+    out = local.join(F.broadcast(carry) if n <= MAX_CARRY else carry, same, "left")
+    new: dict[str, Column] = {}
+    for c in lead:  # by position, not by null: a neighbour's own value may be null
+        new[f"next_{c}"] = F.when(F.col("__pos") == F.col("__cnt"), F.col(f"__c_next_{c}")).otherwise(F.col(f"next_{c}"))
     for c in lag:
-        out = out.withColumn(f"prev_{c}", F.when((F.col("__pos") == 1) & F.col("__cnt").isNotNull(), F.col(f"__fx_lg_{c}"))
-                             .otherwise(F.col(f"__lg_{c}")))
+        new[f"prev_{c}"] = F.when((F.col("__pos") == 1) & F.col("__cnt").isNotNull(), F.col(f"__c_prev_{c}")) \
+            .otherwise(F.col(f"prev_{c}"))
     if row_number:
-        out = out.withColumn(row_number, F.col("__rn") + F.coalesce("__off", F.lit(0)))
-    for name in running_sum:
-        # null until the first non-null value of the key, as in the plain window
-        rs, fx = F.col(f"__rs_{name}"), F.col(f"__fx_rs_{name}")
-        out = out.withColumn(name, F.when(rs.isNull(), fx).otherwise(rs + F.coalesce(fx, F.lit(0))))
+        new[row_number] = F.col("__pos") + F.coalesce("__off", F.lit(0))
+    for name in running_sum:  # null until the first non-null value of the key
+        new[name] = F.when(F.col(name).isNull(), F.col(f"__c_{name}")).otherwise(F.col(name) + F.coalesce(f"__c_{name}", F.lit(0)))
+    for name in running_min:
+        new[name] = F.least(name, f"__c_{name}")  # the null-free one, if one is null
     for c in ffill:
-        out = out.withColumn(f"filled_{c}", F.coalesce(F.col(f"__ff_{c}"), F.col(f"__fx_ff_{c}")))
-    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in df.columns])
+        new[f"filled_{c}"] = F.coalesce(f"filled_{c}", f"__c_fill_{c}")
+    out = out.withColumns(new)
+    return out.drop("__u", "__p", "__pos", *[c for c in carry.columns if c not in df.columns], *drop)
+
+
+def value_ranks(df: DataFrame, value: str, name: str, hot_rows: int = 2_000_000) -> DataFrame:
+    """``rank()`` of ``value`` over all rows, largest first and nulls last, without
+    a window over all rows: distinct values with their counts, a running sum of
+    the counts in order, joined back to the rows."""
+    counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__f")).select(
+        "__v", "__f", F.lit(0).alias("__one"), F.col("__v").isNull().alias("__last"), (-F.col("__v")).alias("__desc"))
+    cum = keyed_window(counts, "__one", ["__last", "__desc"], running_sum={"__cum": "__f"}, hot_rows=hot_rows)
+    ranks = cum.select("__v", (F.col("__cum") - F.col("__f") + 1).cast("long").alias(name))
+    return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
