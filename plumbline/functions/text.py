@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 # Fixed value: figures quoted in prose -- thousands-grouped integers or numbers
-# with one decimal. Look-around takes no separator, so that figures one
-# character apart are all found.
-FIGURE_PATTERN = r"(?<![0-9A-Za-z_.,])(\d{1,3}(?:,\d{3})+|\d+\.\d)(?![0-9A-Za-z_])"
+# with one decimal, between word boundaries (of Unicode letters and digits).
+FIGURE_PATTERN = r"(?<![\p{L}\p{N}_])(\d{1,3}(?:,\d{3})+|\d+\.\d)(?![\p{L}\p{N}_])"
 
 
 def _c(x) -> Column:

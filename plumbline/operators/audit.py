@@ -261,24 +261,42 @@ def a_distinct_mask(df: DataFrame, key: str, dp: int = 6) -> DataFrame:
 def type_family(t: Column) -> Column:
     """Engine-neutral type family of a type name."""
     u = F.upper(t)
-    return (F.when(u.rlike("^(TINYINT|SMALLINT|INT|INTEGER|BIGINT|LONG|SHORT|BYTE|HUGEINT)"), "integer")
+    return (F.when(u.rlike("^ARRAY|\\[\\]$"), "array").when(u.rlike("^(TINYINT|SMALLINT|INT|INTEGER|BIGINT|LONG|SHORT|BYTE|HUGEINT)"), "integer")
             .when(u.rlike("^(FLOAT|DOUBLE|REAL|DECIMAL)"), "floating")
             .when(u.rlike("^(STRING|VARCHAR|TEXT)"), "string")
             .when(u.rlike("^TIMESTAMP"), "timestamp").when(u.rlike("^DATE"), "date")
-            .when(u.rlike("^(BOOLEAN|BOOL)"), "boolean")
-            .when(u.rlike("^ARRAY|\\[\\]$"), "array").otherwise("other"))
-
-
-def a_schema_drift(documented: DataFrame, actual: DataFrame) -> DataFrame:
-    """Documented (table, column, type) vs actual: missing, undocumented and
-    type-family changes (full outer join)."""
+            .when(u.rlike("^(BOOLEAN|BOOL)"), "boolean").otherwise("other"))
+
+
+def column_facts(name: str, df: DataFrame, types: dict[str, str]) -> DataFrame:
+    """(table_name, column_name, data_type, n_rows, n_filled, n_castable) from one
+    aggregate over the rows; ``types`` are the documented types by column, and
+    n_castable is null for a column without one."""
+    quoted = lambda c: F.col("`" + c + "`")
+    casts = {c: quoted(c).try_cast(t) for c, t in types.items() if c in df.columns}
+    g = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(quoted(c)).alias(f"f{i}") for i, c in enumerate(df.columns)],
+               *[F.count(casts[c]).alias(f"c{i}") for i, c in enumerate(df.columns) if c in casts])
+    rows = [F.struct(F.lit(name).alias("table_name"), F.lit(c).alias("column_name"), F.lit(t).alias("data_type"), F.col("n").alias("n_rows"),
+                     F.col(f"f{i}").alias("n_filled"), (F.col(f"c{i}") if c in casts else F.lit(None).cast("long")).alias("n_castable"))
+            for i, (c, t) in enumerate(df.dtypes)]
+    return g.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def a_schema_drift(documented: DataFrame, facts: DataFrame) -> DataFrame:
+    """Documented (table, column, type) vs the tables' columns and values (``facts``,
+    see :func:`column_facts`): missing and undocumented columns, changes of the
+    type family, and values that do not cast to the documented type, with each
+    column's rows and share of nulls."""
     d = documented.select("table_name", "column_name", type_family(F.col("data_type")).alias("documented_type"))
-    a = actual.select("table_name", "column_name", type_family(F.col("data_type")).alias("actual_type"))
+    a = facts.withColumn("actual_type", type_family(F.col("data_type"))).drop("data_type")
     j = d.join(a, ["table_name", "column_name"], "full_outer")
+    bad = F.col("n_filled") - F.col("n_castable")
     status = (F.when(F.col("actual_type").isNull(), "missing_in_data")
               .when(F.col("documented_type").isNull(), "undocumented")
-              .when(F.col("documented_type") != F.col("actual_type"), "type_changed"))
-    return j.withColumn("status", status).where(F.col("status").isNotNull())
+              .when(bad > 0, "values_do_not_cast")
+              .when(F.col("documented_type") != F.col("actual_type"), "type_changed").otherwise("as_documented"))
+    return j.select("table_name", "column_name", "documented_type", "actual_type", status.alias("status"), "n_rows",
+                    F.round(safe_div(F.col("n_rows") - F.col("n_filled"), "n_rows"), 6).alias("null_share"), bad.alias("n_not_castable"))
 
 
 def a_gt_drift(pinned: DataFrame, fresh: DataFrame, ignore_prefix: str = "_meta") -> DataFrame:

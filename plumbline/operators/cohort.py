@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dates import month_diff
 from plumbline.functions.stats import safe_div
-from plumbline.session import materialize_small
+from plumbline.operators.joins import broadcast_bounded
+from plumbline.operators.sequence import stored
+from plumbline.session import cut_lineage, materialize_small
 
 
 def c_cohort(df: DataFrame, entry: str, key: str, as_of: dt.date) -> DataFrame:
@@ -171,12 +173,14 @@ def c_decompose(df: DataFrame, period: Column, p0, p1, stratum: Column, event: C
 def c_decompose_strata(df: DataFrame, period: Column, p0, p1, stratum: Column, event: Column,
                        k: int = 5, unstable: int = 30, dp: int = 6) -> DataFrame:
     """The pre-sum frame with each stratum's contributions and a stability
-    label on its smaller period n (a mix effect driven by n = 9 is noise)."""
+    label on its smaller period n (a mix effect driven by n = 9 is noise); a
+    suppressed stratum shows no figure."""
+    from plumbline.operators.compare import hide_suppressed
     f = c_decompose_frame(df, period, p0, p1, stratum, event)
     r0, r1 = F.coalesce("r0", F.lit(0.0)), F.coalesce("r1", F.lit(0.0))
     nmin = F.least("n0", "n1")
     stab = F.when(nmin < k, "suppressed").when(nmin < unstable, "unstable").otherwise("stable")
-    return f.select("stratum", "n0", "n1", "e0", "e1",
+    out = f.select("stratum", "n0", "n1", "e0", "e1",
                     F.round(F.col("s0") * 100, dp).alias("share0_pct"),
                     F.round(F.col("s1") * 100, dp).alias("share1_pct"),
                     F.round(F.col("r0") * 100, dp).alias("rate0_pct"),
@@ -184,25 +188,62 @@ def c_decompose_strata(df: DataFrame, period: Column, p0, p1, stratum: Column, e
                     F.round(F.col("s0") * (r1 - r0) * 100, dp).alias("rate_contrib"),
                     F.round((F.col("s1") - F.col("s0")) * r0 * 100, dp).alias("mix_contrib"),
                     stab.alias("stability"))
+    return hide_suppressed(out, "stratum")
+
+
+def _ordered_times(ev: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """Per entity the ordered times t_i and whether it has any event of a stage (a_i):
+    one shuffle and one sort by time, whatever the number of stages. An event counts
+    for its stage if it is later than the least such event of the stage before."""
+    so_far = Window.partitionBy("__k").orderBy("__ts").rowsBetween(Window.unboundedPreceding, 0)
+    for i, s in enumerate(stages, start=1):
+        counts = F.col("__st") == s
+        if i > 1:
+            counts = counts & (F.col("__ts") > F.min(f"q_{i - 1}").over(so_far))
+        ev = ev.withColumn(f"q_{i}", F.when(counts, F.col("__ts")))
+    return ev.groupBy("__k").agg(*[F.min(f"q_{i}").alias(f"t_{i}") for i in range(1, len(stages) + 1)], *_any_stage(stages))
+
+
+def _any_stage(stages: Sequence[str]) -> list[Column]:
+    return [F.max((F.col("__st") == s).cast("int")).alias(f"a_{i}") for i, s in enumerate(stages, start=1)]
+
+
+def _reduced_times(ev: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """The same for entities with too many events to sort in one task: one minimum
+    per stage, reduced map-side, after the written times of the stage before."""
+    reached = cut_lineage(ev.groupBy("__k").agg(
+        F.min(F.when(F.col("__st") == stages[0], F.col("__ts"))).alias("t_1"), *_any_stage(stages)))
+    for i, s in enumerate(stages[1:], start=2):
+        after = ev.where(F.col("__st") == s).join(broadcast_bounded(reached.select("__k", f"t_{i - 1}"), 100_000), "__k")
+        nxt = after.where(F.col("__ts") > F.col(f"t_{i - 1}")).groupBy("__k").agg(F.min("__ts").alias(f"t_{i}"))
+        reached = cut_lineage(reached.join(nxt, "__k", "left"))
+    return reached
 
 
 def stage_times(events: DataFrame, key: str, ts: str, stage: str, stages: Sequence[str],
-                entry_cutoff: Column | None = None) -> DataFrame:
-    """Per entity, the time each stage is reached *in order*: t_1 = first
-    occurrence of stage 1, t_k = first occurrence of stage k after t_{k-1}.
-
-    One partial-aggregated min per stage joined back on the entity key; work
-    is linear in events and a hot entity is reduced map-side before the join."""
-    ev = events.select(F.col(key).alias("__k"), F.col(ts).alias("__ts"), F.col(stage).alias("__st"))
-    reached = ev.where(F.col("__st") == stages[0]).groupBy("__k").agg(F.min("__ts").alias("t_1"))
+                entry_cutoff: Column | None = None, hot_rows: int = 2_000_000) -> DataFrame:
+    """Per entity with an event of a stage: the time each stage is reached *in
+    order* (t_1 = first occurrence of stage 1, t_k = first occurrence of stage k
+    after t_{k-1}; null if not) and whether it has any event of the stage (a_k).
+
+    The stages' events are read once, into a written table. An entity with more than
+    ``hot_rows`` of them is reduced stage by stage instead of sorted. ``entry_cutoff``
+    keeps the entities whose t_1 is at or before it."""
+    ev = events.where(F.col(stage).isin(list(stages)) & F.col(key).isNotNull()) \
+        .select(F.col(key).alias("__k"), F.col(ts).alias("__ts"), F.col(stage).alias("__st"))
+    ev, rows = stored(ev, "stage-events")
+    hot = ev.groupBy("__k").count().where(F.col("count") > hot_rows).select("__k")
+    if rows <= hot_rows or hot.isEmpty():
+        out = _ordered_times(ev, stages)
+    else:
+        few = broadcast_bounded(hot, 100_000)
+        hot_events, _ = stored(ev.join(few, "__k", "left_semi"), "hot-stage-events")
+        names = ["__k", *[f"{c}_{i}" for c in "ta" for i in range(1, len(stages) + 1)]]
+        out = _ordered_times(ev.join(few, "__k", "left_anti"), stages).select(names) \
+            .union(_reduced_times(hot_events, stages).select(names))
     if entry_cutoff is not None:
-        reached = reached.where(F.col("t_1") <= entry_cutoff)
-    for i, s in enumerate(stages[1:], start=2):
-        prev = f"t_{i - 1}"
-        nxt = (ev.where(F.col("__st") == s).join(reached.select("__k", prev), "__k")
-               .where(F.col("__ts") > F.col(prev)).groupBy("__k").agg(F.min("__ts").alias(f"t_{i}")))
-        reached = reached.join(nxt, "__k", "left")
-    return reached.withColumnRenamed("__k", key)
+        out = out.where(F.col("t_1") <= entry_cutoff)
+    return out.withColumnRenamed("__k", key)
 
 
 def c_funnel(events: DataFrame, key: str, ts: str, stage: str, stages: Sequence[str],
@@ -232,10 +273,7 @@ def c_funnel_checks(events: DataFrame, key: str, ts: str, stage: str,
     in order, the out-of-order remainder (skips / re-entries), and whether
     the ordered counts are monotone non-increasing."""
     t = stage_times(events, key, ts, stage, stages)
-    any_ = events.groupBy(key).agg(*[F.max((F.col(stage) == s).cast("int")).alias(f"a_{i}")
-                                     for i, s in enumerate(stages, start=1)])
-    j = any_.join(t, key, "left")
-    wide = j.agg(*[F.sum(f"a_{i}").alias(f"a_{i}") for i in range(1, len(stages) + 1)],
+    wide = t.agg(*[F.coalesce(F.sum(f"a_{i}"), F.lit(0)).alias(f"a_{i}") for i in range(1, len(stages) + 1)],
                  *[F.count(f"t_{i}").alias(f"n_{i}") for i in range(1, len(stages) + 1)])
     rows = []
     for i, s in enumerate(stages, start=1):

@@ -33,6 +33,12 @@ def k_naive_gap(units: DataFrame, treated: str | Column, outcome: str | Column,
                     F.round(r1 - r0, dp).alias("gap_pts"))
 
 
+def hide_suppressed(df: DataFrame, *labels: str) -> DataFrame:
+    """All columns but ``labels`` and the stability nulled where that is "suppressed"."""
+    shown = F.col("stability") != "suppressed"
+    return df.select(*[F.col(c) if c in (*labels, "stability") else F.when(shown, F.col(c)).alias(c) for c in df.columns])
+
+
 def k_stratified_frame(units: DataFrame, treated, outcome, stratum: str) -> DataFrame:
     t, y = _c(treated).cast("boolean"), _c(outcome).cast("double")
     return units.groupBy(stratum).agg(
@@ -42,20 +48,21 @@ def k_stratified_frame(units: DataFrame, treated, outcome, stratum: str) -> Data
 
 def k_stratified(units: DataFrame, treated, outcome, stratum: str, dp: int = 6) -> DataFrame:
     """Per-stratum rates in both arms with n, Wilson ranges, the gap and a
-    stability label on the smaller arm."""
+    stability label on the smaller arm; a suppressed stratum shows no figure."""
     f = k_stratified_frame(units, treated, outcome, stratum)
     r1 = safe_div(F.col("y_treated") * 100, "n_treated")
     r0 = safe_div(F.col("y_control") * 100, "n_control")
     l1, u1 = wilson_bounds("y_treated", "n_treated")
     l0, u0 = wilson_bounds("y_control", "n_control")
     nmin = F.least("n_treated", "n_control")
-    return f.select(stratum, "n_treated", F.round(r1, dp).alias("treated_rate_pct"),
+    out = f.select(stratum, "n_treated", F.round(r1, dp).alias("treated_rate_pct"),
                     F.round(l1 * 100, dp).alias("treated_lower_pct"), F.round(u1 * 100, dp).alias("treated_upper_pct"),
                     "n_control", F.round(r0, dp).alias("control_rate_pct"),
                     F.round(l0 * 100, dp).alias("control_lower_pct"), F.round(u0 * 100, dp).alias("control_upper_pct"),
                     F.round(r1 - r0, dp).alias("gap_pts"),
                     F.when(nmin < 5, "suppressed").when(nmin < 30, "unstable").otherwise("stable")
                     .alias("stability"))
+    return hide_suppressed(out, stratum)
 
 
 def k_standardised(units: DataFrame, treated, outcome, stratum: str,
@@ -330,34 +337,36 @@ def lexicon_frame(spark, entries: Sequence[tuple[str, str]]) -> DataFrame:
     return df.select("category", t.alias("term"), F.size(tokens("term")).alias("n_words"))
 
 
-def ngrams(toks: Column, n: int) -> Column:
-    """Array of n-word phrases in order (linear in the text length)."""
-    if n == 1:
-        return toks
-    out = toks
-    for i in range(1, n):
-        out = F.zip_with(out, F.slice(toks, i + 1, F.greatest(F.size(toks) - i, F.lit(0))),
-                         lambda a, b: F.concat(a, F.lit(" "), b))
-    return out
+#: First words of a lexicon up to which they are compiled into the scan.
+MAX_FIRST_WORDS = 10_000
 
 
 def term_hits(docs: DataFrame, id_col: str, text: str, lexicon: DataFrame,
               extra: Sequence[str] = ()) -> DataFrame:
     """One row per lexicon hit: (id, position, term, category).
 
-    Each whole text is tokenised once, JVM-side. Its tokens meet the first
-    words of the terms in a hash join, and the rest of a term, however long,
-    is compared word by word at that place; a phrase matches at its first
-    word. One path for every lexicon: it is broadcast if its size is proven."""
+    Each whole text is tokenised once, JVM-side, and the first words of the terms,
+    compiled into a hash set, pick the places where a term may start. Only these
+    become rows, each with the words that the longest term can cover, so neither a
+    row per word nor a text's token array leaves the scan. The terms then meet the
+    places in a hash join on the first word, and a phrase matches if its words
+    stand there. A lexicon with more first words than MAX_FIRST_WORDS is not
+    compiled: every place meets the terms, with the same few words."""
     from plumbline.operators.joins import broadcast_bounded
     from plumbline.session import spread_small_scan
     words = F.split("term", " ")
     lex = lexicon.where("n_words > 0").select("term", "category", words.alias("__w"), F.get(words, F.lit(0)).alias("__first"))
+    first = [r[0] for r in lex.select("__first").distinct().limit(MAX_FIRST_WORDS + 1).collect()]  # a parameter
+    longest = lexicon.agg(F.max("n_words")).first()[0] or 1
+    places = F.transform("__t", lambda w, i: F.struct(i.cast("long").alias("p"), w.alias("w")))
+    if len(first) <= MAX_FIRST_WORDS:
+        places = F.filter(places, lambda x: x["w"].isin(first))
+    around = F.transform(places, lambda x: F.struct(x["p"], x["w"], F.slice(F.col("__t"), x["p"].cast("int") + 1, longest).alias("s")))
     base = spread_small_scan(docs).select(id_col, *extra, tokens(text).alias("__t"))
-    each = base.select(id_col, *extra, "__t", F.posexplode("__t").alias("__p", "__first"))
+    each = base.select(id_col, *extra, F.explode(around).alias("__x")).select(
+        id_col, *extra, F.col("__x.p").alias("position"), F.col("__x.w").alias("__first"), F.col("__x.s").alias("__s"))
     met = each.join(broadcast_bounded(lex, 100_000), "__first")
-    return met.where(F.slice("__t", F.col("__p") + 1, F.size("__w")) == F.col("__w")).select(
-        id_col, *extra, F.col("__p").cast("long").alias("position"), "term", "category")
+    return met.where(F.slice("__s", 1, F.size("__w")) == F.col("__w")).select(id_col, *extra, "position", "term", "category")
 
 
 def k_trigger_scan(docs: DataFrame, id_col: str, text: str, lexicon: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from plumbline.session import scratch_path
 MAX_CARRY = 100_000
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``df`` written to the shared scratch folder and read back, with its row
     count, observed while writing."""
     rows, path = Observation(), scratch_path(df.sparkSession, name)
@@ -71,14 +71,14 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
                           | {f"__rm_in_{n}": col(e) for n, e in running_min.items()})
     asked = (lead, lag, row_number, running_sum, running_min, ffill)
     drop = [c for c in base.columns if c not in df.columns]
-    src, rows = _stored(base.withColumn("__u", F.monotonically_increasing_id()), "window-input")
+    src, rows = stored(base.withColumn("__u", F.monotonically_increasing_id()), "window-input")
     by_order = [F.col(c) for c in (*order, "__u")]
     if rows <= hot_rows or src.groupBy(key).count().where(F.col("count") > hot_rows).isEmpty():
         return _over(src, [key], by_order, *asked).drop("__u", *drop)
 
     # 1. ranges of the full order, each of about hot_rows / 2 rows
     ranges = 2 * math.ceil(rows / hot_rows)
-    parts, _ = _stored(src.repartitionByRange(ranges, F.col(key), *by_order)
+    parts, _ = stored(src.repartitionByRange(ranges, F.col(key), *by_order)
                        .withColumn("__p", F.spark_partition_id()), "window-ranges")
 
     # 2. keys that lie in several ranges: a range shares its first key and its last
@@ -106,7 +106,7 @@ def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[s
         *[F.sum(f"__sum_{n}").over(before).alias(f"__c_{n}") for n in running_sum],
         *[F.min(f"__min_{n}").over(before).alias(f"__c_{n}") for n in running_min],
         *[F.last(f"__fill_{c}", ignorenulls=True).over(before).alias(f"__c_fill_{c}") for c in ffill])
-    carry, n = _stored(carry, "window-carry")
+    carry, n = stored(carry, "window-carry")
 
     # 4. the window per (key, range), with the carried values at the boundaries
     local = _over(parts, [key, "__p"], by_order, lead, lag, "__pos", running_sum, running_min, ffill)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import Z95, safe_div
+from plumbline.functions.stats import Z95, normal_tail, safe_div
 
 RESULT_SCHEMA = ("mode string, agent_model string, skill_loading string, repeats int, slice string, "
                  "id string, negative boolean, trap string, total int, runs array<int>, "
@@ -22,20 +22,31 @@ NESTED_SCHEMA = ("mode string, agent_model string, skill_loading string, repeats
                  "assertions:array<struct<assertion:int, verdict:string>>>>>")
 
 
+def _flat(results: DataFrame) -> DataFrame:
+    """One record per eval, from the nested document shape (``slices`` map of
+    arrays) or from records that already are (JSON lines)."""
+    if "slices" not in results.columns:
+        return results
+    head = ["mode", "agent_model", "skill_loading", "repeats"]
+    evals = results.select(*head, F.explode("slices").alias("slice", "evals")).select(*head, "slice", F.explode("evals").alias("e"))
+    return evals.select(*head, "slice", "e.id", "e.negative", "e.trap", "e.total", "e.runs", "e.assertions")
+
+
 def e_explode(results: DataFrame) -> DataFrame:
     """Result records -> one row per (mode, slice, eval, valid run).
 
-    Accepts the nested document shape (``slices`` map of arrays) or one
-    record per eval (JSON lines). Lost runs are absent from ``runs``; their
-    count is ``repeats - size(runs)``."""
-    if "slices" in results.columns:
-        results = (results.select("mode", "agent_model", "skill_loading", "repeats",
-                                  F.explode("slices").alias("slice", "evals"))
-                   .select("*", F.explode("evals").alias("e"))
-                   .select("mode", "agent_model", "skill_loading", "repeats", "slice",
-                           "e.id", "e.negative", "e.trap", "e.total", "e.runs", "e.assertions"))
-    return results.select("mode", "slice", F.col("id").alias("eval_id"), "negative", "trap", "total",
-                          "repeats", F.posexplode_outer("runs").alias("run_no", "passed"))
+    Accepts the nested document shape or one record per eval. Lost runs are absent
+    from ``runs``; their count is ``repeats - size(runs)``."""
+    return _flat(results).select("mode", "slice", F.col("id").alias("eval_id"), "negative", "trap", "total",
+                                 "repeats", F.posexplode_outer("runs").alias("run_no", "passed"))
+
+
+def e_assertions(results: DataFrame) -> DataFrame:
+    """Result records -> one row per (mode, slice, eval, assertion) with its verdict;
+    an eval without assertions has one row with a null assertion."""
+    each = _flat(results).select("mode", "slice", F.col("id").alias("eval_id"), "negative", "trap",
+                                 F.explode_outer("assertions").alias("a"))
+    return each.select("mode", "slice", "eval_id", "negative", "trap", "a.assertion", "a.verdict")
 
 
 def e_score(long: DataFrame) -> DataFrame:
@@ -122,21 +133,34 @@ def e_negative(sa: DataFrame, sb: DataFrame, dp: int = 6) -> DataFrame:
         .withColumn("passed", F.round("passed", dp))
 
 
+#: Trials up to which the sign test's tail is summed term by term.
+EXACT_TRIALS = 1000
+
+
 def sign_test(up: Column, down: Column) -> tuple[Column, Column]:
-    """Exact sign test (p = 1/2) as Column expressions: the upper tail
-    P(X >= max(up, down)) over n = up + down, summed in one ``aggregate`` over
-    i = 1..n with running log binomial coefficients; two-sided = min(1, 2x)."""
-    n = (up + down).cast("int")
-    k = F.greatest(up, down).cast("int")
+    """Sign test (p = 1/2) as Column expressions: the upper tail
+    P(X >= max(up, down)) over n = up + down, and two-sided min(1, 2x).
+
+    Up to EXACT_TRIALS trials the tail is the sum of its terms, each from the one
+    before. Beyond, it is the Lugannani-Rice tail with continuity correction, whose
+    relative error falls with n everywhere, far into the tail too: nothing in a row
+    grows with n."""
+    n, k = (up + down).cast("long"), F.greatest(up, down).cast("long")
     ln2 = 0.6931471805599453
-    init = F.struct(F.lit(0.0).alias("lc"),
-                    F.when(k <= 0, F.exp(-n * ln2)).otherwise(F.lit(0.0)).alias("tail"))
-    acc = F.aggregate(
-        F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), init,
-        lambda a, i: F.struct((a["lc"] + F.log((n - i + 1) / i)).alias("lc"),
-                              (a["tail"] + F.when(i >= k, F.exp(a["lc"] + F.log((n - i + 1) / i) - n * ln2))
-                               .otherwise(0.0)).alias("tail")))
-    one = F.when(n > 0, acc["tail"])
+    few = F.when((n > 0) & (n <= EXACT_TRIALS), F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
+    init = F.struct(F.lit(0.0).alias("lc"), F.lit(0.0).alias("tail"))
+    acc = F.aggregate(few, init, lambda a, i: F.struct(
+        (a["lc"] + F.log((n - i + 1) / i)).alias("lc"),
+        (a["tail"] + F.when(i >= k, F.exp(a["lc"] + F.log((n - i + 1) / i) - n * ln2)).otherwise(0.0)).alias("tail")))
+    x, r = k.cast("double"), (n - k).cast("double")
+    # n times the divergence of k / n from 1 / 2, by log1p: the terms nearly cancel
+    apart = x * F.log1p((x - r) / n) + r * F.log1p((r - x) / n)
+    t = F.log(x / r)
+    w, u = F.sqrt(2 * apart), (1 - F.exp(-t)) * F.sqrt(x * r / n)
+    density = F.exp(-apart) / (2 * 3.141592653589793) ** 0.5
+    many = F.when(k == n, F.exp(-n * ln2)).when(2 * k == n, 0.5 + 0.5 * F.sqrt(2 / (3.141592653589793 * n))) \
+        .otherwise(normal_tail(w) + density * (1 / u - 1 / w))
+    one = F.when(n > EXACT_TRIALS, many).when(n > 0, acc["tail"])
     return one, F.least(F.lit(1.0), one * 2)
 
 

@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions.stats import safe_div
 from plumbline.operators.compare import term_hits
 from plumbline.operators.joins import broadcast_bounded
 from plumbline.session import spread_small_scan
@@ -155,7 +156,7 @@ def t_doc_refs(docs: DataFrame, id_col: str, text: str, catalog: DataFrame) -> D
 
 
 def t_corrections(turns: DataFrame, conv: str, turn: str, role: str, text: str, lexicon: DataFrame,
-                  user_role: str = "user") -> DataFrame:
+                  user_role: str = "user", extra: Sequence[str] = ()) -> DataFrame:
     """Correction signals in user turns: one row per hit with its signal
     category, the turn position and whether it answers an assistant turn
     (``lag`` within the conversation)."""
@@ -164,7 +165,7 @@ def t_corrections(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     t = t.withColumn("after_assistant", F.coalesce(F.col(f"prev_{role}") == "assistant", F.lit(False))) \
         .drop(f"prev_{role}")
     u = t.where(F.col(role) == user_role)
-    return term_hits(u, conv, text, lexicon, extra=[turn, "after_assistant"]) \
+    return term_hits(u, conv, text, lexicon, extra=[turn, "after_assistant", *extra]) \
         .withColumnRenamed("category", "signal")
 
 
@@ -175,3 +176,12 @@ def t_corrections_summary(hits: DataFrame, conv: str) -> DataFrame:
                                               F.count_distinct(conv).alias("n_conversations"),
                                               F.count_if("after_assistant").alias("n_after_assistant")) \
         .withColumn("repeated", F.col("n_conversations") > 1)
+
+
+def t_corrections_volume(hits: DataFrame, period: str, turns: DataFrame) -> DataFrame:
+    """Hits per signal and period, per 1000 of the period's ``turns`` (``period``,
+    ``n_turns``), with the change from the period that the signal last occurred in."""
+    v = hits.groupBy("signal", period).agg(F.count(F.lit(1)).alias("n_hits")).join(turns, period)
+    before = F.lag("n_hits").over(Window.partitionBy("signal").orderBy(period))  # one row per period
+    return v.select("signal", period, "n_turns", "n_hits", F.round(safe_div(F.col("n_hits") * 1000, "n_turns"), 6).alias("per_1000_turns"),
+                    (F.col("n_hits") - before).alias("change"))

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.stats import (Z95, normal_cdf, normal_quantile, poisson_bounds,
-                                       safe_div, wilson_bounds)
-from plumbline.session import materialize_small
+from plumbline.functions.stats import (Z95, normal_quantile, normal_tail, poisson_bounds, safe_div,
+                                       t_quantile, wilson_bounds)
+from plumbline.operators.sequence import keyed_window, value_ranks
+from plumbline.session import cut_lineage, materialize_small
 
 SUPPRESSED = "suppressed (n < {k})"
 
@@ -68,8 +69,8 @@ def u_complementary(df: DataFrame, d1: str, d2: str, key: str, k: int = 5,
     total, a column with its total, or the margin lines) has exactly one
     hidden member, hide that line's smallest visible member. Repeats until
     stable; each round cuts lineage with a reliable checkpoint. The table is
-    the aggregate (cells x margins), never the underlying rows."""
-    from plumbline.session import cut_lineage
+    the aggregate (cells x margins), never the underlying rows. Hidden counts
+    are in no column of the result."""
     cells = _cells_with_margins(df, d1, d2, key)
     cells = cells.withColumn("hidden", F.col("n") < k) \
         .withColumn("reason", F.when(F.col("n") < k, "primary"))
@@ -97,14 +98,68 @@ def u_complementary(df: DataFrame, d1: str, d2: str, key: str, k: int = 5,
     return cells.select(
         d1, d2, F.when(g == 0, "cell").when(g == 1, "row_total").when(g == 2, "column_total")
         .otherwise("grand_total").alias("level"),
-        F.col("n").alias("n_true"), F.when(~F.col("hidden"), F.col("n")).alias("n_shown"),
+        F.when(~F.col("hidden"), F.col("n")).alias("n_shown"),
         "hidden", F.coalesce("reason", F.lit("shown")).alias("reason"))
 
 
+def _rooted(edges: DataFrame) -> DataFrame:
+    """(v, root, level): the least vertex of each vertex's component and the
+    distance to it, for edges (e, a, b). Every round a vertex takes the best of
+    its neighbours' offers, until none changes."""
+    both = cut_lineage(edges.select("e", F.col("a").alias("v"), F.col("b").alias("w"))
+                       .union(edges.select("e", F.col("b"), F.col("a"))))
+    state = both.select("v").distinct().select("v", F.col("v").alias("root"), F.lit(0).alias("level"))
+    while True:
+        offers = both.join(state.withColumnsRenamed({"v": "w"}), "w").groupBy("v").agg(
+            F.min(F.struct("root", (F.col("level") + 1).alias("level"))).alias("o"))
+        best = F.least(F.struct("root", "level"), F.col("o"))
+        nxt = cut_lineage(state.join(offers, "v").select(
+            "v", best["root"].alias("root"), best["level"].alias("level"), (F.col("o") < F.struct("root", "level")).alias("moved")))
+        state = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return state
+
+
+def bridges(edges: DataFrame) -> DataFrame:
+    """(e) of the edges (e, a, b) that lie on no cycle.
+
+    Every vertex but a component's root has one edge towards the root, in a
+    breadth-first forest; all other edges get a 64-bit hash. The exclusive or of the
+    hashes at the vertices below a forest edge is that of the edges that go round
+    it: 0 if there are none (or with a chance of 2^-64). Rounds: the forest's depth,
+    each on one row per vertex."""
+    state = _rooted(edges)
+    a, b = state.toDF("a", "ra", "la"), state.toDF("b", "rb", "lb")
+    placed = cut_lineage(edges.join(a, "a").join(b, "b").select(
+        "e", "a", "b", F.col("la").alias("level_a"), F.col("lb").alias("level_b")))
+    down = placed.where("level_a != level_b").select(
+        "e", F.when(F.col("level_a") > F.col("level_b"), F.col("a")).otherwise(F.col("b")).alias("v"),
+        F.when(F.col("level_a") > F.col("level_b"), F.col("b")).otherwise(F.col("a")).alias("up"),
+        F.greatest("level_a", "level_b").alias("level"))
+    tree = cut_lineage(down.groupBy("v", "level").agg(F.min_by(F.struct("e", "up"), "e").alias("x"))
+                       .select("v", "level", "x.e", "x.up"))
+    other = placed.join(tree.select("e"), "e", "left_anti")
+    marks = other.select(F.explode(F.array("a", "b")).alias("v"), F.xxhash64("e").alias("h"))
+    done = None
+    depth = tree.agg(F.max("level")).first()[0] or 0  # one number
+    for level in range(depth, 0, -1):
+        below = marks.groupBy("v").agg(F.bit_xor("h").alias("h"))
+        own = cut_lineage(tree.where(F.col("level") == level).join(below, "v", "left").select(
+            "e", "up", F.coalesce("h", F.lit(0)).alias("h")))
+        done = own.select("e", "h") if done is None else done.union(own.select("e", "h"))
+        marks = cut_lineage(marks.union(own.select(F.col("up").alias("v"), "h")))
+    return tree.select("e").where("false") if done is None else done.where("h = 0").select("e")
+
+
 def u_recoverable(published: DataFrame, d1: str, d2: str, n_shown: str) -> DataFrame:
     """Audit a published two-way table with margins (null = hidden; margins
-    have null labels): hidden cells recoverable by subtraction, i.e. alone
-    as the only hidden member of some additive line."""
+    have null labels): hidden cells that follow from the shown ones by any number of
+    subtractions.
+
+    Each cell lies in two additive lines, so the hidden cells are edges of a graph
+    whose vertices are the lines, and the lines' sums fix a cell exactly if it lies
+    on no cycle (around a cycle, amounts can be moved without changing any sum). A
+    cell alone in a line is the simplest case, counted by ``lines_exposing``."""
     lv = (F.when(F.col(d1).isNotNull() & F.col(d2).isNotNull(), 0)
           .when(F.col(d1).isNotNull(), 1).when(F.col(d2).isNotNull(), 2).otherwise(3))
     cells = published.select(d1, d2, lv.alias("gid"), F.col(n_shown).isNull().alias("hidden"),
@@ -112,15 +167,17 @@ def u_recoverable(published: DataFrame, d1: str, d2: str, n_shown: str) -> DataF
         .withColumn("cell_id", F.concat_ws("\u0001", F.col("gid").cast("string"),
                                            F.coalesce(F.col(d1).cast("string"), F.lit("")),
                                            F.coalesce(F.col(d2).cast("string"), F.lit(""))))
-    m = _memberships(cells, d1, d2)
-    per_line = m.groupBy("line").agg(F.sum(F.col("hidden").cast("int")).alias("h"))
-    lone = m.where(F.col("hidden")).join(per_line.where(F.col("h") == 1), "line") \
-        .groupBy("cell_id").agg(F.count("*").alias("lines_exposing"))
-    return cells.where(F.col("hidden")).join(lone, "cell_id", "left").select(
+    hidden = materialize_small(cells.where("hidden"))
+    m = _memberships(hidden, d1, d2)
+    edges = m.groupBy("cell_id").agg(F.min("line").alias("a"), F.max("line").alias("b")).withColumnRenamed("cell_id", "e")
+    fixed = bridges(cut_lineage(edges)).select(F.col("e").alias("cell_id"), F.lit(True).alias("fixed"))
+    alone = m.groupBy("line").agg(F.count(F.lit(1)).alias("h"), F.min("cell_id").alias("cell_id")).where("h = 1")
+    lone = alone.groupBy("cell_id").agg(F.count(F.lit(1)).alias("lines_exposing"))
+    return hidden.join(lone, "cell_id", "left").join(fixed, "cell_id", "left").select(
         d1, d2, F.when(F.col("gid") == 0, "cell").when(F.col("gid") == 1, "row_total")
         .when(F.col("gid") == 2, "column_total").otherwise("grand_total").alias("level"),
         F.coalesce("lines_exposing", F.lit(0)).cast("long").alias("lines_exposing"),
-        F.col("lines_exposing").isNotNull().alias("recoverable"))
+        F.coalesce("fixed", F.lit(False)).alias("recoverable"))
 
 
 def u_wilson(df: DataFrame, num: str, den: str, z: float = Z95, dp: int = 6) -> DataFrame:
@@ -148,8 +205,9 @@ def u_rate_block(df: DataFrame, metric: str, num: str, den: str, comparisons: Co
     from plumbline.functions.text import ratio_label
     lo, hi = wilson_bounds(num, den, z)
     small = F.col(den) < 5
+    shown = [F.when(~small, F.col(c)).alias(c) if c in (num, den) else F.col(c) for c in df.columns]
     out = df.select(
-        "*", F.lit(metric).alias("metric"),
+        *shown, F.lit(metric).alias("metric"),
         F.when(~small, ratio_label(num, den)).otherwise(SUPPRESSED.format(k=5)).alias("value_text"),
         F.when(~small, F.round(lo * 100, 6)).alias("lower_pct"),
         F.when(~small, F.round(hi * 100, 6)).alias("upper_pct"),
@@ -157,15 +215,17 @@ def u_rate_block(df: DataFrame, metric: str, num: str, den: str, comparisons: Co
         u_stability(den).alias("stability"),
         comparisons.cast("long").alias("comparisons"),
         F.lit("pre-specified" if prespecified else "exploratory").alias("analysis"))
-    if limit is not None:
-        out = out.withColumn("detectable_pts", F.round(limit, 6))
-    return out
+    # the detectable gap is a function of the denominator, so it goes with it
+    return out if limit is None else out.withColumn(
+        "detectable_pts", F.when(F.col("value_text") != SUPPRESSED.format(k=5), F.round(limit, 6)))
 
 
-def u_multiplicity(df: DataFrame, group: str, num: str, den: str, dp: int = 6) -> DataFrame:
+def u_multiplicity(df: DataFrame, group: str, num: str, den: str, dp: int = 6, hot_rows: int = 2_000_000) -> DataFrame:
     """One-vs-rest two-proportion z test per group, with the number of
-    comparisons, Bonferroni and Benjamini-Hochberg adjusted p-values. Runs on
-    one row per group; totals are scalar subqueries."""
+    comparisons, Bonferroni and Benjamini-Hochberg adjusted p-values, and
+    ``log10_p``, which tells tiny p-values apart. Totals are scalar subqueries; the
+    ranks and the running minimum over them are prefix scans over ranges, so the
+    number of groups has no bound."""
     df = materialize_small(df.select(group, num, den))
     tx = df.select(F.sum(num)).scalar()
     tn = df.select(F.sum(den)).scalar()
@@ -176,15 +236,16 @@ def u_multiplicity(df: DataFrame, group: str, num: str, den: str, dp: int = 6) -
     pp = safe_div(F.lit(1.0) * tx, tn)
     se = F.sqrt(pp * (1 - pp) * (1 / F.col(den) + 1 / rn))
     zc = safe_div(p1 - p0, se)
-    pv = 2 * (1 - normal_cdf(F.abs(zc)))
-    out = df.select(group, num, den, F.round(zc, dp).alias("z"), pv.alias("__p"), k.alias("comparisons"))
-    w_rank = Window.orderBy(F.col("__p").asc_nulls_last(), F.col(group))  # one row per group
-    out = out.withColumn("__r", F.row_number().over(w_rank))
-    w_tail = Window.orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    bh = F.min(F.col("__p") * F.col("comparisons") / F.col("__r")).over(w_tail)
-    return out.select(group, num, den, "z", F.round("__p", dp).alias("p_value"), "comparisons",
-                      F.round(F.least(F.lit(1.0), F.col("__p") * F.col("comparisons")), dp).alias("p_bonferroni"),
-                      F.round(F.least(F.lit(1.0), bh), dp).alias("p_bh"))
+    pv = 2 * normal_tail(F.abs(zc))
+    out = df.select(group, num, den, zc.alias("z"), pv.alias("p"), k.alias("comparisons"), F.lit(0).alias("one"),
+                    pv.isNull().alias("undefined"))
+    out = keyed_window(out, "one", ["undefined", "p", group], row_number="r", hot_rows=hot_rows)
+    out = out.withColumn("back", -F.col("r"))
+    out = keyed_window(out, "one", ["back"], running_min={"bh": F.col("p") * F.col("comparisons") / F.col("r")}, hot_rows=hot_rows)
+    return out.select(group, num, den, F.round("z", dp).alias("z"), F.round("p", dp).alias("p_value"),
+                      F.round(F.log10(F.nullif("p", F.lit(0.0))), dp).alias("log10_p"), "comparisons",
+                      F.round(F.least(F.lit(1.0), F.col("p") * F.col("comparisons")), dp).alias("p_bonferroni"),
+                      F.round(F.least(F.lit(1.0), "bh"), dp).alias("p_bh"))
 
 
 def shrink_params(df: DataFrame, num: str, den: str) -> tuple[Column, Column]:
@@ -212,16 +273,16 @@ def u_shrink(df: DataFrame, group: str, num: str, den: str, dp: int = 6) -> Data
                      F.round(m * 100, dp).alias("overall_pct"), F.round(alpha, dp).alias("prior_weight"))
 
 
-def u_league(df: DataFrame, group: str, num: str, den: str, dp: int = 6) -> DataFrame:
+def u_league(df: DataFrame, group: str, num: str, den: str, dp: int = 6, hot_rows: int = 2_000_000) -> DataFrame:
     """League table: raw and shrunk rates with Wilson range, n, and how far
-    each group moves once shrunk (rank over the k groups only)."""
+    each group moves once shrunk. Ranks come from counts per distinct rate
+    (:func:`plumbline.operators.sequence.value_ranks`), not from a window over all."""
     s = u_shrink(df, group, num, den, dp)
     lo, hi = wilson_bounds(num, den)
     s = s.withColumn("lower_pct", F.round(lo * 100, dp)).withColumn("upper_pct", F.round(hi * 100, dp))
-    raw_rank = F.rank().over(Window.orderBy(F.col("raw_pct").desc_nulls_last()))
-    sh_rank = F.rank().over(Window.orderBy(F.col("shrunk_pct").desc_nulls_last()))
-    return s.withColumn("raw_rank", raw_rank.cast("long")).withColumn("shrunk_rank", sh_rank.cast("long")) \
-        .withColumn("rank_change", F.col("raw_rank") - F.col("shrunk_rank")) \
+    s = value_ranks(materialize_small(s), "raw_pct", "raw_rank", hot_rows)
+    s = value_ranks(s, "shrunk_pct", "shrunk_rank", hot_rows)
+    return s.withColumn("rank_change", F.col("raw_rank") - F.col("shrunk_rank")) \
         .withColumn("stability", u_stability(den))
 
 
@@ -247,11 +308,26 @@ def u_diff_ci(x1: Column, n1: Column, x0: Column, n0: Column, z: float = Z95) ->
 
 
 def welch(m1: Column, v1: Column, n1: Column, m0: Column, v0: Column, n0: Column,
-          z: float = Z95) -> tuple[Column, Column, Column, Column]:
-    """Difference of means with a Welch (unequal variance) standard error and
-    Welch-Satterthwaite degrees of freedom; interval uses the normal quantile."""
-    se2 = v1 / n1 + v0 / n0
-    df_ = F.pow(se2, 2) / (F.pow(v1 / n1, 2) / (n1 - 1) + F.pow(v0 / n0, 2) / (n0 - 1))
+          alpha: float = 0.05) -> tuple[Column, Column, Column, Column]:
+    """Difference of means with a Welch (unequal variance) standard error: the
+    difference, the bounds of its 1 - ``alpha`` interval by the Student t quantile at
+    the Welch-Satterthwaite degrees of freedom, and these. Undefined (null) below
+    two values a side or without any variance."""
+    e1, e0 = safe_div(v1, n1), safe_div(v0, n0)
+    se2 = e1 + e0
+    nu = safe_div(se2 * se2, safe_div(e1 * e1, n1 - 1) + safe_div(e0 * e0, n0 - 1))
+    half = t_quantile(nu, alpha) * F.sqrt(se2)
     d = m1 - m0
-    se = F.sqrt(se2)
-    return d, d - z * se, d + z * se, df_
+    return d, d - half, d + half, nu
+
+
+def u_diff_means(df: DataFrame, arm: str, value: str, by: Sequence[str] = (), alpha: float = 0.05, dp: int = 6) -> DataFrame:
+    """Mean of ``value`` in both arms (``arm`` is 1 or 0), overall or by group, and
+    their difference with its Welch interval; one aggregate."""
+    side = lambda x, f: f(F.when(F.col(arm) == x, F.col(value)))
+    g = df.groupBy(*by).agg(*[side(x, f).alias(f"{n}{x}") for x in (1, 0)
+                              for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    d, lo, hi, nu = welch(*[F.col(f"{c}{x}") for x in (1, 0) for c in ("m", "v", "n")], alpha)
+    return g.select(*by, "n1", "n0", F.round("m1", dp).alias("mean1"), F.round("m0", dp).alias("mean0"),
+                    F.round(d, dp).alias("diff"), F.round(lo, dp).alias("lower"), F.round(hi, dp).alias("upper"),
+                    F.round(nu, dp).alias("degrees"))

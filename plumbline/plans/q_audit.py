@@ -285,36 +285,59 @@ DOCUMENTED = [("orders", "o_orderkey", "BIGINT"), ("orders", "o_custkey", "BIGIN
               ("lineitem", "l_returnflag", "VARCHAR"), ("lineitem", "l_linestatus", "VARCHAR"),
               ("lineitem", "l_shipdate", "DATE"), ("lineitem", "l_commitdate", "DATE")]
 
-_FAM_SQL = """CASE WHEN regexp_matches(upper({c}), '^(TINYINT|SMALLINT|INT|INTEGER|BIGINT|LONG|SHORT|BYTE|HUGEINT)') THEN 'integer'
+_FAM_SQL = """CASE WHEN regexp_matches(upper({c}), '^ARRAY|\\[\\]$') THEN 'array'
+     WHEN regexp_matches(upper({c}), '^(TINYINT|SMALLINT|INT|INTEGER|BIGINT|LONG|SHORT|BYTE|HUGEINT)') THEN 'integer'
      WHEN regexp_matches(upper({c}), '^(FLOAT|DOUBLE|REAL|DECIMAL)') THEN 'floating'
      WHEN regexp_matches(upper({c}), '^(STRING|VARCHAR|TEXT)') THEN 'string'
      WHEN regexp_matches(upper({c}), '^TIMESTAMP') THEN 'timestamp' WHEN regexp_matches(upper({c}), '^DATE') THEN 'date'
-     WHEN regexp_matches(upper({c}), '^(BOOLEAN|BOOL)') THEN 'boolean'
-     WHEN regexp_matches(upper({c}), '^ARRAY|\\[\\]$') THEN 'array' ELSE 'other' END"""
+     WHEN regexp_matches(upper({c}), '^(BOOLEAN|BOOL)') THEN 'boolean' ELSE 'other' END"""
+
+
+#: Documented columns that the driver tables do not have.
+ABSENT = ("o_clerk", "o_shippriority", "l_commitdate")
+
+
+def _facts_sql() -> str:
+    """(table_name, column_name, n_rows, n_filled) of every table, column by column."""
+    return " UNION ALL ".join(
+        f"SELECT '{t}' AS table_name, column_name, n_rows, n_filled FROM (SELECT count(*) AS n_rows FROM {t}) r, "
+        f"(UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE n_filled) u" for t in TABLE_NAMES)
+
+
+def _castable_sql() -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(TRY_CAST({c} AS {ty})) AS n_castable FROM {t}"
+                              for t, c, ty in DOCUMENTED if c not in ABSENT)
 
 
 @query("a_schema_drift", "WITH doc(table_name, column_name, data_type) AS (VALUES " + ", ".join(
-    f"('{a}', '{b}', '{c}')" for a, b, c in DOCUMENTED) + """),
-act AS (SELECT table_name, column_name, data_type FROM information_schema.columns
-        WHERE table_name IN ('orders', 'lineitem')),
-j AS (SELECT coalesce(d.table_name, a.table_name) AS table_name, coalesce(d.column_name, a.column_name) AS column_name,
-             """ + _FAM_SQL.format(c="d.data_type") + """ AS documented_type0,
-             d.data_type IS NULL AS dnull,
-             """ + _FAM_SQL.format(c="a.data_type") + """ AS actual_type0, a.data_type IS NULL AS anull
-      FROM doc d FULL OUTER JOIN act a ON d.table_name = a.table_name AND d.column_name = a.column_name),
-k AS (SELECT table_name, column_name, CASE WHEN dnull THEN NULL ELSE documented_type0 END AS documented_type,
-             CASE WHEN anull THEN NULL ELSE actual_type0 END AS actual_type FROM j)
-SELECT *, CASE WHEN actual_type IS NULL THEN 'missing_in_data' WHEN documented_type IS NULL THEN 'undocumented'
-               WHEN documented_type <> actual_type THEN 'type_changed' END AS status
-FROM k WHERE actual_type IS NULL OR documented_type IS NULL OR documented_type <> actual_type""")
+    f"('{a}', '{b}', '{c}')" for a, b, c in DOCUMENTED) + f"""),
+facts AS ({_facts_sql()}),
+castable AS ({_castable_sql()}),
+act AS (SELECT f.table_name, f.column_name, n_rows, n_filled, n_castable, c.data_type FROM facts f
+        JOIN (SELECT DISTINCT table_name, column_name, data_type FROM information_schema.columns) c USING (table_name, column_name)
+        LEFT JOIN castable USING (table_name, column_name)),
+k AS (SELECT coalesce(d.table_name, a.table_name) AS table_name, coalesce(d.column_name, a.column_name) AS column_name,
+             CASE WHEN d.data_type IS NOT NULL THEN """ + _FAM_SQL.format(c="d.data_type") + """ END AS documented_type,
+             CASE WHEN a.data_type IS NOT NULL THEN """ + _FAM_SQL.format(c="a.data_type") + """ END AS actual_type,
+             n_rows, n_filled, n_filled - n_castable AS n_not_castable
+      FROM doc d FULL OUTER JOIN act a ON d.table_name = a.table_name AND d.column_name = a.column_name)
+SELECT table_name, column_name, documented_type, actual_type,
+       CASE WHEN actual_type IS NULL THEN 'missing_in_data' WHEN documented_type IS NULL THEN 'undocumented'
+            WHEN n_not_castable > 0 THEN 'values_do_not_cast'
+            WHEN documented_type <> actual_type THEN 'type_changed' ELSE 'as_documented' END AS status,
+       n_rows, round((n_rows - n_filled) / NULLIF(n_rows, 0), 6) AS null_share, n_not_castable
+FROM k""")
 def a_schema_drift(spark, sf):
-    """Documented columns of orders and lineitem vs the columns the Parquet
-    tables actually carry (schema metadata, read from the files)."""
+    """Documented columns of orders and lineitem vs what the rows of all tables
+    hold: one aggregate per table over its columns."""
     t = Tables(spark, sf)
-    actual = [(n, c, ty) for n in ("orders", "lineitem") for c, ty in getattr(t, n).dtypes]
+    facts = None
+    for n in TABLE_NAMES:
+        types = {c: ty.replace("VARCHAR", "STRING") for table, c, ty in DOCUMENTED if table == n}
+        f = A.column_facts(n, getattr(t, n), types)
+        facts = f if facts is None else facts.unionByName(f)
     doc = spark.createDataFrame(DOCUMENTED, "table_name string, column_name string, data_type string")
-    act = spark.createDataFrame(actual, "table_name string, column_name string, data_type string")
-    return A.a_schema_drift(doc, act)
+    return A.a_schema_drift(doc, facts)
 
 
 def inventory(t: Tables):

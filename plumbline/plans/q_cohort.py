@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.dates import in_range, in_year
 from plumbline.operators import cohort as C
-from plumbline.plans.rehearsal import AS_OF, SPELL_SQL, spells, with_sql
+from plumbline.plans.rehearsal import AS_OF, AS_OF_SQL, SPELL_SQL, spells, with_sql
 from plumbline.plans.registry import query
+from plumbline.plans.sqlfrag import hidden_sql
 from plumbline.sources.tables import Tables
 
 HORIZONS = [0, 12, 24, 36, 48, 60, 72]
@@ -31,13 +32,12 @@ def c_cohort(spark, sf):
 
 
 @query("c_retention", with_sql(SPELL_SQL) + f"""
-, obs AS (SELECT datediff('month', hire, coalesce(sep, DATE '2001-06-30')) AS months_observed,
-                 CASE WHEN sep IS NOT NULL THEN 1 ELSE 0 END AS separated
-          FROM spell WHERE year(hire) = 1995)
-SELECT m AS horizon,
-       CAST(sum(CASE WHEN months_observed >= m THEN 1 ELSE 0 END) AS BIGINT) AS at_risk,
-       CAST(sum(CASE WHEN months_observed < m AND separated = 1 THEN 1 ELSE 0 END) AS BIGINT) AS cumulative_events
-FROM obs, {H_SQL} h GROUP BY m""")
+, hist AS (SELECT datediff('month', hire, coalesce(sep, {AS_OF_SQL})) AS mo, count(*) AS people, count(sep) AS gone
+           FROM spell WHERE hire BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' GROUP BY mo),
+cum AS (SELECT mo, sum(gone) OVER (ORDER BY mo) AS gone_by, sum(people) OVER (ORDER BY mo DESC) AS still FROM hist)
+SELECT m AS horizon, CAST(coalesce(max(CASE WHEN mo >= m THEN still END), 0) AS BIGINT) AS at_risk,
+       CAST(coalesce(max(CASE WHEN mo < m THEN gone_by END), 0) AS BIGINT) AS cumulative_events
+FROM {H_SQL} h LEFT JOIN cum ON true GROUP BY m""")
 def c_retention(spark, sf):
     return C.c_retention(_cohort_1995(spark, sf), "hire", "sep", AS_OF, HORIZONS)
 
@@ -123,14 +123,15 @@ def c_decompose(spark, sf):
     return C.c_decompose(o, period, 1998, 1999, stratum, event)
 
 
-@query("c_decompose_strata", DECOMP_BASE_SQL + """
+@query("c_decompose_strata", DECOMP_BASE_SQL + hidden_sql("""
 SELECT stratum, n0, n1, e0, e1, round(s0 * 100, 6) AS share0_pct, round(s1 * 100, 6) AS share1_pct,
        round(r0 * 100, 6) AS rate0_pct, round(r1 * 100, 6) AS rate1_pct,
        round(s0 * (coalesce(r1, 0) - coalesce(r0, 0)) * 100, 6) AS rate_contrib,
        round((s1 - s0) * coalesce(r0, 0) * 100, 6) AS mix_contrib,
        CASE WHEN least(n0, n1) < 5 THEN 'suppressed' WHEN least(n0, n1) < 30 THEN 'unstable'
             ELSE 'stable' END AS stability
-FROM m""")
+FROM m""", ["stratum"], ["n0", "n1", "e0", "e1", "share0_pct", "share1_pct", "rate0_pct", "rate1_pct",
+                                                                    "rate_contrib", "mix_contrib"]))
 def c_decompose_strata(spark, sf):
     o, period, stratum, event = _orders_9899(spark, sf)
     return C.c_decompose_strata(o, period, 1998, 1999, stratum, event)

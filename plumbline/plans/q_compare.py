@@ -12,7 +12,7 @@ from plumbline.operators.cohort import c_decompose
 from plumbline.operators.etl import etl_eligibility
 from plumbline.plans.rehearsal import AS_OF, SPELL_SQL, SURVEY_SQL, spells, survey, with_sql
 from plumbline.plans.registry import query
-from plumbline.plans.sqlfrag import wilson_sql
+from plumbline.plans.sqlfrag import hidden_sql, wilson_sql
 from plumbline.sources.tables import Tables
 
 TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 0)"
@@ -60,14 +60,15 @@ _c_lo, _c_hi = wilson_sql("y0", "n0")
                count(CASE WHEN treated = 1 AND sep IS NOT NULL THEN 1 END) AS y1,
                count(CASE WHEN treated = 0 THEN 1 END) AS n0,
                count(CASE WHEN treated = 0 AND sep IS NOT NULL THEN 1 END) AS y0 FROM spell GROUP BY prio)
-SELECT prio, n1 AS n_treated, round(100.0 * y1 / NULLIF(n1, 0), 6) AS treated_rate_pct,
+""" + hidden_sql(f"""SELECT prio, n1 AS n_treated, round(100.0 * y1 / NULLIF(n1, 0), 6) AS treated_rate_pct,
        round({_t_lo} * 100, 6) AS treated_lower_pct, round({_t_hi} * 100, 6) AS treated_upper_pct,
        n0 AS n_control, round(100.0 * y0 / NULLIF(n0, 0), 6) AS control_rate_pct,
        round({_c_lo} * 100, 6) AS control_lower_pct, round({_c_hi} * 100, 6) AS control_upper_pct,
        round(100.0 * y1 / NULLIF(n1, 0) - 100.0 * y0 / NULLIF(n0, 0), 6) AS gap_pts,
        CASE WHEN least(n1, n0) < 5 THEN 'suppressed' WHEN least(n1, n0) < 30 THEN 'unstable'
             ELSE 'stable' END AS stability
-FROM g""")
+FROM g""", ["prio"], ["n_treated", "treated_rate_pct", "treated_lower_pct", "treated_upper_pct", "n_control",
+                                       "control_rate_pct", "control_lower_pct", "control_upper_pct", "gap_pts"]))
 def k_stratified(spark, sf):
     return K.k_stratified(_sp(spark, sf), F.col("treated") == 1, "separated", "prio")
 

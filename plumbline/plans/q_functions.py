@@ -9,7 +9,7 @@ from plumbline.functions import text as Tx
 from plumbline.functions.stats import safe_div
 from plumbline.plans.rehearsal import AS_OF, SPELL_SQL, spells, with_sql
 from plumbline.plans.registry import query
-from plumbline.plans.sqlfrag import FIGURE_RE2, SPLIT_UP
+from plumbline.plans.sqlfrag import ASCII_WORDS, FIGURE_RE2
 from plumbline.sources.tables import Tables
 
 
@@ -79,7 +79,7 @@ def fn_sha256(spark, sf):
 
 @query("fn_regex_numbers", f"""
 SELECT doc_id, CAST(replace(f, ',', '') AS DOUBLE) AS figure
-FROM (SELECT doc_id, unnest(regexp_extract_all({SPLIT_UP}, '{FIGURE_RE2}', 1)) AS f FROM documents) x""")
+FROM (SELECT doc_id, unnest(regexp_extract_all({ASCII_WORDS}, '{FIGURE_RE2}', 1)) AS f FROM documents) x""")
 def fn_regex_numbers(spark, sf):
     """Every figure quoted in every whole document, commas stripped."""
     from plumbline.session import spread_small_scan

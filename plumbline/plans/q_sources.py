@@ -95,9 +95,14 @@ def snk_json(spark, sf):
 
 
 @query("src_docs", """
-SELECT doc_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines FROM documents""")
+SELECT doc_id, length(text) AS n_chars, len(string_split(text, chr(10))) AS n_lines, md5(text) AS text_md5,
+       true AS has_path, true AS has_time FROM documents""")
 def src_docs(spark, sf):
-    """Whole texts per document: characters and lines (no prefixes)."""
-    d = Tables(spark, sf).documents
-    return d.select("doc_id", F.length("text").cast("long").alias("n_chars"),
-                    F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
+    """Every document as a text file of a folder, read back whole with its path and
+    modification time: characters, lines and digest of the text."""
+    path = scratch_path(spark, "docs-folder")
+    S.write_docs(Tables(spark, sf).documents, path, "doc_id", "text")
+    d = S.split_docs(S.read_docs(spark, path))
+    return d.select(F.col("id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"),
+                    F.size(F.split("text", "\n")).cast("long").alias("n_lines"), F.md5("text").alias("text_md5"),
+                    (F.length("path") > 0).alias("has_path"), F.col("modified").isNotNull().alias("has_time"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import number_figures
 from plumbline.operators import telemetry as E
 from plumbline.plans.registry import query
-from plumbline.plans.sqlfrag import FIGURE_RE2, SPLIT_UP
+from plumbline.plans.sqlfrag import ASCII_WORDS, FIGURE_RE2
 from plumbline.sources.tables import Tables
 
 
@@ -86,6 +86,17 @@ def e_explode(spark, sf):
     return E.e_explode(read_json(spark, path, E.RESULT_SCHEMA))
 
 
+@query("e_assertions", sql("""
+, v AS (SELECT 'baseline' AS mode, lang AS slice, doc_id, toxic, source, quality + 1 - toxic AS last FROM lab
+        UNION ALL
+        SELECT 'treated', lang, doc_id, toxic, source, 2 * quality + 1 - toxic FROM lab WHERE n_chars >= 200 AND lang <> 'es')
+SELECT mode, slice, CAST(doc_id AS VARCHAR) AS eval_id, toxic = 1 AS negative, source AS trap, j AS assertion,
+       CASE WHEN j <= last THEN 'PASS' ELSE 'FAIL' END AS verdict FROM v, (SELECT unnest([1, 2, 3]) AS j) a"""))
+def e_assertions(spark, sf):
+    """Which assertion of which eval passed, from the nested verdicts of the records."""
+    return E.e_assertions(records(Tables(spark, sf)))
+
+
 @query("e_score", sql("SELECT * FROM sc"))
 def e_score(spark, sf):
     return _scores(spark, sf)
@@ -205,7 +216,7 @@ def e_spec_check(spark, sf):
 
 @query("e_orphan_figure", f"""
 WITH f AS (SELECT doc_id, CAST(replace(x, ',', '') AS DOUBLE) AS figure
-           FROM (SELECT doc_id, unnest(regexp_extract_all({SPLIT_UP}, '{FIGURE_RE2}', 1)) AS x FROM documents) y),
+           FROM (SELECT doc_id, unnest(regexp_extract_all({ASCII_WORDS}, '{FIGURE_RE2}', 1)) AS x FROM documents) y),
 k AS (SELECT DISTINCT round(o_totalprice, 1) AS v FROM orders
       UNION SELECT o_totalprice FROM orders WHERE o_totalprice = floor(o_totalprice))
 SELECT doc_id, figure FROM f WHERE round(figure, 1) NOT IN (SELECT v FROM k)""")

@@ -149,6 +149,25 @@ def t_corrections(spark, sf):
     return X.t_corrections_summary(hits, "conv_id")
 
 
+@query("t_corrections_volume", "WITH " + LEX_SQL + f""",
+c AS (SELECT conv_id, conv_id % 12 + 1 AS month, role, text FROM conversations),
+m AS (SELECT month, count(*) AS n_turns FROM c WHERE role = 'user' GROUP BY month),
+d AS (SELECT month, {TOKENS_SQL} AS t FROM c WHERE role = 'user'),
+u AS (SELECT month, unnest(t) AS term, 1 AS n_words FROM d),
+b AS (SELECT month, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term, 2 AS n_words FROM d),
+hits AS (SELECT month, category AS signal FROM (SELECT * FROM u UNION ALL SELECT * FROM b) x JOIN lex USING (term, n_words)),
+v AS (SELECT signal, month, n_turns, count(*) AS n_hits FROM hits JOIN m USING (month) GROUP BY signal, month, n_turns)
+SELECT signal, month, n_turns, n_hits, round(1000.0 * n_hits / n_turns, 6) AS per_1000_turns,
+       n_hits - lag(n_hits) OVER (PARTITION BY signal ORDER BY month) AS change FROM v""")
+def t_corrections_volume(spark, sf):
+    """Signals in user turns per month (the rehearsal's month of a conversation
+    follows from its id, as the turns carry no date)."""
+    c = Tables(spark, sf).conversations.withColumn("month", F.col("conv_id") % 12 + 1)
+    hits = X.t_corrections(c, "conv_id", "turn", "role", "text", lexicon_frame(spark, FUNCTION_WORDS), extra=["month"])
+    turns = c.where(F.col("role") == "user").groupBy("month").agg(F.count(F.lit(1)).alias("n_turns"))
+    return X.t_corrections_volume(hits, "month", turns)
+
+
 @query("t_corrections_stream", "WITH " + LEX_SQL + f""",
 d AS (SELECT conv_id, {TOKENS_SQL} AS t FROM conversations WHERE role = 'user'),
 u AS (SELECT conv_id, unnest(t) AS term, 1 AS n_words FROM d),

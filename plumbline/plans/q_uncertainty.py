@@ -8,7 +8,7 @@ from plumbline.functions.stats import safe_div
 from plumbline.operators import uncertainty as U
 from plumbline.plans.rehearsal import AS_OF, SPELL_SQL, alive_at, spells, with_sql
 from plumbline.plans.registry import query
-from plumbline.plans.sqlfrag import f, normal_cdf_sql, poisson_sql, wilson_sql
+from plumbline.plans.sqlfrag import f, normal_tail_sql, poisson_sql, t_quantile_ctes, wilson_sql
 from plumbline.session import materialize_small
 from plumbline.sources.tables import Tables
 
@@ -66,7 +66,7 @@ def _complementary_sql(rounds: int = 8) -> str:
     return (LIVE_SQL + ", " + ",\n".join(parts) + f"""
 SELECT unit, wtype, CASE gid WHEN 0 THEN 'cell' WHEN 1 THEN 'row_total' WHEN 2 THEN 'column_total'
                              ELSE 'grand_total' END AS level,
-       n AS n_true, CASE WHEN NOT hidden THEN n END AS n_shown, hidden, coalesce(reason, 'shown') AS reason
+       CASE WHEN NOT hidden THEN n END AS n_shown, hidden, coalesce(reason, 'shown') AS reason
 FROM s{rounds}""")
 
 
@@ -78,7 +78,7 @@ def u_complementary(spark, sf):
     return U.u_complementary(live, "unit", "wtype", "k", 5)
 
 
-@query("u_recoverable", LIVE_SQL + """
+@query("u_recoverable", LIVE_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """
 , c AS (SELECT unit, wtype, GROUPING(unit, wtype) AS gid, count(DISTINCT k) AS n
         FROM live GROUP BY CUBE (unit, wtype)),
 cells AS (SELECT unit, wtype, gid, n < 5 AS hidden,
@@ -88,11 +88,15 @@ m AS (SELECT cell_id, hidden, unnest(CASE gid WHEN 0 THEN ['r:' || unit, 'c:' ||
                                               WHEN 1 THEN ['r:' || unit, 'R']
                                               WHEN 2 THEN ['c:' || wtype, 'C'] ELSE ['R', 'C'] END) AS line
       FROM cells),
-pl AS (SELECT line, sum(CASE WHEN hidden THEN 1 ELSE 0 END) AS h FROM m GROUP BY line),
+ed AS (SELECT cell_id AS e, min(line) AS a, max(line) AS b FROM m WHERE hidden GROUP BY cell_id),
+nb AS (SELECT e, a AS v, b AS w FROM ed UNION ALL SELECT e, b, a FROM ed),
+go AS (SELECT e, a AS v FROM ed UNION SELECT go.e, nb.w FROM go JOIN nb ON nb.v = go.v AND nb.e <> go.e),
+pl AS (SELECT line, count(*) AS h FROM m WHERE hidden GROUP BY line),
 lone AS (SELECT cell_id, count(*) AS le FROM m JOIN pl USING (line) WHERE hidden AND h = 1 GROUP BY cell_id)
 SELECT unit, wtype, CASE gid WHEN 0 THEN 'cell' WHEN 1 THEN 'row_total' WHEN 2 THEN 'column_total'
                              ELSE 'grand_total' END AS level,
-       CAST(coalesce(le, 0) AS BIGINT) AS lines_exposing, le IS NOT NULL AS recoverable
+       CAST(coalesce(le, 0) AS BIGINT) AS lines_exposing,
+       NOT EXISTS (SELECT 1 FROM go JOIN ed ON ed.e = go.e WHERE go.e = cell_id AND go.v = ed.b) AS recoverable
 FROM cells LEFT JOIN lone USING (cell_id) WHERE hidden""")
 def u_recoverable(spark, sf):
     """Publish with primary suppression only, then audit what subtraction
@@ -143,15 +147,15 @@ _za, _zb = U.z_values()
 @query("u_rate_block", with_sql(SPELL_SQL) + f"""
 , g AS (SELECT loc, count(*) AS n, count(sep) AS separated FROM spell GROUP BY loc),
 t AS (SELECT sum(n) AS tn, sum(separated) AS tx, count(*) AS k FROM g)
-SELECT loc, n, separated, 'separation rate' AS metric,
+SELECT loc, CASE WHEN n >= 5 THEN n END AS n, CASE WHEN n >= 5 THEN separated END AS separated, 'separation rate' AS metric,
        CASE WHEN n >= 5 THEN printf('%.1f%% (%d / %d)', round(100.0 * separated / n, 1), separated, n)
             ELSE 'suppressed (n < 5)' END AS value_text,
        CASE WHEN n >= 5 THEN round({wilson_sql('separated', 'n')[0]} * 100, 6) END AS lower_pct,
        CASE WHEN n >= 5 THEN round({wilson_sql('separated', 'n')[1]} * 100, 6) END AS upper_pct,
        'Wilson score, 95%' AS method,
        CASE WHEN n < 5 THEN 'suppressed' WHEN n < 30 THEN 'unstable' ELSE 'stable' END AS stability,
-       k AS comparisons, 'exploratory' AS analysis,
-       round(({f(_za)} + {f(_zb)}) * sqrt((tx / tn) * (1 - tx / tn) * (1 / n + 1 / (tn - n))) * 100, 6)
+       k AS comparisons, 'exploratory' AS analysis, CASE WHEN n >= 5 THEN
+       round(({f(_za)} + {f(_zb)}) * sqrt((tx / tn) * (1 - tx / tn) * (1 / n + 1 / (tn - n))) * 100, 6) END
          AS detectable_pts
 FROM g, t""")
 def u_rate_block(spark, sf):
@@ -172,9 +176,9 @@ z AS (SELECT unit, separated, n, k,
              (separated / n - (tx - separated) / (tn - n))
              / NULLIF(sqrt((1.0 * tx / tn) * (1 - 1.0 * tx / tn) * (1 / n + 1 / (tn - n))), 0) AS zc
       FROM g, t),
-p AS (SELECT *, 2 * (1 - {normal_cdf_sql('abs(zc)')}) AS pv FROM z),
+p AS (SELECT *, 2 * {normal_tail_sql('abs(zc)')} AS pv FROM z),
 r AS (SELECT *, row_number() OVER (ORDER BY pv ASC NULLS LAST, unit) AS rn FROM p)
-SELECT unit, separated, n, round(zc, 6) AS z, round(pv, 6) AS p_value, k AS comparisons,
+SELECT unit, separated, n, round(zc, 6) AS z, round(pv, 6) AS p_value, round(log10(NULLIF(pv, 0)), 6) AS log10_p, k AS comparisons,
        round(least(1.0, pv * k), 6) AS p_bonferroni,
        round(least(1.0, min(pv * k / rn) OVER (ORDER BY rn DESC ROWS UNBOUNDED PRECEDING)), 6) AS p_bh
 FROM r""")
@@ -251,3 +255,17 @@ def u_diff_ci(spark, sf):
     d, lo, hi = U.u_diff_ci(F.col("x1"), F.col("n1"), F.col("x0"), F.col("n0"))
     return a.select("n1", "x1", "n0", "x0", F.round(d * 100, 6).alias("diff_pts"),
                     F.round(lo * 100, 6).alias("lower_pts"), F.round(hi * 100, 6).alias("upper_pts"))
+
+
+@query("u_diff_means", with_sql(SPELL_SQL, """g AS (
+  SELECT loc, count(CASE WHEN treated = 1 THEN bal END) AS n1, count(CASE WHEN treated = 0 THEN bal END) AS n0,
+         avg(CASE WHEN treated = 1 THEN bal END) AS m1, avg(CASE WHEN treated = 0 THEN bal END) AS m0,
+         var_samp(CASE WHEN treated = 1 THEN bal END) AS v1, var_samp(CASE WHEN treated = 0 THEN bal END) AS v0
+  FROM spell GROUP BY loc)""", "w AS (SELECT *, v1 / n1 AS e1, v0 / n0 AS e0 FROM g)",
+                                t_quantile_ctes("w", "pow(e1 + e0, 2) / (e1 * e1 / (n1 - 1) + e0 * e0 / (n0 - 1))")) + """
+SELECT loc, n1, n0, round(m1, 6) AS mean1, round(m0, 6) AS mean0, round(m1 - m0, 6) AS diff,
+       round(m1 - m0 - t * sqrt(e1 + e0), 6) AS lower, round(m1 - m0 + t * sqrt(e1 + e0), 6) AS upper,
+       round(nu, 6) AS degrees FROM tq""")
+def u_diff_means(spark, sf):
+    """Mean balance with and without the program, by region, with Welch intervals."""
+    return U.u_diff_means(spells(Tables(spark, sf)), "treated", "bal", ["loc"])

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.session import spread_small_scan
+
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "documents", "embeddings", "pages",
                "benchmark", "labels", "conversations")
@@ -92,6 +94,22 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
 
 
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
-    """src_docs: one row per file with the whole text and its path."""
-    return (spark.read.text(path, wholetext=True)
-            .select(F.input_file_name().alias("path"), F.col("value").alias("text")))
+    """src_docs: a folder of text files, one row per file: the whole text with its
+    path and modification time."""
+    return spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
+        F.col("value").alias("text"))
+
+
+def write_docs(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
+    """One text file per row: a heading line with the id, then the text and a line
+    feed; a null text is empty."""
+    whole = F.concat(F.col(id_col).cast("string"), F.lit("\n"), F.coalesce(text_col, F.lit("")))
+    spread_small_scan(df).select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
+def split_docs(docs: DataFrame) -> DataFrame:
+    """The documents of :func:`write_docs`: ``docs`` with the heading line as ``id``
+    and the text after it, without the writer's line feed."""
+    return docs.withColumn("id", F.substring_index("text", "\n", 1)).withColumn(
+        "text", F.expr("substring(text, length(id) + 2, length(text) - length(id) - 2)"))

@@ -150,8 +150,8 @@ def test_correction_signals_lexicon(spark):
     turns = spark.createDataFrame([
         (1, 0, "user", "How many people left last year?"),
         (1, 1, "assistant", "Attrition was 12%."),
-        (1, 2, "user", "That doesn't match the dashboard, and you need to exclude the contingent workers."),
-        (2, 0, "user", "We renamed that field last quarter.")], "conv int, turn int, role string, text string")
+        (1, 2, "user", "Odd: that doesn't match the dashboard my team keeps, so you need to exclude interns first."),
+        (2, 0, "user", "We renamed that field when the plants merged.")], "conv int, turn int, role string, text string")
     hits = X.t_corrections(turns, "conv", "turn", "role", "text", lexicon_frame(spark, X.CORRECTION_SIGNALS))
     got = sorted((r.conv, r.turn, r.signal, r.after_assistant) for r in hits.collect())
     assert got == [(1, 2, "missing filter", True), (1, 2, "reconciliation failure", True),

@@ -107,8 +107,9 @@ def test_complementary_one_by_three(spark):
     units = df.select("d1", "d2", F.explode(F.sequence(F.lit(1), "n")).alias("i")) \
         .withColumn("k", F.concat_ws("-", "d1", "d2", "i"))
     out = U.u_complementary(units, "d1", "d2", "k", 5)
-    hidden = sorted((r.level, r.d2, r.n_true) for r in out.where("hidden").collect())
-    assert [(lv, n) for lv, d2, n in hidden if lv == "cell"] == [("cell", 3), ("cell", 20)]
+    hidden = sorted((r.level, r.d2, r.n_shown) for r in out.where("hidden").collect())
+    assert [x for x in hidden if x[0] == "cell"] == [("cell", "a", None), ("cell", "b", None)]
+    assert "n_true" not in out.columns  # no column tells a hidden count
     assert out.count() == 8  # 3 cells + 1 row total + 3 column totals + grand total, all kept
 
 
