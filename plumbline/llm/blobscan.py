@@ -2,20 +2,23 @@
 
 Every version of every path is content-addressed by the SHA-256 of its text. The
 ledger is a Parquet table with one row per (blob, rule version) that has been
-scanned, holding the spans found. A scan anti-joins the wanted (blob, rule)
-pairs with the ledger, fetches one text per unseen blob, runs only the rules it
-lacks, appends to the ledger, and joins the findings back to all paths. A second
+scanned, holding the spans found. A scan takes one text per blob, sets the rules
+that the ledger holds for it off against all, runs only those that it lacks,
+appends to the ledger, and joins the findings back to all paths. A second
 run over the same history scans nothing; a new rule version scans every blob
 once, for that rule alone.
 
-Scale: copies are scanned once. Texts are shuffled once, by (blob, path), which
-no group of copies can make hot. Findings return to the paths through
+Scale: copies are scanned once, whatever their paths. Texts are shuffled once, by
+blob, after a map-side reduction to one text per blob and task, so no group of
+copies makes a task hot. Findings return to the paths through
 ``common.attach``, which broadcasts the 1000 most frequent blobs and shuffles
 the others. An append that is repeated after a failure only repeats rows, which
 reading the ledger drops.
 
-Defined results: a null text is empty and has no findings; a null path is kept;
-repeated rows get one result each; columns other than path and text are not read.
+Defined results: a null text is empty and has no findings; texts of any length are
+scanned whole; a null path is kept; repeated rows get one result each, also under
+one path with different texts; of findings that start together the kind listed first
+comes first; an empty table gives an empty result; columns other than path and text are not read.
 """
 
 from __future__ import annotations
@@ -104,22 +107,17 @@ def read_ledger(spark: SparkSession, path: str | None, rules: tuple[SecretRule,
     return rows.where(F.col("rule").isin([r.key for r in rules]))
 
 
-def update_ledger(df: DataFrame, ledger: str, rules: tuple[SecretRule, ...] = RULES,
-                  path_col: str = "path", text_col: str = "text") -> None:
+def update_ledger(df: DataFrame, ledger: str, rules: tuple[SecretRule, ...] = RULES, text_col: str = "text") -> None:
     """Scan the (blob, rule version) pairs of ``df`` that ``ledger`` lacks and
     append their findings to it."""
     spark = df.sparkSession
-    texts = df.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("blob", F.unhex(F.sha2("text", 256)))
-    blobs = texts.groupBy("blob").agg(F.min("path").alias("path"), F.count("path").alias("named"))
-    wanted = blobs.withColumn("rule", F.explode(F.array(*[F.lit(r.key) for r in rules])))
-    unseen = wanted.join(read_ledger(spark, ledger, rules).select("blob", "rule"), ["blob", "rule"], "left_anti")
-    todo = unseen.groupBy(F.col("blob").alias("_blob")).agg(
-        F.min("path").alias("_path"), F.collect_set("rule").alias("rules"))
-    # A blob whose paths are all null is fetched under the null path.
-    same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path"))
-    fetched = texts.join(todo, same).select("blob", "text", "rules")
-    fetched.mapInPandas(scanner(rules), LEDGER_SCHEMA).write.mode("append").parquet(ledger)
+    texts = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # one text per blob, reduced map-side: repeated rows and copies leave a task once
+    blobs = texts.groupBy(F.unhex(F.sha2("text", 256)).alias("blob")).agg(F.first("text").alias("text"))
+    seen = read_ledger(spark, ledger, rules).groupBy("blob").agg(F.collect_set("rule").alias("seen"))
+    unseen = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))
+    todo = blobs.join(seen, "blob", "left").select("blob", "text", unseen.alias("rules")).where(F.size("rules") > 0)
+    todo.mapInPandas(scanner(rules), LEDGER_SCHEMA).write.mode("append").parquet(ledger)
 
 
 def findings_by_blob(spark: SparkSession, ledger: str, rules: tuple[SecretRule, ...]) -> DataFrame:
@@ -140,7 +138,7 @@ def scan_history(df: DataFrame, ledger: str | None = None, rules: tuple[SecretRu
     with; without one a fresh ledger is made in the shared scratch folder."""
     spark = df.sparkSession
     ledger = ledger or scratch_path(spark, "secret-ledger")
-    update_ledger(df, ledger, rules, path_col, text_col)
+    update_ledger(df, ledger, rules, text_col)
     paths = df.select(F.col(path_col).alias("_path"),
                       F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"))
     found = findings_by_blob(spark, ledger, rules)

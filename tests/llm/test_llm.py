@@ -109,6 +109,17 @@ def test_ledger_is_incremental(spark, tmp_path):
     assert spark.read.parquet(ledger).count() == n + 2
 
 
+def test_repeated_rows_are_scanned_once(spark, tmp_path):
+    """Copies under one path, under no path and under other paths: one ledger row for each blob and rule."""
+    ledger = f"file://{tmp_path}/ledger"
+    rows = [("a", "password = abcdefgh1")] * 50 + [(None, "token = abcdefgh2")] * 50 + [("b", "token = abcdefgh2"), ("c", None), ("d", "")]
+    df = spark.createDataFrame(rows, "path string, text string").repartition(7)
+    got = blobscan.scan_history(df, ledger).collect()
+    led = spark.read.parquet(ledger)
+    assert led.count() == led.select("blob", "rule").distinct().count() == 3 * len(blobscan.RULES)
+    assert Counter((r.path, len(r.found)) for r in got) == Counter((p, int(bool(t))) for p, t in rows)
+
+
 def test_secrets_brute_force(spark):
     docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     for r in QUERIES["op4_secret_scan"](spark, SF).collect():
