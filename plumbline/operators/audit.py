@@ -286,7 +286,11 @@ def a_schema_drift(documented: DataFrame, facts: DataFrame) -> DataFrame:
     """Documented (table, column, type) vs the tables' columns and values (``facts``,
     see :func:`column_facts`): missing and undocumented columns, changes of the
     type family, and values that do not cast to the documented type, with each
-    column's rows and share of nulls."""
+    column's rows and share of nulls. From columns and types alone (without
+    ``n_rows``) only the columns that drifted come out."""
+    known = "n_rows" in facts.columns
+    if not known:
+        facts = facts.withColumns({c: F.lit(None).cast("long") for c in ("n_rows", "n_filled", "n_castable")})
     d = documented.select("table_name", "column_name", type_family(F.col("data_type")).alias("documented_type"))
     a = facts.withColumn("actual_type", type_family(F.col("data_type"))).drop("data_type")
     j = d.join(a, ["table_name", "column_name"], "full_outer")
@@ -295,8 +299,9 @@ def a_schema_drift(documented: DataFrame, facts: DataFrame) -> DataFrame:
               .when(F.col("documented_type").isNull(), "undocumented")
               .when(bad > 0, "values_do_not_cast")
               .when(F.col("documented_type") != F.col("actual_type"), "type_changed").otherwise("as_documented"))
-    return j.select("table_name", "column_name", "documented_type", "actual_type", status.alias("status"), "n_rows",
-                    F.round(safe_div(F.col("n_rows") - F.col("n_filled"), "n_rows"), 6).alias("null_share"), bad.alias("n_not_castable"))
+    out = j.select("table_name", "column_name", "documented_type", "actual_type", status.alias("status"), "n_rows",
+                   F.round(safe_div(F.col("n_rows") - F.col("n_filled"), "n_rows"), 6).alias("null_share"), bad.alias("n_not_castable"))
+    return out if known else out.where("status != 'as_documented'")
 
 
 def a_gt_drift(pinned: DataFrame, fresh: DataFrame, ignore_prefix: str = "_meta") -> DataFrame:
