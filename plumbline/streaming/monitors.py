@@ -35,6 +35,9 @@ def run_freshness_stream(spark: SparkSession, path: str, schema: T.StructType, t
     src = _read_stream(spark, path, schema, max_files_per_trigger)
     out = scratch_path(spark, "freshness_stream")
 
+    # a folder without files starts no batch: the sink then holds this empty part only
+    spark.createDataFrame([], "day date, n long, latest timestamp_ntz").write.parquet(f"{out}/sink/batch=-1")
+
     def partial(batch: DataFrame, batch_id: int) -> None:
         batch.groupBy(F.col(ts).cast("date").alias("day")).agg(
             F.count("*").alias("n"), F.max(ts).alias("latest")).write.mode("overwrite").parquet(f"{out}/sink/batch={batch_id}")
