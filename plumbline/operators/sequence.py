@@ -59,20 +59,26 @@ def _over(base: DataFrame, by: Sequence[str], order: list[Column], lead, lag, ro
 def keyed_window(df: DataFrame, key: str, order: Sequence[str], lead: Sequence[str] = (),
                  lag: Sequence[str] = (), row_number: str | None = None,
                  running_sum: dict[str, str | Column] | None = None, ffill: Sequence[str] = (),
-                 running_min: dict[str, str | Column] | None = None, hot_rows: int = 2_000_000) -> DataFrame:
+                 running_min: dict[str, str | Column] | None = None, hot_rows: int = 2_000_000,
+                 cheap: bool = False) -> DataFrame:
     """Adds ``next_<c>`` for c in lead, ``prev_<c>`` for c in lag, the row
     number (1-based), running sums and minima (name -> column) and ``filled_<c>``
     (the last non-null value of c so far, i.e. a forward fill), per key in
     ascending ``order`` (nulls first). Null keys form one key. ``hot_rows`` is
-    the number of rows that one task may be given of one key."""
+    the number of rows that one task may be given of one key. An input that is
+    ``cheap`` to compute again (a cached frame) is counted first and written only if
+    it has more rows than that."""
     running_sum, running_min = running_sum or {}, running_min or {}
     col = lambda e: F.col(e) if isinstance(e, str) else e
     base = df.withColumns({f"__rs_in_{n}": col(e) for n, e in running_sum.items()}
                           | {f"__rm_in_{n}": col(e) for n, e in running_min.items()})
     asked = (lead, lag, row_number, running_sum, running_min, ffill)
     drop = [c for c in base.columns if c not in df.columns]
-    src, rows = stored(base.withColumn("__u", F.monotonically_increasing_id()), "window-input")
+    numbered = base.withColumn("__u", F.monotonically_increasing_id())
     by_order = [F.col(c) for c in (*order, "__u")]
+    if cheap and base.limit(hot_rows + 1).count() <= hot_rows:
+        return _over(numbered, [key], by_order, *asked).drop("__u", *drop)
+    src, rows = stored(numbered, "window-input")
     if rows <= hot_rows or src.groupBy(key).count().where(F.col("count") > hot_rows).isEmpty():
         return _over(src, [key], by_order, *asked).drop("__u", *drop)
 
@@ -135,6 +141,6 @@ def value_ranks(df: DataFrame, value: str, name: str, hot_rows: int = 2_000_000)
     the counts in order, joined back to the rows."""
     counts = df.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__f")).select(
         "__v", "__f", F.lit(0).alias("__one"), F.col("__v").isNull().alias("__last"), (-F.col("__v")).alias("__desc"))
-    cum = keyed_window(counts, "__one", ["__last", "__desc"], running_sum={"__cum": "__f"}, hot_rows=hot_rows)
+    cum = keyed_window(counts, "__one", ["__last", "__desc"], running_sum={"__cum": "__f"}, hot_rows=hot_rows, cheap=True)
     ranks = cum.select("__v", (F.col("__cum") - F.col("__f") + 1).cast("long").alias(name))
     return df.join(ranks, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")

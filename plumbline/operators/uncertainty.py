@@ -239,9 +239,10 @@ def u_multiplicity(df: DataFrame, group: str, num: str, den: str, dp: int = 6, h
     pv = 2 * normal_tail(F.abs(zc))
     out = df.select(group, num, den, zc.alias("z"), pv.alias("p"), k.alias("comparisons"), F.lit(0).alias("one"),
                     pv.isNull().alias("undefined"))
-    out = keyed_window(out, "one", ["undefined", "p", group], row_number="r", hot_rows=hot_rows)
+    out = keyed_window(out, "one", ["undefined", "p", group], row_number="r", hot_rows=hot_rows, cheap=True)
     out = out.withColumn("back", -F.col("r"))
-    out = keyed_window(out, "one", ["back"], running_min={"bh": F.col("p") * F.col("comparisons") / F.col("r")}, hot_rows=hot_rows)
+    out = keyed_window(out, "one", ["back"], running_min={"bh": F.col("p") * F.col("comparisons") / F.col("r")},
+                       hot_rows=hot_rows, cheap=True)
     return out.select(group, num, den, F.round("z", dp).alias("z"), F.round("p", dp).alias("p_value"),
                       F.round(F.log10(F.nullif("p", F.lit(0.0))), dp).alias("log10_p"), "comparisons",
                       F.round(F.least(F.lit(1.0), F.col("p") * F.col("comparisons")), dp).alias("p_bonferroni"),
