@@ -5,8 +5,9 @@ CHUNKS x WIDTH symbols of 8 bits, each the low bits of a minimum hash. Two sets
 similarity 0.85 differ in about 15 % of the symbols. If two signatures differ in
 at most ``2 * CHUNKS - 1`` symbols, then by the pigeonhole principle some chunk
 differs in at most one; so each chunk is indexed once for each symbol left out,
-and all pairs under that distance meet under some key. (Pairs a little beyond it
-mostly meet too: at similarity 0.85 the chance of no common key is 2e-8.)
+and all pairs under that distance meet under some key. Links at a larger distance
+are not confirmed: by the binomial tail about 8e-5 of those at similarity 0.85, and
+2e-5 at 0.86.
 
 From keys to components, without all pairs of a group:
 
@@ -19,8 +20,8 @@ From keys to components, without all pairs of a group:
    (each takes one more member out of every open bucket) while they pay, then
    the rest is compared directly, in tiles of two parts of a bucket.
 
-No pair that shares a key stays untested unless both ends are already in one
-component, so the components are those of all links.
+No pair within that distance stays untested unless both ends are already in one
+component, so the components are those of all links but that tail.
 
 Scale: keys are 8-byte integers, pre-aggregated per bucket; hot buckets and hot
 classes go through ``common.attach``; texts are shuffled once, keyed by class.
