@@ -7,6 +7,8 @@ algebraically from per-key counts, never by materialising the join."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -245,10 +247,13 @@ def a_missing_by_group(df: DataFrame, cols: Sequence[str], group: str, dp: int =
 
 
 def a_units(df: DataFrame, unit: str, by: Sequence[str]) -> DataFrame:
-    """Groups whose aggregate would mix more than one unit/scale/currency."""
-    return df.groupBy(*by).agg(F.count_distinct(unit).alias("n_units"),
-                               F.array_sort(F.collect_set(F.col(unit).cast("string"))).alias("units")) \
-        .withColumn("mixed", F.col("n_units") > 1)
+    """Groups whose aggregate would mix more than one unit/scale/currency: one row
+    per group and unit with its rows, and how many units the group has. Rows
+    without a unit are listed but are no unit; a null group is a group."""
+    listed = df.groupBy(*by, F.col(unit).cast("string").alias("unit")).agg(F.count("*").alias("n_rows"))
+    per = listed.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count("unit").alias("n_units"))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+    return listed.join(per, same).select(*by, "unit", "n_rows", "n_units", (F.col("n_units") > 1).alias("mixed"))
 
 
 def a_distinct_mask(df: DataFrame, key: str, dp: int = 6) -> DataFrame:
@@ -258,6 +263,16 @@ def a_distinct_mask(df: DataFrame, key: str, dp: int = 6) -> DataFrame:
         .withColumn("ratio", F.round(safe_div("rows", "distinct_keys"), dp))
 
 
+def a_distinct_mask_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, dp: int = 6) -> DataFrame:
+    """:func:`a_distinct_mask` of the inner join of two tables on the key, from the
+    rows per key of either side: the join's rows are never made."""
+    a = left.groupBy(F.col(left_key).alias("__k")).agg(F.count("*").alias("__a"))
+    b = right.groupBy(F.col(right_key).alias("__k")).agg(F.count("*").alias("__b"))
+    met = a.join(b, "__k").agg(F.coalesce(F.sum(F.col("__a") * F.col("__b")), F.lit(0)).cast("long").alias("rows"),
+                               F.count("*").alias("distinct_keys"))
+    return met.withColumn("ratio", F.round(safe_div("rows", "distinct_keys"), dp))
+
+
 def type_family(t: Column) -> Column:
     """Engine-neutral type family of a type name."""
     u = F.upper(t)

@@ -219,14 +219,17 @@ def k_reverse(df: DataFrame, key: str, wave: str, x: str, y: str, dp: int = 6) -
                  F.count("__yn").alias("n_lagged_pairs"))
 
 
-def k_common_method(pairs: DataFrame, a_cols: Sequence[str], b_cols: Sequence[str],
+def k_common_method(measures: DataFrame, person: str, source: Sequence[str], is_a: Column, is_b: Column,
                     dp: int = 6) -> DataFrame:
-    """Share of compared pairs whose two measures share source, instrument and
-    wave (all of ``a_cols`` equal ``b_cols``, null-safe)."""
-    same = F.lit(True)
-    for a, b in zip(a_cols, b_cols):
-        same = same & F.col(a).eqNullSafe(F.col(b))
-    return pairs.agg(F.count("*").alias("n_pairs"), F.count_if(same).alias("n_same_source")) \
+    """Share of compared pairs whose two measures share the ``source`` columns
+    (instrument, wave), null-safe. Compared are each person's ``is_a`` measures with
+    their ``is_b`` measures; the pairs are counted from the counts of either kind per
+    person and source and never made rows. Measures without a person are in no pair."""
+    cell = measures.where(F.col(person).isNotNull()).groupBy(person, *source).agg(
+        F.count_if(is_a).alias("__a"), F.count_if(is_b).alias("__b"))
+    each = cell.groupBy(person).agg((F.sum("__a") * F.sum("__b")).alias("__pairs"), F.sum(F.col("__a") * F.col("__b")).alias("__same"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    return each.agg(total("__pairs").alias("n_pairs"), total("__same").alias("n_same_source")) \
         .withColumn("same_source_pct", F.round(safe_div(F.col("n_same_source") * 100, "n_pairs"), dp))
 
 

@@ -7,26 +7,45 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.session import app_cache
 
-_BOUND_PROOFS: dict[tuple, bool] = {}
+#: Bytes of values that :func:`broadcast_bounded` lets a broadcast hold.
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row's values: strings and binaries by their length, nested
+    values by that of their JSON text, others 8 bytes each."""
+    def width(f):
+        c = F.col("`" + f.name.replace("`", "``") + "`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0))
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+        return F.lit(8)
+    return reduce(lambda a, b: a + b, [width(f) for f in df.schema.fields], F.lit(0)).cast("long")
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
+    """Broadcast ``df`` only after proving it has at most ``max_rows`` rows and
+    MAX_BROADCAST_BYTES bytes of values.
 
-    The proof is a bounded count (``limit(max_rows + 1)``), which never reads
-    more than max_rows + 1 rows. Beyond the bound the frame is returned as is
+    The proof counts rows and sums widths over ``limit(max_rows + 1)``, so it never
+    reads more than max_rows + 1 rows. Beyond the bound the frame is returned as is
     and Spark plans a shuffle join (AQE may still convert it at run time from
     measured sizes). Proofs for file-backed frames are remembered per
     canonical plan and input file list (inputs are read-only tables)."""
     files = tuple(sorted(df.inputFiles()))
     key = (df.semanticHash(), files, max_rows) if files else None
-    ok = _BOUND_PROOFS.get(key) if key else None
+    proofs = app_cache(df.sparkSession, "bounds")
+    ok = proofs.get(key) if key else None
     if ok is None:
-        ok = df.limit(max_rows + 1).count() <= max_rows
+        size = df.select(row_width(df).alias("w")).limit(max_rows + 1).agg(F.count("w"), F.sum("w")).first()
+        ok = size[0] <= max_rows and (size[1] or 0) <= MAX_BROADCAST_BYTES
         if key:
-            _BOUND_PROOFS[key] = ok
+            proofs[key] = ok
     return F.broadcast(df) if ok else df
 
 

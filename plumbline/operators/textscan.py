@@ -63,31 +63,57 @@ def t_sql_blocks(docs: DataFrame, id_col: str, text: str, open_re: str, close_re
 
 
 IDENT = r"[A-Za-z_][A-Za-z0-9_.]*"
+#: Names of a parameter list up to which it is compiled into the scan.
+MAX_COMPILED_NAMES = 10_000
+
+
+def _names(listed: DataFrame) -> DataFrame:
+    """The distinct lower-case names in the first column of a parameter list."""
+    name = F.lower(F.col(listed.columns[0]))
+    return listed.select(name.alias("__name")).where(name.isNotNull()).distinct()
+
+
+def _compiled(names: DataFrame) -> list[str] | None:
+    """The names, or None where they are more than MAX_COMPILED_NAMES."""
+    got = [r[0] for r in names.limit(MAX_COMPILED_NAMES + 1).collect()]  # a parameter
+    return got if len(got) <= MAX_COMPILED_NAMES else None
 
 
 def t_sql_lint(queries: DataFrame, id_col: str, text: str, deprecated: DataFrame,
                allowed_tables: DataFrame) -> DataFrame:
     """Regex features of each query text: SELECT DISTINCT, a join with no
     as-of predicate, a percentage with no denominator column, deprecated
-    identifiers and tables missing from the documented list."""
+    identifiers and tables missing from the documented list. One scan: the
+    name lists are parameters, compiled into it as hash sets; no rows are made
+    of identifiers. A list of more than MAX_COMPILED_NAMES names is joined
+    instead, with one row per identifier. A null text has null features and no
+    names; repeated rows get one result each."""
     queries = spread_small_scan(queries)
     t = F.col(text)
     distinct = t.rlike(r"(?i)(?:^|[^A-Za-z0-9_])select\s+distinct(?:$|[^A-Za-z0-9_])")
     join_no_asof = t.rlike(r"(?i)(?:^|[^A-Za-z0-9_])join(?:$|[^A-Za-z0-9_])") & \
         ~t.rlike(r"(?i)effective_start|effective_end|is_current|snapshot_date")
     pct_no_den = t.rlike(r"(?i)100(?:\.0)?\s*\*|percent") & ~t.rlike(r"(?i)denominator|(?:^|[^A-Za-z0-9_])den(?:$|[^A-Za-z0-9_])")
-    ids = queries.select(id_col, F.explode(F.regexp_extract_all(t, F.lit(f"({IDENT})"), 1)).alias("ident"))
-    dep = broadcast_bounded(deprecated.select(F.lower(F.col(deprecated.columns[0])).alias("__d")), 100_000)
-    n_dep = ids.join(dep, F.lower("ident") == F.col("__d")).groupBy(id_col).agg(F.count("*").alias("n_deprecated"))
-    tabs = queries.select(id_col, F.explode(F.regexp_extract_all(
-        t, F.lit(rf"(?i)(?:from|join)\s+({IDENT})"), 1)).alias("tbl"))
-    allow = broadcast_bounded(allowed_tables.select(F.lower(F.col(allowed_tables.columns[0])).alias("tbl")), 100_000)
-    n_und = tabs.withColumn("tbl", F.lower("tbl")).join(allow, "tbl", "left_anti").groupBy(id_col) \
-        .agg(F.count("*").alias("n_undocumented_tables"))
-    base = queries.select(id_col, distinct.alias("select_distinct"), join_no_asof.alias("join_without_asof"),
-                          pct_no_den.alias("pct_without_denominator"))
-    out = base.join(n_dep, id_col, "left").join(n_und, id_col, "left").fillna(0, ["n_deprecated",
-                                                                                  "n_undocumented_tables"])
+    found = lambda pattern: F.transform(
+        F.coalesce(F.regexp_extract_all(t, F.lit(pattern), 1), F.array().cast("array<string>")), F.lower)
+    ids, tabs = found(f"({IDENT})"), found(rf"(?i)(?:from|join)\s+({IDENT})")
+    flags = [distinct.alias("select_distinct"), join_no_asof.alias("join_without_asof"), pct_no_den.alias("pct_without_denominator")]
+    old, known = _names(deprecated), _names(allowed_tables)
+    old_list, known_list = _compiled(old), _compiled(known)
+    if old_list is not None and known_list is not None:
+        out = queries.select(id_col, *flags, F.size(F.filter(ids, lambda i: i.isin(old_list))).cast("long").alias("n_deprecated"),
+                             F.size(F.filter(tabs, lambda i: ~i.isin(known_list))).cast("long").alias("n_undocumented_tables"))
+    else:
+        each = queries.withColumn("__row", F.monotonically_increasing_id()).select("__row", id_col, *flags, F.explode_outer(F.concat(
+            F.transform(ids, lambda i: F.struct(F.lit("id").alias("__kind"), i.alias("__name"))),
+            F.transform(tabs, lambda i: F.struct(F.lit("table").alias("__kind"), i.alias("__name"))))).alias("__at"))
+        each = each.select("*", "__at.*").drop("__at")
+        listed = old.withColumn("__kind", F.lit("id")).unionByName(known.withColumn("__kind", F.lit("table")))
+        each = each.join(broadcast_bounded(listed.withColumn("__in", F.lit(True)), 100_000), ["__kind", "__name"], "left")
+        out = each.groupBy("__row").agg(
+            F.first(id_col).alias(id_col), *[F.first(c).alias(c) for c in ("select_distinct", "join_without_asof", "pct_without_denominator")],
+            F.count_if((F.col("__kind") == "id") & F.col("__in").isNotNull()).alias("n_deprecated"),
+            F.count_if((F.col("__kind") == "table") & F.col("__in").isNull()).alias("n_undocumented_tables")).drop("__row")
     return out.withColumn("n_findings", F.col("select_distinct").cast("int") + F.col("join_without_asof").cast("int")
                           + F.col("pct_without_denominator").cast("int") + F.col("n_deprecated")
                           + F.col("n_undocumented_tables"))
@@ -137,22 +163,17 @@ def t_doc_check(docs: DataFrame, id_col: str, text: str, as_of, max_age_days: in
 
 def t_doc_refs(docs: DataFrame, id_col: str, text: str, catalog: DataFrame) -> DataFrame:
     """Backtick-quoted `table` or `table.column` names in docs that the
-    catalog (table_name, column_name) does not know."""
+    catalog (table_name, column_name) does not know: names whose first part is no
+    table, nor, standing alone, a column. One row per place, from one scan of the
+    texts; only the names found meet the catalog, in one anti join."""
     refs = spread_small_scan(docs).select(id_col, F.explode(F.regexp_extract_all(text, F.lit(r"`([A-Za-z_][A-Za-z0-9_.]*)`"), 1))
                        .alias("ref"))
     parts = F.split("ref", r"\.")
-    tabs = catalog.select(F.lower("table_name").alias("t")).distinct()
-    cols = catalog.select(F.lower("table_name").alias("t"), F.lower("column_name").alias("c"))
-    cols_only = catalog.select(F.lower("column_name").alias("c")).distinct()
-    r = refs.select(id_col, "ref", F.lower(parts[0]).alias("p0"),
-                    F.when(F.size(parts) > 1, F.lower(parts[1])).alias("p1"))
-    known_tab = r.join(broadcast_bounded(tabs, 1_000_000), r.p0 == F.col("t"), "left_semi").select(id_col, "ref")
-    known_tc = r.join(broadcast_bounded(cols, 1_000_000), (r.p0 == F.col("t")) & (r.p1 == F.col("c")),
-                      "left_semi").select(id_col, "ref")
-    known_c = r.where(F.col("p1").isNull()).join(broadcast_bounded(cols_only, 1_000_000), r.p0 == F.col("c"),
-                                                 "left_semi").select(id_col, "ref")
-    known = known_tab.unionByName(known_tc).unionByName(known_c).distinct()
-    return r.select(id_col, "ref").join(known, [id_col, "ref"], "left_anti")
+    name = lambda c, alone: F.struct(F.lower(c).alias("__name"), F.lit(alone).alias("__alone"))
+    names = F.array(name("table_name", True), name("table_name", False), name("column_name", True))
+    known = catalog.select(F.explode(names).alias("k")).select("k.*").distinct()
+    r = refs.withColumns({"__name": F.lower(parts[0]), "__alone": F.size(parts) == 1})
+    return r.join(broadcast_bounded(known, 1_000_000), ["__name", "__alone"], "left_anti").select(id_col, "ref")
 
 
 def t_corrections(turns: DataFrame, conv: str, turn: str, role: str, text: str, lexicon: DataFrame,

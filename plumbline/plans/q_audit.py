@@ -254,12 +254,13 @@ def a_missing_by_group(spark, sf):
 
 
 @query("a_units", with_sql(SURVEY_SQL) + """
-SELECT item, count(DISTINCT scale_max) AS n_units,
-       array_to_string(list_sort(list_distinct(array_agg(CAST(scale_max AS VARCHAR)))), ',') AS units,
-       count(DISTINCT scale_max) > 1 AS mixed FROM survey GROUP BY item""")
+SELECT s.item, CAST(s.scale_max AS VARCHAR) AS unit, count(*) AS n_rows, any_value(g.n_units) AS n_units,
+       any_value(g.n_units) > 1 AS mixed
+FROM survey s JOIN (SELECT item, count(DISTINCT scale_max) AS n_units FROM survey GROUP BY item) g
+  ON g.item IS NOT DISTINCT FROM s.item
+GROUP BY s.item, s.scale_max""")
 def a_units(spark, sf):
-    u = A.a_units(survey(Tables(spark, sf)), "scale_max", ["item"])
-    return u.withColumn("units", F.array_join("units", ","))
+    return A.a_units(survey(Tables(spark, sf)), "scale_max", ["item"])
 
 
 @query("a_distinct_mask", """
@@ -268,8 +269,7 @@ SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS distinct_keys,
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def a_distinct_mask(spark, sf):
     t = Tables(spark, sf)
-    j = t.orders.join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey"))
-    return A.a_distinct_mask(j, "o_orderkey")
+    return A.a_distinct_mask_join(t.orders, t.lineitem, "o_orderkey", "l_orderkey")
 
 
 # The documented schema of two tables, as a reference doc

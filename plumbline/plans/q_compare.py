@@ -295,18 +295,10 @@ SELECT count(*) AS n_pairs,
 FROM pairs""")
 def k_common_method(spark, sf):
     """Compared pairs = each person's click measure in a wave against their
-    purchase measure in the same or the other wave (at most 2 x 2 per
-    person, bounded by the wave count)."""
+    purchase measure in the same or the other wave."""
     s = survey(Tables(spark, sf)).where(F.col("item").isin("click", "purchase"))
     m = s.groupBy("user_id", "wave", "item").agg(F.first("scale_max").alias("instrument"))
-    a = m.where(F.col("item") == "click").select(F.col("user_id").alias("a_person"), F.col("wave").alias("a_wave"),
-                                                 F.col("instrument").alias("a_instrument"))
-    b = m.where(F.col("item") == "purchase").select(F.col("user_id").alias("b_person"),
-                                                    F.col("wave").alias("b_wave"),
-                                                    F.col("instrument").alias("b_instrument"))
-    pairs = a.join(b, F.col("a_person") == F.col("b_person"))
-    return K.k_common_method(pairs, ["a_person", "a_wave", "a_instrument"],
-                             ["b_person", "b_wave", "b_instrument"])
+    return K.k_common_method(m, "user_id", ["wave", "instrument"], F.col("item") == "click", F.col("item") == "purchase")
 
 
 ITEMS = ["click", "error", "purchase", "signup", "view"]

@@ -62,7 +62,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
-_SMALL_CACHE: list[DataFrame] = []
+_CACHES: dict[str, dict] = {}
+
+
+def app_cache(spark: SparkSession, name: str) -> dict:
+    """A dictionary that lives as long as the session's application: what an
+    earlier application of this process left behind is dropped."""
+    app = spark.sparkContext.applicationId
+    if app not in _CACHES:
+        _CACHES.clear()
+    return _CACHES.setdefault(app, {}).setdefault(name, {})
+
+
 MAX_SMALL_CACHED = 64
 
 
@@ -73,12 +84,13 @@ def materialize_small(df: DataFrame) -> DataFrame:
     the first job that needs it fills it (concurrent readers of a block wait
     for it), and lost blocks are recomputed from lineage. Iterative loops cut
     lineage with :func:`cut_lineage` instead. At most ``MAX_SMALL_CACHED``
-    such frames stay cached per process; evicting an older one only means it
+    such frames stay cached per application; evicting an older one only means it
     is recomputed if still needed, never a different result."""
     out = df.cache()
-    _SMALL_CACHE.append(out)
-    while len(_SMALL_CACHE) > MAX_SMALL_CACHED:
-        _SMALL_CACHE.pop(0).unpersist(blocking=False)
+    kept = app_cache(df.sparkSession, "small").setdefault("frames", [])
+    kept.append(out)
+    while len(kept) > MAX_SMALL_CACHED:
+        kept.pop(0).unpersist(blocking=False)
     return out
 
 

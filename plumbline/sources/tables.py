@@ -9,16 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import spread_small_scan
+from plumbline.session import app_cache, spread_small_scan
 
 TABLE_NAMES = ("region", "nation", "customer", "supplier", "part", "orders",
                "lineitem", "events", "documents", "embeddings", "pages",
                "benchmark", "labels", "conversations")
 
 
-_HANDLES: dict[tuple, DataFrame] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """src_table: read-only scan of one named Parquet table.
 
@@ -31,10 +28,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     except OSError:
         stamp = None
     key = (id(spark), path, stamp)
-    df = _HANDLES.get(key)
+    handles = app_cache(spark, "handles")
+    df = handles.get(key)
     if df is None:
         df = spark.read.parquet(path)
-        _HANDLES[key] = df
+        handles[key] = df
     return df
 
 
