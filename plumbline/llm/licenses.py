@@ -4,57 +4,33 @@ Every rolling word k-gram of every text is hashed and joined with the k-grams of
 the license templates. A match at text position p and template position q votes
 for the diagonal p - q; the votes of a diagonal are one place where the template
 may stand, and neighbouring diagonals (some words put in or left out) are merged.
+A merged place is accepted if enough different k-grams of the template voted.
 Words are compared directly for every match, so a hash alone decides nothing.
 
-The templates are a parameter of a few hundred words (MAX_TEMPLATE_WORDS is
-checked), so their k-grams are broadcast; texts are not shuffled, only matches
-are, and those are keyed by text and template. Nothing is kept per source or per
-template beyond one text's matches.
+Licenses share wording. At each text position the accepted place that matches most
+words of its template holds the position, and a place that holds less than half of
+its positions gives way: a Lesser GPL notice is not a GPL one, nor a license text
+with a share-alike clause the one without. Base phrases stay whatever holds them.
+
+The templates are a parameter of bounded size (MAX_TEMPLATE_WORDS is checked), so
+their k-grams are broadcast; texts are not shuffled, only matches are, and those
+are keyed by text. Repeated rows are one text's matches, merged before the shuffle.
+Nothing is kept per source or per template beyond one text's matches.
 
 Defined results: a null text is empty; a text without a match has zero places
-and null positions; repeated rows get one result each; null ids are kept;
-other columns are not read.
+and null positions; a very long text is scanned whole, at one row per match; of
+places that match equally many words, that of the first template holds a position;
+repeated rows get one result each; an empty table gives an empty result; null ids
+are kept; other columns are not read.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import ALNUM_GAP, ascii_lower, split_words
-
-
-@dataclass(frozen=True)
-class Template:
-    """A license text in lower-case words. A base phrase counts where all its
-    words stand consecutively; other templates where enough of them match."""
-    label: str
-    words: str
-    base: bool = False
-
-
-#: The phrases and labels of the query contract.
-BASE = (
-    Template("gpl", "gnu general public license", True),
-    Template("apache", "apache license", True),
-    Template("cc-by", "cc by", True),
-    Template("mit", "mit license", True),
-)
-#: The opening sentences of common licenses.
-NOTICES = (
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu "
-                    "general public license as published by the free software foundation"),
-    Template("apache", "you may not use this file except in compliance with the license"),
-    Template("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("public-domain", "this is free and unencumbered software released into the public domain"),
-    Template("all-rights-reserved", "all rights reserved no part of this publication may be reproduced"),
-)
-TEMPLATES = BASE + NOTICES
+from plumbline.llm.license_texts import TEMPLATES, Template
 
 #: Words of a k-gram; a template with fewer is one k-gram.
 K = 4
@@ -62,7 +38,8 @@ K = 4
 SLACK = 3
 #: Share of a template's k-grams that must match.
 COVERAGE = 0.6
-MAX_TEMPLATE_WORDS = 50_000
+#: Words of all templates: their k-grams are broadcast, some 100 bytes each.
+MAX_TEMPLATE_WORDS = 500_000
 
 
 def _hash(words: Column, at: Column, k: int) -> Column:
@@ -73,11 +50,11 @@ def _hash(words: Column, at: Column, k: int) -> Column:
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
     """(tpl, k, q, gram, h): every k-gram of every template."""
-    if sum(len(t.words.split()) for t in templates) > MAX_TEMPLATE_WORDS:
+    if sum(len(t.words) for t in templates) > MAX_TEMPLATE_WORDS:
         raise ValueError(f"templates hold more than {MAX_TEMPLATE_WORDS} words")
     rows = []
     for n, t in enumerate(templates):
-        w = t.words.split()
+        w = t.words
         k = min(K, len(w))
         rows += [(n, k, q, w[q:q + k]) for q in range(len(w) - k + 1)]
     grams = spark.createDataFrame(rows, "tpl int, k int, q int, gram array<string>")
@@ -100,22 +77,26 @@ def votes(texts: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def places(hits: DataFrame, about: DataFrame) -> DataFrame:
-    """(id, th, label, base, first, end, coverage) of all accepted places.
-
-    Votes are counted per diagonal. A base phrase stands on one diagonal, whole;
-    neighbouring diagonals of another template are merged into one place, which
-    needs COVERAGE of the template's k-grams."""
-    each = hits.groupBy("id", "th", "tpl", (F.col("p") - F.col("q")).alias("diagonal")).agg(
-        F.count_distinct("q").alias("seen"), F.min("p").alias("first"), F.max("p").alias("last"))
-    each = each.join(F.broadcast(about), "tpl").where("not base or seen = grams")
-    w = Window.partitionBy("id", "th", "tpl").orderBy("diagonal")
-    apart = F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(w) > SLACK)
-    run = each.withColumn("apart", apart).withColumn("run", F.sum(F.when(F.col("apart"), 1).otherwise(0)).over(w))
-    out = run.groupBy("id", "th", "tpl", "run").agg(
-        F.first("label").alias("label"), F.first("base").alias("base"), F.min("first").alias("first"),
-        (F.max("last") + F.first("k")).alias("end"),
-        F.least(F.lit(1.0), F.sum("seen") / F.first("grams")).alias("coverage"))
-    return out.where(F.col("coverage") >= COVERAGE)
+    """(id, th, label, base, first, end, coverage) of all accepted places that hold
+    their positions.
+
+    A base phrase stands on one diagonal, whole; neighbouring diagonals of another
+    template are one place, which needs COVERAGE of the template's k-grams, each
+    counted once. ``hits`` may hold a match several times."""
+    each = hits.distinct().repartition("id", "th").join(F.broadcast(about), "tpl").withColumn("diagonal", F.col("p") - F.col("q"))
+    w = Window.partitionBy("id", "th", "tpl").orderBy("diagonal", "p")
+    apart = F.col("diagonal") - F.lag("diagonal").over(w) > F.when(F.col("base"), 0).otherwise(SLACK)
+    each = each.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("run", F.sum("apart").over(w))
+    place = Window.partitionBy("id", "th", "tpl", "run")
+    each = each.withColumn("seen", F.size(F.collect_set("q").over(place)))  # at most the template's k-grams
+    each = each.where(F.col("seen") >= F.when(F.col("base"), 1.0).otherwise(COVERAGE) * F.col("grams"))
+    strength = F.struct((F.col("seen") + F.col("k")).alias("words"), (-F.col("tpl")).alias("tpl"), F.col("run"))
+    holder = F.max("strength").over(Window.partitionBy("id", "th", "p", "base"))
+    each = each.withColumn("strength", strength).withColumn("holds", F.col("base") | (F.col("strength") == holder))
+    out = each.groupBy("id", "th", "tpl", "run").agg(
+        F.first("label").alias("label"), F.first("base").alias("base"), F.min("p").alias("first"), (F.max("p") + F.first("k")).alias("end"),
+        (F.first("seen") / F.first("grams")).alias("coverage"), F.avg(F.col("holds").cast("int")).alias("held"))
+    return out.where(F.col("held") >= 0.5)
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -126,13 +107,13 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     word and coverage of every accepted place)."""
     spark = df.sparkSession
     grams = template_grams(spark, templates)
-    about = spark.createDataFrame([(n, t.label, t.base, len(t.words.split()) - min(K, len(t.words.split())) + 1,
-                                    min(K, len(t.words.split()))) for n, t in enumerate(templates)],
-                                  "tpl int, label string, base boolean, grams int, k int")
+    length = [len(t.words) for t in templates]
+    about = spark.createDataFrame([(n, t.label, t.base, length[n] - min(K, length[n]) + 1, min(K, length[n]))
+                                   for n, t in enumerate(templates)], "tpl int, label string, base boolean, grams int, k int")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = df.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"),
                       split_words(ascii_lower(text), ALNUM_GAP).alias("w"))
-    sizes = sorted({min(K, len(t.words.split())) for t in templates})
+    sizes = sorted({min(K, n) for n in length})
     found = places(votes(texts, grams, sizes), about)
     start = F.when(F.col("base"), F.col("first")).cast("long")
     found = found.groupBy("id", "th").agg(
