@@ -8,18 +8,22 @@ word by word.
 
 Texts are read in place: one narrow pass and no shuffle. The patterns are
 prepared in blocks of at most MAX_BLOCK_WORDS words (one item at least), so that
-what a task holds is bounded however long the benchmark is; each block is one
-pass, and between passes the state is cut by a written table.
-
-Defined results: a null or wordless text has no words and is clean; a null or
-wordless item has no window; equal items and repeated item rows all count by
-their distinct id; repeated documents get one result each; other columns of
-either table are not read.
+what a task holds is bounded however long the benchmark is. One block, the usual
+case, is one pass. With more, the texts are written once, numbered; each block reads
+them and writes only the numbers, spans and items of the texts that it hits, and
+these meet the numbered rows in one join at the end.
+
+Defined results: a null, empty or wordless text has no words and is clean; a very
+long one is read whole; a null or wordless item has no window, and an item with a
+null id is no item; equal items and repeated item rows all count by their distinct
+id; repeated documents get one result each; an empty table of documents gives no
+rows, an empty benchmark leaves all clean; other columns of either table are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,32 +104,36 @@ class WuManber:
         return merged, items
 
 
-def item_blocks(bench: DataFrame, id_col: str, text_col: str, max_words: int) -> Iterator[list]:
-    """The items as (id, words), in blocks of about ``max_words`` words; each
-    block is collected by itself."""
+def item_blocks(bench: DataFrame, id_col: str, text_col: str, max_words: int) -> tuple[int, Iterator[list]]:
+    """The items as (id, words): the number of blocks of about ``max_words`` words,
+    and the blocks; each is collected by itself when its turn comes."""
     items = bench.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"))
     items = items.where(F.col("id").isNotNull()).distinct()
     size = F.size(split_words(F.col("text").cast("string"), ALNUM_GAP))
     total = items.agg(F.sum(size.cast("long"))).first()[0] or 0
     blocks = max(1, -(-total // max_words))
-    for b in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
-        yield [(r.id, words_of(bytes(r.text) if r.text is not None else None)) for r in mine]
+
+    def read() -> Iterator[list]:
+        for b in range(blocks):
+            mine = items.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()
+            yield [(r.id, words_of(bytes(r.text) if r.text is not None else None)) for r in mine]
+
+    return blocks, read()
 
 
 def search_pass(df: DataFrame, items: list, window: int) -> DataFrame:
-    """Add the spans and items of one block of patterns to the state columns of
-    ``df`` (id, text, n_words, spans, items)."""
+    """Fill the columns n_words, spans and items of ``df`` (with a column text) for
+    one block of patterns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = WuManber(items, window)
         for batch in batches:
             number, spans, found = [], [], []
-            for text, s, i in zip(*(batch.column(c).to_pylist() for c in ("text", "spans", "items")), strict=True):
+            for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                more, own = machine.search(words)
+                merged, own = machine.search(words)
                 number.append(len(words))
-                spans.append(s + [{"s": a, "e": b} for a, b in more])
-                found.append(sorted(set(i) | own))
+                spans.append([{"s": a, "e": b} for a, b in merged])
+                found.append(sorted(own))
             cols = {"n_words": pa.array(number, pa.int64()), "items": pa.array(found, pa.list_(pa.string())),
                     "spans": pa.array(spans, pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))}
             yield pa.RecordBatch.from_arrays([cols.get(c, batch.column(c)) for c in batch.schema.names], batch.schema.names)
@@ -133,6 +141,21 @@ def search_pass(df: DataFrame, items: list, window: int) -> DataFrame:
     return df.mapInArrow(run, df.schema)
 
 
+def search_blocks(state: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """As one :func:`search_pass` over all blocks together."""
+    rows = store(state.withColumn("row", F.monotonically_increasing_id()), "decontam-texts")
+    number = F.size(split_words(F.col("text").cast("string"), ALNUM_GAP)).cast("long")
+    hits = []
+    for items in blocks:
+        got = search_pass(rows.select("row", "text", "n_words", "spans", "items"), items, window)
+        hits.append(store(got.where(F.size("items") > 0).select("row", "spans", "items"), "decontam-hits"))
+    found = reduce(DataFrame.union, hits).groupBy("row").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    out = rows.select("id", "row", number.alias("n_words")).join(found, "row", "left")
+    none = lambda c: F.coalesce(c, F.array().cast(found.schema[c].dataType)).alias(c)
+    return out.select("id", "n_words", none("spans"), F.array_sort(none("items")).alias("items"))
+
+
 def hit_words(spans: Column) -> Column:
     """Words under sorted spans that may overlap."""
     end = F.aggregate(spans, F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n")), lambda s, x: F.struct(
@@ -153,8 +176,8 @@ def find_contamination(df: DataFrame, bench: DataFrame, id_col: str = "doc_id",
                       F.col(text_col).cast("binary").alias("text"), F.lit(0).cast("long").alias("n_words"),
                       F.array().cast("array<struct<s:int,e:int>>").alias("spans"),
                       F.array().cast("array<string>").alias("items"))
-    for n, items in enumerate(item_blocks(bench, item_id, item_text, max_block_words)):
-        state = search_pass(store(state, "decontam") if n else state, items, window)
+    n, blocks = item_blocks(bench, item_id, item_text, max_block_words)
+    state = search_pass(state, next(blocks), window) if n == 1 else search_blocks(state, blocks, window)
     out = state.withColumn("n_hit", hit_words(F.sort_array("spans")))
     out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
     return out.select(F.col("id").alias(id_col if carried is None else "carried"),
