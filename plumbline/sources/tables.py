@@ -4,7 +4,13 @@ snk_json, src_docs)."""
 from __future__ import annotations
 
 import os
+import re
+import shutil
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -91,19 +97,67 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None
     return r.json(path)
 
 
+#: Read partitions of a folder of small files that one task takes: each stands for few
+#: files, as Spark counts the opening of a file like some MB of it.
+SCANS_PER_TASK = 64
+
+
 def read_docs(spark: SparkSession, path: str) -> DataFrame:
     """src_docs: a folder of text files, one row per file: the whole text with its
     path and modification time."""
-    return spark.read.text(path, wholetext=True).select(
+    docs = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"),
         F.col("value").alias("text"))
+    n = docs.rdd.getNumPartitions()
+    return docs.coalesce(max(4 * spark.sparkContext.defaultParallelism, -(-n // SCANS_PER_TASK)))
+
+
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """``path`` for Python's open() if it is in the local (or a mounted) file system."""
+    if path.startswith("/"):
+        path = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").rstrip("/") + path
+    m = re.fullmatch("file:(?://)?(/.*)", path)
+    return m[1] if m else None
 
 
 def write_docs(df: DataFrame, path: str, id_col: str, text_col: str) -> None:
     """One text file per row: a heading line with the id, then the text and a line
-    feed; a null text is empty."""
+    feed; a null text is empty. Each task fills a folder ``part=N``, which is renamed
+    as a whole when the task is done."""
     whole = F.concat(F.col(id_col).cast("string"), F.lit("\n"), F.coalesce(text_col, F.lit("")))
-    spread_small_scan(df).select(whole.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    rows = spread_small_scan(df).select(whole.alias("value"))
+    root = local_path(df.sparkSession, path)
+    if root:
+        write_files(rows, root)
+    else:
+        rows.withColumn("part", F.spark_partition_id()).write.partitionBy("part").option("maxRecordsPerFile", 1).text(path)
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """The rows (value) as files under a new local folder. Hadoop's local file system
+    starts a process (chmod) for each file and each checksum file; open() does not."""
+    os.makedirs(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, n = f"{root}/_temporary/{uuid.uuid4().hex}", 0
+        os.makedirs(own)
+        for batch in batches:
+            for value in batch.column(0):
+                with open(f"{own}/{n:09d}.txt", "xb") as f:
+                    f.write((value.as_py() or b"") + b"\n")
+                n += 1
+        done = f"{root}/part={TaskContext.get().partitionId()}"
+        try:
+            if n:
+                os.rename(own, done)
+        except OSError:
+            if not os.path.isdir(done):
+                raise
+        shutil.rmtree(own, ignore_errors=True)  # of no rows, or another attempt was first
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows.select(F.col("value").cast("binary")).mapInArrow(run, "n bigint").agg(F.sum("n")).collect()
+    shutil.rmtree(f"{root}/_temporary", ignore_errors=True)
 
 
 def split_docs(docs: DataFrame) -> DataFrame:

@@ -230,3 +230,34 @@ def test_docs_folder_round_trip(spark, tmp_path):
     got = split_docs(read_docs(spark, f"file://{tmp_path}/docs")).collect()
     assert {int(r.id): r.text for r in got} == {k: t or "" for k, t in texts.items()} and len({r.path for r in got}) == 4
     assert all(r.modified is not None for r in got)
+
+
+def test_docs_folder_of_many_small_files(spark, tmp_path, monkeypatch):
+    """One file per row and nothing beside it, folders per task, few read tasks; the
+    same through Spark's own writer; an empty table is an empty folder."""
+    from plumbline.sources import tables
+    texts = {i: f"text {i}\n" * (i % 5) for i in range(600)}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string").repartition(8)
+    monkeypatch.setattr(tables, "SCANS_PER_TASK", 16, raising=False)
+    for kind, folder in (("own", tmp_path / "a"), ("spark", tmp_path / "b")):
+        if kind == "spark":
+            monkeypatch.setattr(tables, "local_path", lambda *_: None)
+        tables.write_docs(df, f"file://{folder}", "id", "text")
+        assert not [p for p in folder.iterdir() if p.is_file() and p.suffix == ".txt"]
+        assert len([*folder.glob("part=*")]) == 8 and len([*folder.glob("part=*/[!.]*")]) == 600
+        assert kind == "spark" or not [*folder.rglob(".*")]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+        try:
+            docs = tables.read_docs(spark, f"file://{folder}")
+            assert docs.rdd.getNumPartitions() <= max(4 * spark.sparkContext.defaultParallelism, 600 // 2 // 16 + 1)
+            assert {int(r.id): r.text for r in tables.split_docs(docs).collect()} == texts
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        tables.write_docs(df.where("false"), f"file://{folder}-none", "id", "text")
+        assert tables.read_docs(spark, f"file://{folder}-none").count() == 0
+
+
+def test_src_docs_with_a_path_without_scheme(spark, tmp_path):
+    from plumbline.sources.tables import local_path
+    assert [local_path(spark, p) for p in ("file:/a/b", "file:///a/b", "/a/b")] == ["/a/b"] * 3
+    assert [local_path(spark, p) for p in ("hdfs://n/a", "viewfs://store/a", "s3a://b/a")] == [None] * 3
