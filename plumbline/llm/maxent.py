@@ -12,28 +12,30 @@ Both softmaxes add to the leaves' shares, which act as the bias, the weights of
 hashed features: the previous word, the two previous words, and the word before the
 previous one (a skip). In the second level features are hashed inside the class.
 
-Training runs over all training texts in ROUNDS + 1 passes, each one Spark job:
+The model is dealt to shards by history: all tokens after a word are in one shard, those
+after a frequent word are dealt by the word before it. A shard has weights of its own, so
+that a task holds the weights of one shard only, and learns from all training tokens of
+its histories:
 
 1. The observed count of every (feature row, class). The first weights are the mean
    of the three features' smoothed log-odds.
-2. ROUNDS gradient updates. The tasks sum the model's expected counts over all their
-   tokens, Spark sums those of all tasks; observed less expected, less the Gaussian
-   prior's pull, is the gradient of the log-likelihood, and each weight moves by it,
-   divided by its own expected count (its curvature, by which the step does not
-   depend on the number of tokens).
+2. ROUNDS gradient updates. Observed less expected counts over all the shard's training
+   tokens, less the Gaussian prior's pull, is the gradient of the log-likelihood, and
+   each weight moves by it, divided by its own expected count (its curvature, by which
+   the step does not depend on the number of tokens).
 
-No task ever trains by itself, so the weights depend on the rows and not on how they
-are dealt to partitions (but for the rounding of sums).
+Shards and their histories follow from the counts of words, so the weights depend on the
+rows and not on how they are dealt to partitions (but for the rounding of sums).
 
 What is gathered grows with the corpus: the counts of all words (a table, joined);
-classes a level, 2 ** (log2(words) / 5); and feature rows, one for 2 ** 12 training
-tokens, up to MAX_ROWS of each of the three features and two levels. That maximum is
-the memory that a task gives to the model (3 * 2 * MAX_ROWS * classes floats, 25 MB
-at 32 classes); it lets features share rows and drops no text. A training task takes
-about TASK_TOKENS tokens, so its sums stay a small part of what it reads.
+classes a level, 2 ** (log2(words) / 5); and the model: one feature row for each
+ROW_TOKENS training tokens, for each of the three features and two levels, and one shard
+for SHARD_TOKENS tokens. A shard's weights (3 * 2 * MAX_ROWS * classes floats, 25 MB at 32
+classes) bound the memory of a task, not the model. One history (a pair of words, or
+the start of a text) is never split.
 
 Texts are split into words twice: to count them, and to write them as word numbers,
-the table that all later passes read. The HOT_WORDS most frequent words, a fixed
+the table from which the shards' tokens are shuffled, once, as compressed arrays. The HOT_WORDS most frequent words, a fixed
 bound, travel with the tasks; every other word of a text is looked up by a shuffle
 join, so the vocabulary may grow without bound.
 
@@ -51,9 +53,12 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,8 +66,12 @@ from plumbline.llm.common import store
 
 ROUNDS = 2
 FEATURES = 3
-#: Training tokens for one feature row, and rows of each feature and level.
-ROW_TOKENS, MIN_ROWS, MAX_ROWS = 1 << 12, 1 << 10, 1 << 15
+#: Training tokens for one feature row, rows of each feature and level in a shard, and
+#: training tokens of a shard.
+ROW_TOKENS, MIN_ROWS, MAX_ROWS = 1 << 5, 1 << 10, 1 << 15
+SHARD_TOKENS = ROW_TOKENS * MAX_ROWS
+#: A previous word with more than this part of a shard's tokens is split by the word before it.
+UNITS = 8
 #: Counts by which a feature row's first weights are drawn to the leaves' shares, and
 #: the inverse variance of the weights' Gaussian prior.
 PRIOR, SPREAD = 50.0, 4.0
@@ -72,8 +81,8 @@ RATE, MOST = 1 / FEATURES, 1.0
 HOT_WORDS = 1 << 18
 #: Numbers of other words in histories.
 OTHER_WORDS = 1 << 24
-#: Tokens of one numpy batch and of one training task.
-BATCH_TOKENS, TASK_TOKENS = 1 << 16, 1 << 24
+#: Tokens of one numpy batch, and of a batch that is dealt to the shards.
+BATCH_TOKENS, DEAL_TOKENS = 1 << 16, 1 << 19
 SMOOTH = 0.1
 #: The end token: no word holds white space.
 END = b"\n"
@@ -130,7 +139,10 @@ class Lexicon:
             first = np.log(by_class.sum(axis=1) / mass.sum())
             second = np.log(by_class / by_class.sum(axis=1, keepdims=True))
         self.bias = [np.where(np.isfinite(b), b, -40.0).astype(np.float32) for b in (first, second)]
-        rows = 1 << max(self.total // ROW_TOKENS, 1).bit_length() - 1
+        self.shards = max(1, -(-self.total // SHARD_TOKENS))
+        #: Shards that a previous word's histories may go to: hot words, then all others.
+        self.splits = np.append(-(-self.counts * UNITS // SHARD_TOKENS), 1).clip(1).astype(np.uint64)
+        rows = 1 << max(self.total // self.shards // ROW_TOKENS, 1).bit_length() - 1
         self.rows = min(max(rows, MIN_ROWS), MAX_ROWS)
 
     def base(self, c):
@@ -147,21 +159,47 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def features(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """(tokens, FEATURES) hashes of the histories. ``ids`` are word numbers of texts
-    one after the other, ``start`` the place of each token in its text."""
+def histories(ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The previous word of each token and the one before it, as number + 3 (1: none).
+    ``ids`` are word numbers of texts one after the other, ``start`` the place of each
+    token in its text."""
     w = ids.astype(np.uint64) + np.uint64(3)
-    one = np.where(start >= 1, np.roll(w, 1), np.uint64(1))
-    two = np.where(start >= 2, np.roll(w, 2), np.uint64(2))
+    return (np.where(start >= 1, np.roll(w, 1), np.uint64(1)),
+            np.where(start >= 2, np.roll(w, 2), np.uint64(1)))
+
+
+def hashed(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """(tokens, FEATURES) hashes of the histories."""
     return _mixed(np.stack([one << np.uint64(2), (one << np.uint64(32)) ^ (two << np.uint64(2)) ^ np.uint64(1),
                             two << np.uint64(2) ^ np.uint64(2)], axis=1))
 
 
-def rows_of(f: np.ndarray, cls: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
-    """Feature rows of the first level, and of the second inside the class."""
+def features(ids: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return hashed(*histories(ids, start))
+
+
+def shard_of(one: np.ndarray, two: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """The shard of a history: all of a previous word in one shard, a frequent one's
+    dealt by the word before it, so that equal histories always meet."""
+    if lex.shards == 1:
+        return np.zeros(one.size, np.uint16)
+    hot = np.uint64(len(lex.words))
+    splits = lex.splits[np.where(one >= 3, np.minimum(one - np.uint64(3), hot), hot).astype(np.int64)]
+    part = (_mixed(two) >> np.uint64(20)) % splits
+    at = (_mixed(_mixed((one << np.uint64(24)) ^ part)) >> np.uint64(20)) % np.uint64(lex.shards)
+    return at.astype(np.uint16 if lex.shards < 1 << 16 else np.int64)
+
+
+def rows_at(level: int, f: np.ndarray, cls: np.ndarray, lex: Lexicon) -> np.ndarray:
+    """Feature rows of the first level, or of the second inside the class."""
+    if level == 0:
+        return (f % np.uint64(lex.rows)).astype(np.int64)
     own = lex.rows // lex.classes
-    inside = _mixed(f ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(own)
-    return (f % np.uint64(lex.rows)).astype(np.int64), cls[:, None] * own + inside.astype(np.int64)
+    return cls[:, None] * own + (_mixed(f ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(own)).astype(np.int64)
+
+
+def rows_of(f: np.ndarray, cls: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
+    return rows_at(0, f, cls, lex), rows_at(1, f, cls, lex)
 
 
 def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -177,15 +215,15 @@ def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarr
 
 
 def encoded(texts: DataFrame, lex: Lexicon) -> DataFrame:
-    """Word numbers of each text, its sums over the hot words, and its other words
-    with their number of places."""
+    """Word numbers of each text, its sums over the hot words (``score``: their log10
+    probabilities inside their leaves), and its other words with their number of places."""
     kind = texts.schema["id"].dataType.simpleString()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, hot = lex.index.get, len(lex.words)
         base = np.append(lex.base(lex.counts), 0.0)
         for batch in parts:
-            cols: list[list] = [[] for _ in range(5)]
+            cols: list[list] = [[] for _ in range(6)]
             for text in batch.column(2):
                 words = tokens(text.as_py())
                 ids = [get(w, -1) for w in words]
@@ -195,129 +233,166 @@ def encoded(texts: DataFrame, lex: Lexicon) -> DataFrame:
                 cols[0].append(len(words))
                 cols[1].append(len(words) - len(other))
                 cols[2].append(float(base[at[at >= 0]].sum()))
+                inside = float(lex.inside[at[at >= 0]].sum())
                 for k, w in other:
                     at[k] = hot + zlib.crc32(w) % OTHER_WORDS
                 cols[3].append(at.astype("<i4").tobytes())
                 cols[4].append([{"word": w, "tf": n} for w, n in rare.items()])
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())]))]
+                cols[5].append(inside)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])),
+                     pa.float64()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
-                ["id", "held", "n_tokens", "n_known", "base_score", "ids", "rare"])
+                ["id", "held", "n_tokens", "n_known", "base_score", "ids", "rare", "score"])
 
     out = texts.select("id", "held", "text").mapInArrow(
         run, f"id {kind}, held boolean, n_tokens bigint, n_known bigint, base_score double, ids binary, "
-             "rare array<struct<word:binary,tf:bigint>>")
+             "rare array<struct<word:binary,tf:bigint>>, score double")
     return out.withColumn("row", F.monotonically_increasing_id())  # fixed once the table is written
 
 
-def token_batches(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def token_batches(texts: pa.Array, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(word numbers, places in the text, text numbers) of encoded texts, a part of
     one text or several texts at once. A part starts with the two words before it,
     marked by text number -1."""
     ids, place, owner, held = [], [], [], 0
     for n, text in enumerate(texts):
         x = np.frombuffer(text.as_py(), "<i4")
-        for a in range(0, x.size, BATCH_TOKENS):
+        for a in range(0, x.size, size):
             s = max(a - 2, 0)
-            part = x[s:a + BATCH_TOKENS]
+            part = x[s:a + size]
             ids.append(part)
             place.append(np.arange(s, s + part.size))
             owner.append(np.where(place[-1] < a, -1, n))
             held += part.size
-            if held >= BATCH_TOKENS:
+            if held >= size:
                 yield tuple(np.concatenate(c) for c in (ids, place, owner))
                 ids, place, owner, held = [], [], [], 0
     if held:
         yield tuple(np.concatenate(c) for c in (ids, place, owner))
 
 
-def level_events(texts: pa.Array, lex: Lexicon) -> Iterator[tuple]:
-    """For each batch and level: (text numbers, word numbers, level, rows, targets, bias)."""
-    for ids, place, owner in token_batches(texts):
-        own = owner >= 0
-        f, ids, owner = features(ids, place)[own], ids[own], owner[own]
-        cls, leaf = lex.targets(ids)
-        first, second = rows_of(f, cls, lex)
-        yield owner, ids, 0, first, cls, lex.bias[0]
-        yield owner, ids, 1, second, leaf, lex.bias[1][cls]
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, n: int, kind: str) -> np.ndarray:
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(blob, decompressed_size=size, codec="zstd", asbytes=True), kind)
+
 
+#: The columns of a batch's tokens in one shard: the texts and their numbers of tokens
+#: there, and of each token the two words before it and its leaf.
+BLOBS = {"texts": "<i8", "held": "?", "sizes": "<i4", "one": "<u4", "two": "<u4", "leaf": "<u2"}
 
-def summed(train: DataFrame, lex: Lexicon, weights: list[np.ndarray] | None) -> list[np.ndarray]:
-    """Counts of (feature, row, class) for both levels over all training tokens: those
-    observed, or with ``weights`` those that the model expects."""
-    c = lex.classes
 
+def dealt(texts: DataFrame, lex: Lexicon) -> DataFrame:
+    """Encoded texts' tokens by shard, some thousands a row; ``batch`` numbers the rows
+    of the same texts."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, FEATURES, c, lex.rows))
+        hot, done = len(lex.words), TaskContext.get().partitionId() << 32
         for batch in parts:
-            for _, _, level, rows, target, bias in level_events(batch.column(0), lex):
-                p = np.ascontiguousarray(softmax(weights[level], rows, bias).T, dtype=np.float64) if weights else None
-                for t in range(FEATURES):
-                    at = np.ascontiguousarray(rows[:, t])
-                    if p is None:
-                        sums[level, t] += np.bincount(target * lex.rows + at, None, lex.rows * c).reshape(c, -1)
-                    else:
-                        for k in range(c):
-                            sums[level, t, k] += np.bincount(at, p[k], lex.rows)
-        flat = np.ascontiguousarray(sums.swapaxes(2, 3)).reshape(-1, c)
-        some = np.flatnonzero(flat.any(axis=1))
-        for s in range(0, some.size, 4096):
-            at = some[s:s + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(x) for x in flat[at].T]], ["at", *[f"k{k}" for k in range(c)]])
-
-    parts = train.select("ids").mapInArrow(run, "at bigint, " + ", ".join(f"k{k} double" for k in range(c)))
-    total = parts.groupBy("at").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(c)]).toPandas()
-    out = np.zeros((2 * FEATURES * lex.rows, c))
-    out[total["at"].to_numpy(np.int64)] = total[[f"k{k}" for k in range(c)]].to_numpy(np.float64)
-    return list(out.reshape(2, FEATURES, lex.rows, c))
-
-
-def first_weights(seen: list[np.ndarray], lex: Lexicon) -> list[np.ndarray]:
+            number, held = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            for ids, place, owner in token_batches(batch.column(2), DEAL_TOKENS):
+                own = owner >= 0
+                one, two = (x[own] for x in histories(ids, place))
+                leaf, owner = lex.leaf[np.minimum(ids[own], hot)], owner[own]
+                shard = shard_of(one, two, lex)
+                order = np.argsort(shard, kind="stable")
+                shard, one, two, leaf, owner = (x[order] for x in (shard, one, two, leaf, owner))
+                ends = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), shard.size]
+                out: list[dict] = []
+                for a, b in pairwise(ends):
+                    first = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+                    whose = owner[a:b][first]
+                    cols = (number[whose], held[whose], np.diff(first, append=b - a), one[a:b], two[a:b], leaf[a:b])
+                    out.append({"shard": int(shard[a]), "batch": done, "n": b - a, "m": whose.size}
+                               | {c: packed(x.astype(k)) for (c, k), x in zip(BLOBS.items(), cols, strict=True)})
+                done += 1
+                yield pa.RecordBatch.from_pylist(out, pa.schema(
+                    [*((c, pa.int64()) for c in ("shard", "batch", "n", "m")), *((c, pa.binary()) for c in BLOBS)]))
+
+    return texts.select("row", "held", "ids").mapInArrow(
+        run, "shard bigint, batch bigint, n bigint, m bigint, " + ", ".join(f"{c} binary" for c in BLOBS))
+
+
+def first_weights(seen: np.ndarray, share: np.ndarray) -> np.ndarray:
     """The mean of the features' smoothed log-odds against the leaves' shares."""
-    shares = [np.exp(b.astype(np.float64)) for b in lex.bias]
-    per_row = [shares[0][None], np.repeat(shares[1], lex.rows // lex.classes, axis=0)]
-    out = []
-    for x, share in zip(seen, per_row, strict=True):
-        used = x[:, :share.shape[0]] if share.shape[0] > 1 else x
-        odds = (used + PRIOR * share) / ((used.sum(axis=2, keepdims=True) + PRIOR) * share)
-        w = np.zeros_like(x)
-        w[:, :used.shape[1]] = np.log(odds) / FEATURES
-        out.append(w)
-    return out
-
-
-def fit(train: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> list[np.ndarray]:
-    """The weights of both levels, (FEATURES, rows, classes), from encoded texts."""
-    tasks = max(2 * train.sparkSession.sparkContext.defaultParallelism, -(-lex.total // TASK_TOKENS))
-    train = train.coalesce(tasks)
-    seen = summed(train, lex, None)
-    weights = first_weights(seen, lex)
-    for _ in range(rounds):
-        model = summed(train, lex, [w.astype(np.float32) for w in weights])
-        weights = [w + np.clip(RATE * (o - e - SPREAD * w) / (e + SPREAD), -MOST, MOST)
-                   for w, o, e in zip(weights, seen, model, strict=True)]
-    return [w.astype(np.float32) for w in weights]
+    return np.stack([np.log((x + PRIOR * share) / ((x.sum(axis=0) + PRIOR) * share)) / FEATURES for x in seen])
 
 
-def hot_scores(texts: DataFrame, lex: Lexicon, weights: list[np.ndarray]) -> DataFrame:
-    """``texts`` (encoded) with ``score``, its log10 probability but for the words
-    inside the tail leaf, and without ``ids``."""
-    names = [c for c in texts.columns if c != "ids"]
+def shard_events(level: int, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, lex) -> Iterator[tuple]:
+    """For each batch of a shard's tokens: (rows, bias, targets) of a level."""
+    for a in range(0, one.size, BATCH_TOKENS):
+        b = slice(a, a + BATCH_TOKENS)
+        cls, sub = np.divmod(leaf[b].astype(np.int64), lex.classes)
+        at = rows_at(level, hashed(one[b].astype(np.uint64), two[b].astype(np.uint64)), cls, lex)
+        yield (at, lex.bias[1][cls], sub) if level else (at, lex.bias[0], cls)
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = len(lex.words)
-        for batch in parts:
-            score = np.zeros(batch.num_rows)
-            for owner, ids, level, rows, target, bias in level_events(batch.column(batch.num_columns - 1), lex):
-                p = softmax(weights[level], rows, bias)[np.arange(ids.size), target]
-                x = np.log10(np.maximum(p, 1e-30).astype(np.float64))
-                if level:
-                    x += lex.inside[np.minimum(ids, hot)]
-                score += np.bincount(owner, x, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score)], [*names, "score"])
 
-    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in names)
-    return texts.select(*names, "ids").mapInArrow(run, f"{kinds}, score double")
+def fit(level: int, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, lex, rounds: int) -> np.ndarray:
+    """A level's weights (FEATURES, rows, classes) from all training tokens of a shard.
+    Sums are kept class by class: (FEATURES, classes, rows)."""
+    c, rows = lex.classes, lex.rows
+
+    seen, model = (np.zeros((FEATURES, c, rows)) for _ in range(2))
+    for at, _, target in shard_events(level, one, two, leaf, lex):
+        for t in range(FEATURES):
+            seen[t] += np.bincount(target * rows + at[:, t], None, rows * c).reshape(c, -1)
+    share = np.exp(lex.bias[level].astype(np.float64))
+    weights = first_weights(seen, np.repeat(share, rows // c, axis=0).T if level else share[:, None])
+    for _ in range(rounds):
+        now = np.ascontiguousarray(weights.swapaxes(1, 2), dtype=np.float32)
+        model[:] = 0
+        for at, bias, _ in shard_events(level, one, two, leaf, lex):
+            p = np.ascontiguousarray(softmax(now, at, bias).T, dtype=np.float64)
+            for t in range(FEATURES):
+                own = np.ascontiguousarray(at[:, t])
+                for k in range(c):
+                    model[t, k] += np.bincount(own, p[k], rows)
+        for w, o, e in zip(weights, seen, model, strict=True):
+            w += np.clip(RATE * (o - e - SPREAD * w) / (e + SPREAD), -MOST, MOST)
+    return np.ascontiguousarray(weights.swapaxes(1, 2), dtype=np.float32)
+
+
+def shard_scores(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> DataFrame:
+    """Train each shard on its training tokens and score all its tokens: the sums by
+    text of the leaves' log10 probabilities."""
+    lex = SimpleNamespace(classes=lex.classes, rows=lex.rows, bias=lex.bias)  # without the words
+
+    def run(group: pa.Table) -> pa.Table:
+        cols: dict[str, list] = {c: [] for c in BLOBS}
+        whose, ends = [], [0]
+        for r in group.to_batches(max_chunksize=64):
+            for x in r.to_pylist():
+                whose.append(x["batch"])
+                ends.append(ends[-1] + x["m"])
+                for c, kind in BLOBS.items():
+                    cols[c].append(unpacked(x[c], x["m"] if c in ("texts", "held", "sizes") else x["n"], kind))
+        texts, held, sizes, one, two, leaf = (np.concatenate(x) for x in cols.values())
+        train = np.repeat(~held, sizes)
+        own = [x[train] for x in (one, two, leaf)]
+        score = np.zeros(one.size)
+        for level in range(2):
+            weights, a = fit(level, *own, lex, rounds), 0
+            for at, bias, target in shard_events(level, one, two, leaf, lex):
+                p = softmax(weights, at, bias)[np.arange(target.size), target]
+                score[a:a + p.size] += np.log10(np.maximum(p, 1e-30).astype(np.float64))
+                a += p.size
+        by_text = np.bincount(np.repeat(np.arange(texts.size), sizes), score, texts.size)
+        parts = [slice(*x) for x in pairwise(ends)]
+        return pa.table({"batch": pa.array(whose, pa.int64()), "m": pa.array([x.stop - x.start for x in parts], pa.int64()),
+                         "texts": pa.array([packed(texts[x]) for x in parts], pa.binary()),
+                         "s": pa.array([packed(by_text[x]) for x in parts], pa.binary())})
+
+    def added(group: pa.Table) -> pa.Table:
+        rows, inverse = np.unique(np.concatenate([unpacked(x["texts"], x["m"], "<i8") for x in group.select(["texts", "m"]).to_pylist()]),
+                                  return_inverse=True)
+        s = np.concatenate([unpacked(x["s"], x["m"], "<f8") for x in group.select(["s", "m"]).to_pylist()])
+        return pa.table({"row": pa.array(rows), "s": pa.array(np.bincount(inverse, s, rows.size))})
+
+    parts = tokens.groupBy("shard").applyInArrow(run, "batch bigint, m bigint, texts binary, s binary")
+    return parts.groupBy("batch").applyInArrow(added, "row bigint, s double")
 
 
 def hot_words(counts: DataFrame) -> tuple[list[bytes], np.ndarray]:
@@ -348,15 +423,17 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     lex = Lexicon(*hot_words(counts), totals.n or 0, totals.v)
     texts = store(encoded(src, lex), "encoded")
-    weights = fit(texts.where(~F.col("held")), lex)
+    parts = shard_scores(dealt(texts, lex), lex)
     rare = texts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.tf")
     known = rare.join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log = lambda total, n: F.log10((F.col("c") + SMOOTH) / F.lit(total + SMOOTH * (n + 1)))
-    more = known.groupBy(F.col("row").alias("at")).agg(
-        F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("k"),
-        F.sum(F.col("tf") * log(lex.total, lex.distinct)).alias("b"),
-        F.sum(F.col("tf") * log(lex.tail_total, lex.tail_words)).alias("s"))
-    out = hot_scores(texts.drop("rare"), lex, weights).join(more, F.col("row") == F.col("at"), "left")
+    more = known.select(
+        F.col("row").alias("at"), F.when(F.col("c") > 0, F.col("tf")).otherwise(0).alias("k"),
+        (F.col("tf") * log(lex.total, lex.distinct)).alias("b"),
+        (F.col("tf") * log(lex.tail_total, lex.tail_words)).alias("s"))
+    more = more.unionByName(parts.select(F.col("row").alias("at"), F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("b"), "s"))
+    more = more.groupBy("at").agg(*[F.sum(c).alias(c) for c in ("k", "b", "s")])
+    out = texts.drop("rare", "ids").join(more, F.col("row") == F.col("at"), "left")
     add = lambda c, x: (F.col(c) + F.coalesce(x, F.lit(0))).alias(c)
     return out.select(F.col("id").alias(id_col), F.col("held").alias("held_out"), "n_tokens", add("n_known", "k"),
                       F.lit(lex.total).cast("long").alias("train_tokens"), add("base_score", "b"), add("score", "s"))

@@ -151,3 +151,52 @@ def test_long_texts_are_scored_whole(spark, monkeypatch):
     monkeypatch.setattr(maxent, "BATCH_TOKENS", 64)
     assert {r.doc_id: pytest.approx(r.score, rel=1e-6) for r in maxent.score_texts(df).collect()} == whole
     assert maxent.score_texts(df.where("false")).withColumn("x", F.lit(1)).count() == 0
+
+
+def test_feature_rows_follow_the_training_tokens(spark):
+    """A row for some dozens of tokens at any size, within a task's memory by shards; on
+    held-out texts the histories tell much more than one row for thousands of tokens."""
+    for total in (10 ** 5, 10 ** 7, 10 ** 9):
+        lex = maxent.Lexicon([b"a", b"b"], np.array([9, 5]), total, 2)
+        assert lex.rows * getattr(lex, "shards", 1) >= total / 64 and lex.rows <= 1 << 15
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = maxent.score_texts(df).where("held_out").agg(F.sum(F.expr("score - base_score")).alias("gain"), F.sum("n_tokens").alias("n")).first()
+    assert held.gain / held.n > 0.1
+
+
+def test_shards_score_every_text_whole(spark, monkeypatch):
+    """Many shards and texts cut into many batches: each text has one score, the same for
+    any partitions, equal to training each shard's histories by brute force."""
+    rng = np.random.default_rng(3)
+    docs = {i: " ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(1, 400)) % 50) for i in range(60)} | {100: "", 101: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    monkeypatch.setattr(maxent, "SHARD_TOKENS", 1 << 10)
+    one = {r.doc_id: r.score for r in maxent.score_texts(df.repartition(1)).collect()}
+    monkeypatch.setattr(maxent, "DEAL_TOKENS", 64)
+    assert {r.doc_id: pytest.approx(r.score, rel=1e-6) for r in maxent.score_texts(df.repartition(8)).collect()} == one
+    _, words, held, c = brute_base(docs)
+    lex = maxent.Lexicon(*maxent.hot_words(spark.createDataFrame([((w or "\n").encode(), n) for w, n in c.items()], "word binary, c long")),
+                         sum(c.values()), len(c))
+    assert lex.shards > 4
+    number = {w: k for k, w in enumerate(lex.words)}
+    tokens = []
+    for i, ws in words.items():
+        raw = [(w or "\n").encode() for w in ws]
+        ids = np.array([number.get(w, len(lex.words) + zlib.crc32(w) % maxent.OTHER_WORDS) for w in raw])
+        hist = maxent.histories(ids, np.arange(ids.size))
+        tokens += list(zip([i] * ids.size, ids, *hist, maxent.shard_of(*hist, lex), ws, strict=True))
+    want = defaultdict(float)
+    for s in {t[4] for t in tokens}:
+        own = [t for t in tokens if t[4] == s]
+        train = [t for t in own if not held[t[0]]]
+        columns = lambda part: [np.array([t[2] for t in part], np.uint64), np.array([t[3] for t in part], np.uint64),
+                                lex.leaf[np.minimum(np.array([t[1] for t in part], np.int64), len(lex.words))]]
+        for level in range(2):
+            w = maxent.fit(level, *columns(train), lex, maxent.ROUNDS)
+            for at, bias, target in maxent.shard_events(level, *columns(own), lex):
+                p = maxent.softmax(w, at, bias)[np.arange(target.size), target]
+                for t, x in zip(own, p.tolist(), strict=True):
+                    want[t[0]] += math.log10(x)
+    for i, k, _, _, _, w in tokens:
+        want[i] += float(lex.inside[k]) if k < len(lex.words) else math.log10((c[w] + .1) / (lex.tail_total + .1 * (lex.tail_words + 1)))
+    assert {i: pytest.approx(x, rel=1e-5) for i, x in want.items()} == one
