@@ -24,6 +24,9 @@ its histories:
    each weight moves by it, divided by its own expected count (its curvature, by which
    the step does not depend on the number of tokens).
 
+Tokens of equal history (and class, at the second level) have equal probabilities: a shard's
+tokens are sorted, and each distinct history is computed once and weighted by its tokens.
+
 Shards and their histories follow from the counts of words, so the weights depend on the
 rows and not on how they are dealt to partitions (but for the rounding of sums).
 
@@ -50,7 +53,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import pairwise
@@ -58,6 +60,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,16 +85,32 @@ HOT_WORDS = 1 << 18
 #: Numbers of other words in histories.
 OTHER_WORDS = 1 << 24
 #: Tokens of one numpy batch, and of a batch that is dealt to the shards.
-BATCH_TOKENS, DEAL_TOKENS = 1 << 16, 1 << 19
+BATCH_TOKENS, DEAL_TOKENS = 1 << 14, 1 << 19
+#: Tokens whose expected counts are summed at once.
+SUM_TOKENS = 1 << 15
 SMOOTH = 0.1
 #: The end token: no word holds white space.
 END = b"\n"
-#: A-Z to a-z in UTF-8, other bytes as they are.
-FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Text that is split into words at once.
+SLICE_BYTES = 1 << 22
+
+
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch with ``text`` in parts of some SLICE_BYTES of text, whole texts each."""
+    size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE_BYTES
+    for a, b in pairwise([0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), size.size] if size.size else []):
+        yield batch.slice(a, b - a)
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return [*text.translate(FOLD).split(), END] if text else [END]
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, one text after the other, and each text's number."""
+    texts = pc.fill_null(texts.cast(pa.binary()), b"").view(pa.string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # empty pieces at a text's ends
+    words = split.flatten()
+    real = pc.not_equal(pc.binary_length(words), 0)
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return words.filter(real), np.diff(before[split.offsets.to_numpy()])
 
 
 def held_out(id_col: Column, fold: int = 10) -> Column:
@@ -103,10 +122,11 @@ def count_tokens(texts: DataFrame) -> DataFrame:
     """(word, c) over ``texts`` (text binary), summed per batch before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c: Counter = Counter()
-            for t in batch.column(0):
-                c.update(tokens(t.as_py()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], ["word", "c"])
+            for part in text_slices(batch):
+                c = words_of(part.column(0))[0].value_counts()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([c.field("values").view(pa.binary()), pa.array([END], pa.binary())]),
+                     pa.concat_arrays([c.field("counts"), pa.array([part.num_rows], pa.int64())])], ["word", "c"])
 
     return texts.select("text").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -193,9 +213,9 @@ def shard_of(one: np.ndarray, two: np.ndarray, lex: Lexicon) -> np.ndarray:
 def rows_at(level: int, f: np.ndarray, cls: np.ndarray, lex: Lexicon) -> np.ndarray:
     """Feature rows of the first level, or of the second inside the class."""
     if level == 0:
-        return (f % np.uint64(lex.rows)).astype(np.int64)
+        return (f & np.uint64(lex.rows - 1)).astype(np.int64)  # a power of two, as are the classes
     own = lex.rows // lex.classes
-    return cls[:, None] * own + (_mixed(f ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(own)).astype(np.int64)
+    return cls[:, None] * own + (_mixed(f ^ np.uint64(0x5851F42D4C957F2D)) & np.uint64(own - 1)).astype(np.int64)
 
 
 def rows_of(f: np.ndarray, cls: np.ndarray, lex: Lexicon) -> tuple[np.ndarray, np.ndarray]:
@@ -210,7 +230,7 @@ def softmax(weights: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarr
         logits += weights[t].take(rows[:, t], axis=0)
     logits += bias
     np.exp(logits, out=logits)
-    logits *= 1 / logits.sum(axis=1, keepdims=True)
+    logits *= 1 / (logits @ np.ones((logits.shape[1], 1), logits.dtype))
     return logits
 
 
@@ -222,27 +242,28 @@ def encoded(texts: DataFrame, lex: Lexicon) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get, hot = lex.index.get, len(lex.words)
         base = np.append(lex.base(lex.counts), 0.0)
-        for batch in parts:
-            cols: list[list] = [[] for _ in range(6)]
-            for text in batch.column(2):
-                words = tokens(text.as_py())
-                ids = [get(w, -1) for w in words]
-                at = np.array(ids, dtype=np.int64)
-                other = [(k, words[k]) for k in np.flatnonzero(at < 0).tolist()]
-                rare = Counter(w for _, w in other)
-                cols[0].append(len(words))
-                cols[1].append(len(words) - len(other))
-                cols[2].append(float(base[at[at >= 0]].sum()))
-                inside = float(lex.inside[at[at >= 0]].sum())
-                for k, w in other:
-                    at[k] = hot + zlib.crc32(w) % OTHER_WORDS
-                cols[3].append(at.astype("<i4").tobytes())
-                cols[4].append([{"word": w, "tf": n} for w, n in rare.items()])
-                cols[5].append(inside)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.struct([("word", pa.binary()), ("tf", pa.int64())])),
-                     pa.float64()]
+        for batch in (s for p in parts for s in text_slices(p)):
+            words, n = words_of(batch.column("text"))
+            coded = words.dictionary_encode()
+            seen = [*coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False).tolist(), END]
+            number = np.array([get(w, -1) for w in seen], dtype=np.int64)
+            filled = np.array([hot + zlib.crc32(w) % OTHER_WORDS if k < 0 else k for w, k in zip(seen, number.tolist(), strict=True)], dtype="<i4")
+            first = np.cumsum(n + 1) - n - 1
+            code = np.full(int(n.sum()) + n.size, len(seen) - 1)  # an end token after each text's words
+            within = np.ones(code.size, bool)
+            within[first + n] = False
+            code[within] = coded.indices.to_numpy()
+            at, of_text = number[code], lambda x: np.add.reduceat(x, first)  # noqa: B023
+            other = np.flatnonzero(at < 0)
+            rare, tf = np.unique(np.repeat(np.arange(n.size), n + 1)[other] * len(seen) + code[other], return_counts=True)
+            rare_words = pa.StructArray.from_arrays([pa.array(seen, pa.binary()).take(pa.array(rare % len(seen))), pa.array(tf, pa.int64())],
+                                                    ["word", "tf"])
+            ends = np.append(0, np.cumsum(n + 1) * 4).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]],
+                [batch.column("id"), batch.column("held"), pa.array(n + 1, pa.int64()), pa.array(of_text((at >= 0).astype(np.int64))),
+                 pa.array(of_text(base[at])), pa.Array.from_buffers(pa.binary(), n.size, [None, pa.py_buffer(ends), pa.py_buffer(filled[code])]),
+                 pa.ListArray.from_arrays(pa.array(np.searchsorted(rare, np.arange(n.size + 1) * len(seen)), pa.int32()), rare_words),
+                 pa.array(of_text(lex.inside[at]))],
                 ["id", "held", "n_tokens", "n_known", "base_score", "ids", "rare", "score"])
 
     out = texts.select("id", "held", "text").mapInArrow(
@@ -330,26 +351,60 @@ def shard_events(level: int, one: np.ndarray, two: np.ndarray, leaf: np.ndarray,
         yield (at, lex.bias[1][cls], sub) if level else (at, lex.bias[0], cls)
 
 
-def fit(level: int, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, lex, rounds: int) -> np.ndarray:
-    """A level's weights (FEATURES, rows, classes) from all training tokens of a shard.
-    Sums are kept class by class: (FEATURES, classes, rows)."""
-    c, rows = lex.classes, lex.rows
+def distinct(one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+    """The order of tokens by history and leaf, the number of each ordered token among
+    the distinct ones, and these. Word numbers in histories take 25 bits, leaves 14."""
+    key = one.astype(np.uint64)
+    for x, bits in ((two, 25), (leaf, 14)):
+        key <<= np.uint64(bits)
+        key |= x
+    order = np.argsort(key)
+    key = key[order]
+    new = runs(key)
+    first = order[new]
+    return order, np.cumsum(new, dtype=np.int32) - 1, (one[first], two[first], leaf[first])
 
-    seen, model = (np.zeros((FEATURES, c, rows)) for _ in range(2))
-    for at, _, target in shard_events(level, one, two, leaf, lex):
-        for t in range(FEATURES):
-            seen[t] += np.bincount(target * rows + at[:, t], None, rows * c).reshape(c, -1)
+
+def runs(*columns: np.ndarray) -> np.ndarray:
+    """True where a row differs from the one before it."""
+    same = np.logical_and.reduce([x[1:] == x[:-1] for x in columns])
+    return np.append(True, ~same)[:columns[0].size]
+
+
+def fit(level: int, one: np.ndarray, two: np.ndarray, leaf: np.ndarray, lex, rounds: int, times: np.ndarray | None = None) -> np.ndarray:
+    """A level's weights (FEATURES, rows, classes) from all training tokens of a shard,
+    each seen ``times`` times. Neighbours that share what the level predicts from (the
+    history, and the class at the second level) have equal probabilities, which are
+    computed once. Sums are kept class by class: (FEATURES, classes, rows)."""
+    c, rows = lex.classes, lex.rows
+    times = np.ones(one.size) if times is None else times
+    at, target = np.zeros((one.size, FEATURES), np.int32), np.zeros(one.size, np.int32)
+    for k, (x, _, y) in enumerate(shard_events(level, one, two, leaf, lex)):
+        at[k * BATCH_TOKENS:][:y.size], target[k * BATCH_TOKENS:][:y.size] = x, y
+    seen = np.stack([np.bincount(target * rows + x, times, rows * c).reshape(c, -1) for x in at.T])
     share = np.exp(lex.bias[level].astype(np.float64))
     weights = first_weights(seen, np.repeat(share, rows // c, axis=0).T if level else share[:, None])
+    new = runs(one, two, leaf // c) if level else runs(one, two)
+    at, cls, times = at[new], leaf[new] // c, np.bincount(np.cumsum(new) - 1, times)
+    del target, new
+    model = np.zeros_like(seen)
     for _ in range(rounds):
         now = np.ascontiguousarray(weights.swapaxes(1, 2), dtype=np.float32)
         model[:] = 0
-        for at, bias, _ in shard_events(level, one, two, leaf, lex):
-            p = np.ascontiguousarray(softmax(now, at, bias).T, dtype=np.float64)
+        for a in range(0, times.size, SUM_TOKENS):
+            own, n = at[a:a + SUM_TOKENS], times[a:a + SUM_TOKENS]
+            p = np.empty((c, n.size))
+            for b in range(0, n.size, BATCH_TOKENS):
+                part = slice(b, b + BATCH_TOKENS)
+                bias = lex.bias[1][cls[a:][part]] if level else lex.bias[0]
+                np.multiply(softmax(now, own[part], bias).T, n[part], out=p[:, part])
             for t in range(FEATURES):
-                own = np.ascontiguousarray(at[:, t])
+                row, q = np.ascontiguousarray(own[:, t]), p
+                first = np.flatnonzero(runs(row))
+                if 4 * first.size < row.size:
+                    row, q = row[first], np.add.reduceat(p, first, axis=1)
                 for k in range(c):
-                    model[t, k] += np.bincount(own, p[k], rows)
+                    model[t, k] += np.bincount(row, q[k], rows)
         for w, o, e in zip(weights, seen, model, strict=True):
             w += np.clip(RATE * (o - e - SPREAD * w) / (e + SPREAD), -MOST, MOST)
     return np.ascontiguousarray(weights.swapaxes(1, 2), dtype=np.float32)
@@ -370,15 +425,22 @@ def shard_scores(tokens: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> DataF
                 for c, kind in BLOBS.items():
                     cols[c].append(unpacked(x[c], x["m"] if c in ("texts", "held", "sizes") else x["n"], kind))
         texts, held, sizes, one, two, leaf = (np.concatenate(x) for x in cols.values())
-        train = np.repeat(~held, sizes)
-        own = [x[train] for x in (one, two, leaf)]
-        score = np.zeros(one.size)
+        order, number, own = distinct(one, two, leaf)
+        times = np.bincount(number, np.repeat(~held, sizes)[order])
+        train, each = times > 0, np.zeros(times.size)
+        del one, two, leaf, cols
         for level in range(2):
-            weights, a = fit(level, *own, lex, rounds), 0
-            for at, bias, target in shard_events(level, one, two, leaf, lex):
+            if level:  # class by class, so that a batch needs few feature rows
+                by_class = np.argsort((own[2] // lex.classes).astype(np.uint16), kind="stable")
+                own, times, train, each = [x[by_class] for x in own], times[by_class], train[by_class], each[by_class]
+                number = np.argsort(by_class)[number]
+            weights, a = fit(level, *[x[train] for x in own], lex, rounds, times[train]), 0
+            for at, bias, target in shard_events(level, *own, lex):
                 p = softmax(weights, at, bias)[np.arange(target.size), target]
-                score[a:a + p.size] += np.log10(np.maximum(p, 1e-30).astype(np.float64))
+                each[a:a + p.size] += np.log10(np.maximum(p, 1e-30).astype(np.float64))
                 a += p.size
+        score = np.empty(order.size)
+        score[order] = each[number]
         by_text = np.bincount(np.repeat(np.arange(texts.size), sizes), score, texts.size)
         parts = [slice(*x) for x in pairwise(ends)]
         return pa.table({"batch": pa.array(whose, pa.int64()), "m": pa.array([x.stop - x.start for x in parts], pa.int64()),

@@ -200,3 +200,38 @@ def test_shards_score_every_text_whole(spark, monkeypatch):
     for i, k, _, _, _, w in tokens:
         want[i] += float(lex.inside[k]) if k < len(lex.words) else math.log10((c[w] + .1) / (lex.tail_total + .1 * (lex.tail_words + 1)))
     assert {i: pytest.approx(x, rel=1e-5) for i, x in want.items()} == one
+
+
+def test_equal_histories_are_computed_once(monkeypatch):
+    """Repeated histories, any share of them, cost no softmax of their own; the weights
+    are those of the tokens in any order, one by one."""
+    lex = maxent.Lexicon([f"w{i}".encode() for i in range(300)], np.arange(400, 100, -1), 10 ** 6, 1 << 10)
+    rng = np.random.default_rng(4)
+    one, two = rng.integers(1, 6, (2, 4000)).astype(np.uint32)
+    leaf = rng.integers(0, lex.tail_leaf + 1, 4000).astype(np.uint16)
+    rows, real = [], maxent.softmax
+    monkeypatch.setattr(maxent, "softmax", lambda w, at, bias: rows.append(len(at)) or real(w, at, bias))
+    order, number, own = maxent.distinct(one, two, leaf)
+    assert all((x[number] == y[order]).all() for x, y in zip(own, (one, two, leaf), strict=True))
+    for level, events in enumerate((25, 25 * lex.classes)):
+        apart = maxent.fit(level, one, two, leaf, lex, 2)
+        rows.clear()
+        assert maxent.fit(level, one[order], two[order], leaf[order], lex, 2) == pytest.approx(apart, abs=1e-5)
+        assert 0 < sum(rows) <= 2 * events
+        assert maxent.fit(level, *own, lex, 2, np.bincount(number)) == pytest.approx(apart, abs=1e-5)
+
+
+def test_words_of_odd_texts(monkeypatch):
+    """White space at the ends, none, other separators, invalid bytes; slices of any size."""
+    texts = [b"  A b\x0bC\x1cd \xc3\x89 x\t\n ", b"", None, b"   ", b"\xff Z\xc3 ( B", b"z" * 99 + b" Q"]
+    want = [[bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in (t or b"").split()] for t in texts]
+    batch = maxent.pa.record_batch([maxent.pa.array(texts, maxent.pa.binary())], ["text"])
+    for size in (1, 10, 1 << 20):
+        monkeypatch.setattr(maxent, "SLICE_BYTES", size)
+        words, n = [], []
+        for part in maxent.text_slices(batch):
+            w, k = maxent.words_of(part.column(0))
+            words += w.cast(maxent.pa.binary()).to_pylist()
+            n += k.tolist()
+        assert n == [len(w) for w in want] and words == sum(want, [])
+    assert not list(maxent.text_slices(batch.slice(0, 0)))
