@@ -261,3 +261,57 @@ def test_src_docs_with_a_path_without_scheme(spark, tmp_path):
     from plumbline.sources.tables import local_path
     assert [local_path(spark, p) for p in ("file:/a/b", "file:///a/b", "/a/b")] == ["/a/b"] * 3
     assert [local_path(spark, p) for p in ("hdfs://n/a", "viewfs://store/a", "s3a://b/a")] == [None] * 3
+
+
+def facts_of(docs):
+    from pyspark.sql import functions as F
+    return sorted(tuple(r) for r in docs.select("path", F.unix_micros("modified"), F.hex("text")).collect())
+
+
+def test_docs_folder_is_listed_by_tasks(spark, tmp_path):
+    """No list of the files in the driver, and the rows of Spark's own reader."""
+    import string
+    from plumbline.sources.tables import read_docs, scan_docs, write_docs
+    write_docs(spark.range(300).selectExpr("id", "repeat('é\n', cast(id % 7 as int)) as text").repartition(5), f"file://{tmp_path}/w x%20", "id", "text")
+    odd = "".join(c for c in string.printable if c.isprintable() and c not in "/:")  # Hadoop opens no name with a colon
+    for name, text in {odd: b"odd", "empty": b"", "_hidden": b"h", ".hidden": b"h", "x._COPYING_": b"h", "_k=1": b"seen",
+                       "bytes.txt": b"\xff\xfe\r\n", "bom.txt": b"\xef\xbb\xbfb"}.items():
+        for folder in ("flat", "parts/part=3"):
+            (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / folder / name).write_bytes(text)
+    (tmp_path / "parts" / "beside.txt").write_text("not read")
+    for folder, n in (("w x%20", 300), ("flat", 4), ("parts", 4), ("parts/part=3/", 4)):
+        docs = read_docs(spark, f"file://{tmp_path}/{folder}")
+        assert docs.inputFiles() == [] and docs.schema.names == ["path", "modified", "text"]
+        assert facts_of(docs) == facts_of(scan_docs(spark, f"file://{tmp_path}/{folder}")) and docs.count() == n
+
+
+def test_docs_folder_of_other_shapes(spark, tmp_path):
+    """Compressed files, names beyond ASCII, folders beside files and patterns stay with Spark's reader."""
+    import gzip
+    from plumbline.sources.tables import read_docs, scan_docs
+    for name, text in {"a/x.gz": gzip.compress(b"packed"), "b/é.txt": b"e", "c/x.txt": b"x", "c/sub/y.txt": b"y", "d/k=1/x.txt": b"x",
+                       "e/part=1/x.txt": b"x", "e/part=1/sub/y.txt": b"y"}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(text)
+    for path, n in (("a", 1), ("b", 1), ("c", 1), ("d", 1), ("e", 2), ("c/*.txt", 1), ("c/x.txt", 1)):
+        path = f"file://{tmp_path}/{path}"
+        assert facts_of(read_docs(spark, path)) == facts_of(scan_docs(spark, path)) and read_docs(spark, path).count() == n
+
+
+def test_docs_folder_outside_the_local_file_system_is_read_in_groups(spark, tmp_path, monkeypatch):
+    from plumbline.sources import tables
+    monkeypatch.setattr(tables, "local_path", lambda *_: None)
+    monkeypatch.setattr(tables, "FILES_PER_SCAN", 40, raising=False)
+    monkeypatch.setattr(tables, "FILES_PER_FOLDER", 16, raising=False)
+    path, texts = f"file://{tmp_path}/docs", {i: f"text {i}\n" * (i % 3) for i in range(150)}
+    tables.write_docs(spark.createDataFrame(list(texts.items()), "id int, text string").repartition(2), path, "id", "text")
+    sizes = [len([*p.glob("[!.]*")]) for p in (tmp_path / "docs").glob("part=*")]
+    assert max(sizes) <= 16 and sum(sizes) == 150
+    seen, scan = [], tables.scan_docs
+    monkeypatch.setattr(tables, "scan_docs", lambda *a: seen.append((d := scan(*a)).count()) or d)
+    docs = tables.read_docs(spark, path)
+    assert max(seen) <= 40 and sum(seen) == 150 and facts_of(docs) == facts_of(scan(spark, path))
+    assert {int(r.id): r.text for r in tables.split_docs(docs).collect()} == texts
+    (tmp_path / "docs" / "other").mkdir()
+    assert tables.folder_groups(spark, path) == []
